@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, quality
+from .common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,19 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stats = materialize(quality.with_stats(docs).select("doc_id", "__q_stats"), "op9-stats")
+    rules = quality.fit(stats, table(spark, sf_dir, "labels"))
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality.judge(stats, rules).select("doc_id", *[F.col("__q_stats")[c].alias(c) for c in shown], "base_failed", "rule", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_bpe_round_trip": op10_bpe_round_trip}
+    return {
+        "op9_quality_rules": op9_quality_rules,
+        "op10_bpe_round_trip": op10_bpe_round_trip,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
