@@ -68,19 +68,14 @@ def block_prefix(df: DataFrame, keys: list[str], block: Column, order: list[Colu
     """Sum of ``value`` over the rows before each row, within ``keys``, in order of (block, order).
 
     Hot keys are split: sums by (key, block) are pre-aggregated map-side, prefixed over the few
-    blocks, and only one block's rows are sorted together. ``block`` must follow ``order``.
+    blocks, and only one block's rows are sorted together. ``block`` must follow ``order``; keys
+    and block must not be null.
     """
+    zero = F.lit(0).cast("long")
     with_block = df.withColumn("__b", block)
     sums = with_block.groupBy(*keys, "__b").agg(F.sum(value).alias("__s"))
     over_blocks = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(over_blocks), F.lit(0).cast("long"))).drop("__s")
-    renamed = before.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__b2"), "__before")
-    same = F.col("__b").eqNullSafe(F.col("__b2"))
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(over_blocks), zero)).drop("__s")
     in_block = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        with_block.join(renamed, same, "left")
-        .withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(in_block), F.lit(0).cast("long")))
-        .drop("__b", "__b2", "__before", *[f"__k{i}" for i in range(len(keys))])
-    )
+    within = with_block.withColumn("__w", F.coalesce(F.sum(value).over(in_block), zero))
+    return within.join(before, [*keys, "__b"]).withColumn(out, F.col("__before") + F.col("__w")).drop("__b", "__before", "__w")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, mixing, quality
 from .common import materialize
 
 
@@ -19,6 +19,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op6_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     stats = materialize(quality.with_stats(docs).select("doc_id", "__q_stats"), "op9-stats")
@@ -29,6 +33,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_mix_to_targets": op6_mix_to_targets,
         "op9_quality_rules": op9_quality_rules,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }
