@@ -16,3 +16,16 @@ def quality_stats(text):
         if len(places) > 1:
             at.update(p + k for p in places for k in range(3))
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(at), text.count("!"), len(re.findall("[A-Z]", text)))
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+
+
+def base_spans(text):
+    text = text or ""
+    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    order = ["assign", "access", "hex"]
+    return sorted(found, key=lambda s: (s[1], order.index(s[0])))

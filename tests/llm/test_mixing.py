@@ -58,6 +58,8 @@ def test_edge_rows(spark):
     assert abs(sum(r.taken for r in got if r.doc_id in (None, 9)) - hot[0].target) <= 3
     assert all(r.target == 0 for r in got if r.doc_id in (2, 3))
     assert mixing.mix(docs.limit(0)).count() == 0
-    assert mixing.repeat_to_targets(docs).columns == docs.columns
+    clash = docs.withColumn("copies", F.lit(9)).withColumn("certain", F.lit("z")).withColumn("target", F.lit(None))
+    assert mixing.repeat_to_targets(clash).columns == clash.columns
+    assert mixing.repeat_to_targets(clash).filter("certain = 'z' and copies = 9").count() > 0
     blank = mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).collect()
     assert all(r.taken == 0 and r.target == 0 for r in blank)

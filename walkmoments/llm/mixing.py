@@ -151,7 +151,8 @@ def repeat_to_targets(docs: DataFrame, share: float = SHARE, most: float = MOST,
     plan = materialize(allocate(rows, share, most, weights), "mix-plan")
     last = select_words(ranked(rows.join(plan, ["__m_key", "__m_class"]))).filter("extra = 1").groupBy("__m_key").agg(F.max("__m_rank").alias("__m_last"))
     cuts = materialize(plan.join(last, "__m_key", "left").select("__m_key", "__m_class", "copies", "__m_last"), "mix-cuts")
-    placed = ranked(sized(docs).join(cuts, ["__m_key", "__m_class"]))
+    narrow = sized(docs.select("doc_id", "text", "source", F.struct(*columns).alias("__m_row")))
+    placed = ranked(narrow.drop("doc_id", "text", "source").join(cuts, ["__m_key", "__m_class"]))
     extra = F.coalesce((F.col("__m_rank") <= F.col("__m_last")) & (F.col("__m_size") > 0), F.lit(False)).cast("int")
     times = F.when(F.col("__m_size") > 0, F.col("certain").cast("int") + extra).otherwise(F.lit(0))
-    return placed.withColumn("__m_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*columns)
+    return placed.select("__m_row", F.explode(F.array_repeat(F.lit(0), times)).alias("__m_copy")).select(*[F.col("__m_row")[c].alias(c) for c in columns])
