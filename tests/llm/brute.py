@@ -29,3 +29,28 @@ def base_spans(text):
     found += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
     order = ["assign", "access", "hex"]
     return sorted(found, key=lambda s: (s[1], order.index(s[0])))
+
+
+def shingle_set(text, n):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) or frozenset([tuple(words)])
+
+
+def components_by_all_pairs(rows, n, num, den):
+    """rows (doc_id, text) -> doc_id: (n_shingles, component)."""
+    sets = [(i, shingle_set(t, n)) for i, t in rows]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[k + 1 :]:
+            if a and b and den * len(a & b) >= num * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, mixing, quality, secrets, urls
+from . import bpe, chat, html, mixing, ngram_join, quality, secrets, urls
 from .common import materialize
 
 
@@ -47,6 +47,10 @@ def op6_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     stats = materialize(quality.with_stats(docs).select("doc_id", "__q_stats"), "op9-stats")
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op5_url_verdicts": op5_url_verdicts,
         "op6_mix_to_targets": op6_mix_to_targets,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op9_quality_rules": op9_quality_rules,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }
