@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", compression: str = "lz4") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here.
 
     The table survives lost executors, is column-pruned on reading and is computed once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path  # for drop_table
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html, mixing, ngram_join, quality, secrets, urls
+from . import ann, bpe, chat, html, mixing, ngram_join, quality, secrets, shards, urls
 from .common import materialize
 
 
@@ -55,6 +55,11 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return shards.write_shards(docs, shards.shard_folder(docs), shards.default_vocabulary())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     stats = materialize(quality.with_stats(docs).select("doc_id", "__q_stats"), "op9-stats")
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_verdicts": op5_url_verdicts,
         "op6_mix_to_targets": op6_mix_to_targets,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_token_shards": op8_token_shards,
         "op9_quality_rules": op9_quality_rules,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }
