@@ -6,11 +6,11 @@ Two documents link when ``den * intersection >= num * union`` of their word shin
    sets share a segment key (see shingles.py), so groups of equal keys miss no link.
 2. Groups of two and more sets are kept. Each set's most frequent group leader is verified first;
    the links found, a star a family, make preliminary components.
-3. Groups that still hold several components become signature trees (see sigtree.py), cut into
+3. Groups with one leader that still hold several components become signature trees (see sigtree.py), cut into
    blocks of BLOCK sets. Dual traversal prunes node pairs by the greatest possible overlap and by
-   component, and leaves candidate pairs.
-4. Candidates are verified on their whole sets. While there are many more than sets, each set's
-   best candidate goes first, and pairs that have come to lie in one component are dropped.
+   component, and leaves candidate pairs, which are verified on their whole sets. A scouting pass
+   over one in SCOUT of them gives each set's best pair only, to merge most of each family.
+4. A full pass with the new components gives every remaining pair once.
 5. The links' components label all documents with equal sets.
 
 Only keys, numbers and the sets of documents that share a group are shuffled. No pairs within a
@@ -43,7 +43,10 @@ from .shingles import identity, linked, segment_keys, sets_of
 BLOCK = 1024
 #: Bits of the fixed-size filter by which texts are chosen for the second reading: 2 MB whatever the input.
 FILTER_BITS = 24
-ROUNDS = 6
+#: Characters that part words.
+BLANKS = " \t\n\x0b\f\r"
+#: The scouting pass takes one in so many units.
+SCOUT = 4
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -190,14 +193,34 @@ def labelled(rows: DataFrame, labels: DataFrame, col: str, out: str) -> DataFram
     return rows.join(named, F.col(col) == F.col("__l"), "left").withColumn(out, F.coalesce("__c", col)).drop("__l", "__c")
 
 
-def tree_candidates(groups: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, score of pairs that share a group, lie in different components and may link."""
-    rows = labelled(groups.select("key", "cid"), labels, "cid", "comp")
+def best_of_each(left: np.ndarray, right: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the best pair of every set."""
+    ends, at = np.concatenate([left, right]), np.tile(np.arange(len(left)), 2)
+    order = np.lexsort((-score[at], ends))
+    ends, at = ends[order], at[order]
+    return np.unique(at[np.concatenate([[True], ends[1:] != ends[:-1]])]) if len(at) else at
+
+
+def tree_candidates(groups: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, share: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a group, lie in different components and may link.
+
+    Groups with one leader are joined to one unit, named by the leader: two sets of one family share
+    a hundred keys, but few leaders. ``share`` over 1: a scouting pass over that part of the units,
+    which gives every set's best pair only, a linear number. ``share`` 1: every pair, given by the
+    least unit that has both.
+    """
+    rows = groups.select(F.col("leader").alias("key"), "cid")
+    if share > 1:
+        rows = rows.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
+    rows = labelled(rows.distinct(), labels, "cid", "comp")
     sums = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("who"))
-    # groups of the same sets are one group
+    # units of the same sets are one unit
     kept = sums.filter("c0 <> c1").groupBy("who", "n").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = rows.join(kept, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    placed = materialize(rows.join(kept, "key"), "join-placed")
+    own = placed.groupBy("cid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # no more than a set has segments
+    leaves = sets.select("cid", "size", "bitmap").join(own, "cid")
+    place = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    units = placed.withColumn("own", place).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
@@ -205,30 +228,46 @@ def tree_candidates(groups: DataFrame, labels: DataFrame, sets: DataFrame, num:
         "cid",
         "comp",
     )
-    full = units.join(sets.select("cid", "size", "bitmap"), "cid").select("key", "i", "j", "side", "cid", "comp", "size", "bitmap")
+    full = units.join(leaves, "cid").select("key", "i", "j", "side", "cid", "comp", "size", "bitmap", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(t: pa.Table) -> pa.RecordBatch:
             k, i, j = (t.column(x).to_numpy() for x in ("key", "i", "j"))
             cols = {x: t.column(x).to_numpy() for x in ("side", "cid", "comp", "size")}
             maps = t.column("bitmap").to_pylist()
+            lists = t.column("keys").combine_chunks()
             at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             found: list[tuple] = []
             for a, z in zip(at, np.append(at[1:], len(k))):
-                if z - a > 1:
-                    found.append(sigtree.candidates(cols["size"][a:z], maps[a:z], cols["comp"][a:z], cols["cid"][a:z], cols["side"][a:z], num, den))
+                if z - a < 2:
+                    continue
+                here = np.arange(a, z)
+                left, right, score = sigtree.candidates(cols["size"][a:z], maps[a:z], cols["comp"][a:z], here, cols["side"][a:z], num, den)
+                if not len(left):
+                    continue
+                if share > 1:
+                    best = best_of_each(left, right, score)
+                    left, right = left[best], right[best]
+                else:
+                    lower = {}
+                    for m in np.unique(np.concatenate([left, right])):
+                        keys = lists[int(m)].values.to_numpy()
+                        lower[int(m)] = set(keys[: int(np.searchsorted(keys, k[a]))].tolist())
+                    first = np.array([lower[x].isdisjoint(lower[y]) for x, y in zip(left.tolist(), right.tolist())], bool)
+                    left, right = left[first], right[first]
+                found.append((cols["cid"][left], cols["cid"][right]))
             none = [np.zeros(0, np.int64)]
-            left, right, score = (np.concatenate([f[x] for f in found] or none).astype(np.int64) for x in range(3))
-            return pa.RecordBatch.from_arrays([_long(np.minimum(left, right)), _long(np.maximum(left, right)), _long(score)], names=["a", "b", "score"])
+            a, b = (np.concatenate([f[x] for f in found] or none).astype(np.int64) for x in range(2))
+            return pa.RecordBatch.from_arrays([_long(np.minimum(a, b)), _long(np.maximum(a, b))], names=["a", "b"])
 
         rest: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            last = [t.column(x)[-1].as_py() for x in ("key", "i", "j")]
             k, i, j = (t.column(x).to_numpy() for x in ("key", "i", "j"))
-            cut = int(np.flatnonzero((k != last[0]) | (i != last[1]) | (j != last[2]))[-1]) + 1 if not (k[0] == last[0] and i[0] == last[1] and j[0] == last[2]) else 0
+            other = np.flatnonzero((k != k[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
             rest = t.slice(cut)  # one unit at most: two blocks
             if cut:
                 yield pairs(t.slice(0, cut))
@@ -236,12 +275,11 @@ def tree_candidates(groups: DataFrame, labels: DataFrame, sets: DataFrame, num:
             yield pairs(rest)
 
     dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long, score long").groupBy("a", "b").agg(F.max("score").alias("score"))
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def set_components(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """cid, comp for every set that links with another."""
-    spark = docs.sparkSession
     groups = materialize(groups_of(sets), "join-groups")
     stars = groups.filter("cid <> leader").groupBy("cid", "leader").count()
     stars = stars.groupBy("cid").agg(F.max(F.struct("count", "leader")).alias("s")).select(F.col("cid").alias("a"), F.col("s.leader").alias("b"))
@@ -251,22 +289,9 @@ def set_components(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int)
     whole = materialize(whole_sets(docs, wanted, n), "join-sets")
     links = materialize(verified(stars, whole, num, den), "join-links")
     labels = components(links)
-    pairs = materialize(tree_candidates(groups, labels, whole, num, den), "join-pairs")
-    few, left = 2 * whole.count(), pairs.count()
-    for _ in range(ROUNDS):
-        if left <= few:
-            break
-        ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-        best = ends.groupBy("a").agg(F.max(F.struct("score", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
-        best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-best")
-        links = materialize(links.unionByName(verified(best, whole, num, den)), "join-links")
-        labels = components(links)
-        open_pairs = labelled(labelled(pairs.join(best, ["a", "b"], "left_anti"), labels, "a", "ca"), labels, "b", "cb")
-        new = materialize(open_pairs.filter("ca <> cb").select("a", "b", "score"), "join-pairs")
-        drop_table(pairs)
-        pairs, left = new, new.count()
-    if left:
-        links = links.unionByName(verified(pairs, whole, num, den))
+    for share in (SCOUT, 1):
+        pairs = tree_candidates(groups, labels, whole, num, den, share)
+        links = materialize(links.unionByName(verified(pairs, whole, num, den)), "join-links")
         labels = components(links)
     return labels
 
@@ -286,3 +311,25 @@ def joined(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Data
     sets = materialize(keyed_sets(docs.select("doc_id", "text"), n, num, den), "join-keys")
     members = materialize(sets.select("doc_id", "tid", "cid", "n_shingles"), "join-members")
     return members, set_components(docs, sets, n, num, den)
+
+
+def keep_one(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``docs`` with one row of each component, columns unchanged: the least doc_id, null last.
+
+    Rows without words are linked with nothing and all stay. Rows equal in doc_id and text are one
+    document: any one of them stays.
+    """
+    columns = docs.columns
+    members, labels = joined(docs, n, num, den)
+    rows = labelled(members.filter("cid is not null"), labels, "cid", "comp")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tid")).alias("s"))
+    first = materialize(first.select(F.col("s.doc_id").alias("__j_id"), F.col("s.tid").alias("__j_tid"), "comp"), "join-kept")
+    text = text_or_empty()
+    marked = docs.select(F.struct(*columns).alias("__j_row"), F.col("doc_id").cast("long").alias("__j_doc"), F.xxhash64(text).alias("__j_hash"), F.btrim(text, F.lit(BLANKS)).alias("__j_words"))
+    wordless = marked.filter("__j_words = ''").select("__j_row")
+    same = (F.col("__j_hash") == F.col("__j_tid")) & F.col("__j_doc").eqNullSafe(F.col("__j_id"))
+    kept = marked.filter("__j_words <> ''").drop("__j_words").join(first, same)
+    repeated = members.filter("cid is not null").groupBy("doc_id", "tid").count().filter("count > 1")
+    if not repeated.isEmpty():  # only then may a component have kept several rows
+        kept = kept.dropDuplicates(["comp"])
+    return kept.select("__j_row").unionByName(wordless).select(*[F.col("__j_row")[c].alias(c) for c in columns])
