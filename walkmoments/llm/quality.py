@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, text_or_empty
+from .common import GAP, drop_table, materialize, text_or_empty
 
 #: Characters that part words, and those that count as symbols.
 BLANKS = " \t\n\x0b\f\r"
@@ -88,7 +88,8 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (n - F.length(F.replace(F.col("__q_text"), F.lit("!"), F.lit("")))).cast("long").alias("n_exclaim"),
         (n - F.length(F.regexp_replace("__q_text", "[A-Z]+", ""))).cast("long").alias("n_upper"),
     )
-    return step.withColumn("__q_stats", stats).drop("__q_text", "__q_words", "__q_grams", "__q_order", "__q_at")
+    # the one-row explode keeps the optimizer from copying the statistics into every condition on them
+    return step.withColumn("__q_stats", F.explode(F.array(stats))).drop("__q_text", "__q_words", "__q_grams", "__q_order", "__q_at")
 
 
 def base_failed(stats: Column) -> Column:
@@ -229,3 +230,19 @@ def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
     s = F.col("__q_stats")
     out = stats.withColumn("base_failed", base_failed(s)).withColumn("rule", rules.verdict(s))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, rules: DecisionList | None = None) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and the list, columns unchanged.
+
+    Without ``rules`` they are learned from the labels of these documents. The verdict is computed
+    in place, in the scan that passes the texts on: no text is shuffled.
+    """
+    if rules is None:
+        known = labels.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+        stats = materialize(with_stats(docs.select("doc_id", "text")).select("doc_id", "__q_stats"), "quality-stats")
+        rules = fit(stats.join(known, "doc_id", "left_semi"), labels)
+        drop_table(stats)
+    columns = docs.columns
+    s = F.col("__q_stats")
+    return with_stats(docs).filter(~base_failed(s) & rules.verdict(s).isNull()).select(*columns)
