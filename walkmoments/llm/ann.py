@@ -150,46 +150,26 @@ def shortlists(places: DataFrame, classes: DataFrame) -> DataFrame:
     asked = places.filter("kind = 1").select("curve", own.alias("range")).distinct()
     rows = rows.join(asked, ["curve", "range"], "left_semi").join(small, "cid").select("curve", "range", "kind", "cid", "copy", "scale")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def score(t: pa.Table) -> pa.RecordBatch:
-            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]]
-            curve, place = t.column(0).to_numpy(), t.column(1).to_numpy()
-            at = np.flatnonzero(np.concatenate([[True], (curve[1:] != curve[:-1]) | (place[1:] != place[:-1])]))
-            kind, cid, scale = t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(5).to_numpy()
-            raw = t.column(4).combine_chunks()
-            m = np.frombuffer(b"".join(raw.to_pylist()), np.int8).reshape(len(kind), -1)
-            for a, z in zip(at, np.append(at[1:], len(kind))):
-                q, d = np.flatnonzero(kind[a:z] == 1) + a, np.flatnonzero(kind[a:z] == 0) + a
-                if not len(q) or not len(d):
-                    continue
-                vectors = m[d].astype(np.float32) * scale[d][:, None]
-                best = min(SHORTLIST, len(d))
-                for s in range(0, len(q), 512):
-                    part = q[s : s + 512]
-                    got = (m[part].astype(np.float32) * scale[part][:, None]) @ vectors.T
-                    top = np.argpartition(got, len(d) - best, axis=1)[:, len(d) - best :]
-                    out[0].append(np.repeat(cid[part], best))
-                    out[1].append(cid[d][top].ravel())
-                    out[2].append(np.take_along_axis(got, top, 1).ravel().astype(np.float32))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["qid", "cid", "near"])
-
-        rest: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = pa.Table.from_batches([batch])
-            t = new if rest is None else pa.concat_tables([rest, new])
-            curve, place = t.column(0).to_numpy(), t.column(1).to_numpy()
-            other = np.flatnonzero((curve != curve[-1]) | (place != place[-1]))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            rest = t.slice(cut)  # one range at most
-            if cut:
-                yield score(t.slice(0, cut))
-        if rest is not None and rest.num_rows:
-            yield score(rest)
-
-    dealt = rows.repartition("curve", "range").sortWithinPartitions("curve", "range")
-    found = dealt.mapInArrow(run, "qid long, cid long, near float").groupBy("qid", "cid").agg(F.max("near").alias("near"))
+    def score(t: pa.Table) -> pa.Table:
+        """One range: at most RANGE + 2 * MARGIN vectors, and the queries among its own places."""
+        kind, cid, scale = t.column("kind").to_numpy(), t.column("cid").to_numpy(), t.column("scale").to_numpy()
+        m = np.frombuffer(b"".join(t.column("copy").to_pylist()), np.int8).reshape(len(kind), -1)
+        q, d = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]]
+        if len(q) and len(d):
+            vectors = m[d].astype(np.float32) * scale[d][:, None]
+            best = min(SHORTLIST, len(d))
+            for s in range(0, len(q), 512):
+                part = q[s : s + 512]
+                got = (m[part].astype(np.float32) * scale[part][:, None]) @ vectors.T
+                top = np.argpartition(got, len(d) - best, axis=1)[:, len(d) - best :]
+                out[0].append(np.repeat(cid[part], best))
+                out[1].append(cid[d][top].ravel())
+                out[2].append(np.take_along_axis(got, top, 1).ravel().astype(np.float32))
+        return pa.table([pa.array(np.concatenate(x)) for x in out], names=["qid", "cid", "near"])
+
+    # a grouped map demands that a range's rows meet; a bare repartition may be optimised away
+    found = rows.groupBy("curve", "range").applyInArrow(score, "qid long, cid long, near float").groupBy("qid", "cid").agg(F.max("near").alias("near"))
     order = Window.partitionBy("qid").orderBy(F.desc("near"), "cid")
     return found.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= RERANK).select("qid", "cid")
 
