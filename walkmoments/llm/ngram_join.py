@@ -274,7 +274,8 @@ def tree_candidates(groups: DataFrame, labels: DataFrame, sets: DataFrame, num:
         if rest is not None and rest.num_rows:
             yield pairs(rest)
 
-    dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # dealt by a number that no plan below is partitioned by: else the optimizer may drop the exchange
+    dealt = full.repartition(F.xxhash64("key", "i", "j")).sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
