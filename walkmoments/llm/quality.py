@@ -142,7 +142,11 @@ class DecisionList:
 
 
 def cell_counts(labelled: DataFrame) -> tuple[dict[str, list[float]], list]:
-    """Edges per feature, and counts per (cell, fold, label) of rows (__q_stats, doc_id, quality)."""
+    """Thresholds per feature, and counts per (cell, fold, label) of rows (__q_stats, doc_id, quality).
+
+    Cells are cut at quantiles; a threshold lies halfway between its quantile and the next greater
+    value, which parts the labelled rows alike and leaves the widest margin for others.
+    """
     named = features(F.col("__q_stats"))
     rows = labelled.select(*[named[f].alias(f) for f in FEATURES], F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int").alias("fold"), F.col("quality").cast("int").alias("quality"))
     found = rows.agg(*[F.percentile_approx(f, list(QUANTILES), 10_000).alias(f) for f in FEATURES]).first()
@@ -154,8 +158,11 @@ def cell_counts(labelled: DataFrame) -> tuple[dict[str, list[float]], list]:
             out = out + (F.col(f) > F.lit(e)).cast("int")
         return out.alias(f)
 
+    above = [F.min(F.when(F.col(f) > F.lit(e), F.col(f))).alias(f"{f}_{k}") for f in FEATURES for k, e in enumerate(edges[f])]
+    next_value = rows.agg(*above, F.count("*").alias("n")).first()
+    halfway = {f: [e if next_value[f"{f}_{k}"] is None else (e + next_value[f"{f}_{k}"]) / 2 for k, e in enumerate(edges[f])] for f in FEATURES}
     counts = rows.select(*[cell(f) for f in FEATURES], "fold", "quality").groupBy(*FEATURES, "fold", "quality").count()
-    return edges, counts.collect()  # at most 2 * 3 * BINS ** len(FEATURES) rows
+    return halfway, counts.collect()  # at most 2 * 3 * BINS ** len(FEATURES) rows
 
 
 def learn(edges: dict[str, list[float]], cells: list, precision: float = 0.9, support: float = 0.002, most_rules: int = 24) -> DecisionList:
