@@ -132,3 +132,26 @@ def split_nodes(graph: Graph, seed: int) -> DataFrame:
     rank = F.col("__o") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", "id")) - 1
     one, eight = int(graph.n * 0.1), int(graph.n * 0.8)
     return placed.withColumn("__r", rank).select("id", F.when(F.col("__r") < one, "train").when(F.col("__r") < one + eight, "test").otherwise("valid").alias("part"))
+
+
+def drop_nodes(graph: Graph, rate: float, seed: int) -> DataFrame:
+    """Edges among the nodes that a Bernoulli drop leaves."""
+    from .graph import induced
+
+    return induced(graph.edges, graph.nodes().filter(uniform(seed, "id") >= rate))
+
+
+def drop_arcs_by_weight(arcs: DataFrame, rate: float, seed: int, most: float = 0.7) -> DataFrame:
+    """Arcs (src, dst, w) kept where a hashed number is not below w / mean(w) * rate, at most ``most``."""
+    mean = arcs.agg(F.avg("w").alias("__mean"))
+    chance = F.least(F.lit(most), F.col("w") / F.col("__mean") * rate)
+    return arcs.join(F.broadcast(mean)).filter(uniform(seed, "src", "dst") >= chance).select("src", "dst", "w")
+
+
+def drop_features(features: DataFrame, rate: float, seed: int) -> DataFrame:
+    """Rows (id, feature, x) of the features that a Bernoulli drop of whole columns leaves."""
+    return features.filter(uniform(seed, "feature") >= rate)
+
+
+def random_nodes(graph: Graph, size: int, seed: int) -> DataFrame:
+    return graph.nodes().orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size)

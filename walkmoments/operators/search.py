@@ -210,6 +210,7 @@ class Plan:
     candidate_limit: int | None = None
     seed: int = 0
     checkpoints: tuple[int, ...] = ()
+    refresh_interval: int | None = None  # lazy strategy: all scores are renewed after so many steps
 
 
 def _distance(moments: dict[int, float], deltas: dict[int, np.ndarray], target: dict[int, float], scale: dict[int, float]) -> np.ndarray:
@@ -237,6 +238,7 @@ def run_small(edges: np.ndarray, n: int, plan: Plan) -> tuple[list[tuple], dict[
         elif plan.strategy == "heap_lazy":
             if pool is None:
                 pool = g.pairs(True)
+            if cache is None or (plan.refresh_interval and (step - 1) % plan.refresh_interval == 0):
                 cache = _distance(now, g.deltas(pool, plan.orders, False), target, scale)
             order = np.lexsort((pool[:, 1], pool[:, 0], cache))[: plan.top_k]
             fresh = g.deltas(pool[order], plan.orders, False)

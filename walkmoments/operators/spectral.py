@@ -160,6 +160,44 @@ def property_snapshot(graph: Graph, metrics=METRICS) -> DataFrame:
     return out
 
 
+def property_distances(a: Graph, b: Graph, metrics=METRICS) -> DataFrame:
+    """metric, distance: absolute difference of each metric between two graphs."""
+    one, two = property_snapshot(a, metrics), property_snapshot(b, metrics)
+    rows = one.withColumnRenamed("value", "x").join(two.withColumnRenamed("value", "y"), "metric")
+    return rows.select("metric", F.abs(F.col("x") - F.col("y")).alias("distance"))
+
+
+def spectral_greedy(graph: Graph, budget: int) -> DataFrame:
+    """step, u, v, rmse: each step deletes the edge that keeps the spectrum nearest the first one's.
+
+    Every candidate's dense spectrum is a task of its own within a step; for small graphs.
+    """
+    spark, n = graph.spark, graph.n
+    pairs = sorted((r["u"], r["v"]) for r in graph.edges.collect())  # one dense matrix holds the graph anyway
+
+    def eigenvalues(edges: np.ndarray) -> np.ndarray:
+        a = np.zeros((n, n))
+        a[edges[:, 0], edges[:, 1]] = a[edges[:, 1], edges[:, 0]] = 1
+        d = a.sum(1)
+        s = np.divide(1, np.sqrt(d), out=np.zeros(n), where=d > 0)
+        return np.linalg.eigvalsh(a * s[:, None] * s[None, :])
+
+    start, made = eigenvalues(np.array(pairs)), []
+    for step in range(1, budget + 1):
+        held = np.array(pairs)
+
+        def tried(batches, held=held):
+            for part in batches:
+                found = [float(np.sqrt(np.mean((eigenvalues(held[(held != (u, v)).any(1)]) - start) ** 2))) for u, v in zip(part.u, part.v)]
+                yield part.assign(rmse=np.round(found, 12))
+
+        rows = spark.createDataFrame([(int(u), int(v)) for u, v in pairs], "u long, v long").repartition(spark.sparkContext.defaultParallelism)
+        best = rows.mapInPandas(tried, "u long, v long, rmse double").orderBy("rmse", "u", "v").first()
+        made.append((step, best["u"], best["v"], best["rmse"]))
+        pairs.remove((best["u"], best["v"]))
+    return spark.createDataFrame(made, "step int, u long, v long, rmse double")
+
+
 def pagerank(graph: Graph, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """id, x after rounds of x = (1 - d) x + d * sum over arcs of x / degree, from 1; isolated nodes only decay."""
     deg = stats.degrees(graph)

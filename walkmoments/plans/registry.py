@@ -875,3 +875,52 @@ def sparsified_diffusion(spark, sf):
 def coalesced_arcs(spark, sf):
     rows = graphs.table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst"), F.col("l_quantity").cast("double").alias("w"))
     return rounded(spectral.coalesce_arcs(rows), 6)
+
+
+# -- experiments -----------------------------------------------------------------------------------
+
+
+@query()
+def spectral_greedy_deletion(spark, sf):
+    g = graphs.trade(spark, sf)
+    return spectral.spectral_greedy(g, 3)
+
+
+@query(
+    f"with {S.G1}, {S.IDS}, {EDITS}, {AFTER}, {_after('g')}, {_after('g2')} select 'm2' metric, {R('abs(a.m2 - b.m2)', 'distance')} from m_g a, m_g2 b union all select 'm3', {R('abs(a.m3 - b.m3)')} from m_g a, m_g2 b"
+)
+def property_distances(spark, sf):
+    g = graphs.handover(spark, sf).cached()
+    return rounded(spectral.property_distances(g, deltas.apply_edits(g, *_edits(g)), ("m2", "m3")))
+
+
+@query()
+def dropped_nodes(spark, sf):
+    return sampling.drop_nodes(graphs.copurchase(spark, sf), 0.2, 5)
+
+
+@query()
+def dropped_arcs(spark, sf):
+    g = graphs.copurchase(spark, sf).cached()
+    return sampling.drop_arcs_by_weight(spectral.arc_weights(g, stats.degrees(g), "d"), 0.3, 5)
+
+
+@query()
+def property_preservation(spark, sf):
+    from ..operators import experiments
+
+    return experiments.preservation(graphs.handover(spark, sf).cached(), most=0.05, step=0.05, metrics=("m2", "m3"))
+
+
+@query()
+def linear_probe(spark, sf):
+    from ..operators import experiments
+
+    rows = graphs.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"), "label")
+    return experiments.linear_probe(rows)
+
+
+@query()
+def random_node_subgraph(spark, sf):
+    g = graphs.copurchase(spark, sf)
+    return graph.induced(g.edges, sampling.random_nodes(g, 500, 3))
