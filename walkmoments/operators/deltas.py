@@ -19,10 +19,28 @@ from .graph import Graph, canonical, complement, pair, require_members
 from .moments import compute_moments, orders_of, powers
 
 
-def delete_deltas(graph: Graph, candidates: DataFrame | None = None) -> DataFrame:
+@dataclass
+class State:
+    """Triangles, node statistics and moments 2 and 3 of one graph, computed once for several queries."""
+
+    triangles: DataFrame
+    nodes: DataFrame
+    moments: dict[int, float]
+
+
+def prepare(graph: Graph) -> State:
+    """Persists triangles and node statistics; the moments are sums over the nodes."""
+    tri = stats.triangles(graph).persist()
+    nodes = stats.node_stats(graph, tri).persist()
+    zero, inv = F.lit(0.0), fn.inverse(F.col("d"))
+    row = nodes.agg(F.coalesce(F.sum(F.col("W") * inv), zero).alias("a"), F.coalesce(F.sum(F.col("H") * inv), zero).alias("b")).first()
+    return State(tri, nodes, {2: row["a"] / graph.n, 3: 2 * row["b"] / graph.n})
+
+
+def delete_deltas(graph: Graph, candidates: DataFrame | None = None, state: State | None = None) -> DataFrame:
     """u, v, delta_m2, delta_m3 of deleting each candidate edge (default: every edge)."""
-    tri = stats.triangles(graph)
-    ends = stats.node_stats(graph, tri)
+    tri = stats.triangles(graph) if state is None else state.triangles
+    ends = stats.node_stats(graph, tri) if state is None else state.nodes
     rows = (graph.edges if candidates is None else candidates).join(stats.edge_mass(tri), ["u", "v"], "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
     for e in "uv":
         rows = rows.join(ends.select(F.col("id").alias(e), F.col("d").cast("double").alias(f"d{e}"), F.col("W").alias(f"w{e}"), F.col("H").alias(f"h{e}")), e)

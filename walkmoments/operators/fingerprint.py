@@ -8,9 +8,8 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .deltas import delete_deltas
+from .deltas import delete_deltas, prepare
 from .graph import Graph
-from .moments import compute_moments
 
 STEP, BANDWIDTH = 0.5, 3.0
 
@@ -28,8 +27,9 @@ def scales(deltas: DataFrame, mode: str, moments: dict[int, float]) -> dict[int,
 
 def profile(graph: Graph, mode: str = "graph_relative") -> DataFrame:
     """u, v, delta_m2, delta_m3, scaled_m2, scaled_m3, length, angle_deg (null where the length vanishes)."""
-    deltas = delete_deltas(graph)
-    by = scales(deltas, mode, compute_moments(graph, (2, 3)))
+    state = prepare(graph)
+    deltas = delete_deltas(graph, state=state)
+    by = scales(deltas, mode, state.moments)
     rows = deltas.withColumn("scaled_m2", F.col("delta_m2") / by[2]).withColumn("scaled_m3", F.col("delta_m3") / by[3])
     rows = rows.withColumn("length", F.hypot("scaled_m2", "scaled_m3"))
     angle = F.degrees(F.atan2("scaled_m3", "scaled_m2")) + 360.0

@@ -362,8 +362,8 @@ SECTOR = f"cast(cast(floor({ANGLE} * 8 / (2 * pi()) + 0.5) as bigint) % 8 as int
 
 
 def _relatives(g: Graph) -> DataFrame:
-    m = moments.compute_moments(g, (2, 3))
-    rows = deltas.delete_deltas(g)
+    state = deltas.prepare(g)
+    m, rows = state.moments, deltas.delete_deltas(g, state=state)
     return rows.withColumn("rel_m2", relative(F.col("delta_m2"), m[2])).withColumn("rel_m3", relative(F.col("delta_m3"), m[3]))
 
 
@@ -397,8 +397,13 @@ SCORE = "sqrt(power(d2 / (case when abs(m2) > 1e-12 then abs(m2) else 1.0 end),
 
 
 def _scored(g: Graph, operation: str = "delete", euclidean: bool = False) -> DataFrame:
-    m = moments.compute_moments(g, (2, 3))
-    return search.scored(search.edit_candidates(g, operation), m, m, search.relative_scale(m), m if euclidean else None, euclidean)
+    if operation == "delete":
+        state = deltas.prepare(g)
+        m = state.moments
+        rows = deltas.delete_deltas(g, state=state).withColumn("op_rank", F.lit(1))
+    else:
+        m, rows = moments.compute_moments(g, (2, 3)), search.edit_candidates(g, operation)
+    return search.scored(rows, m, m, search.relative_scale(m), m if euclidean else None, euclidean)
 
 
 @query(f"with {ST1}, {S.DELETE}, {MM} select u, v, {R(SCORE, 'distance', 10)} from dels, mm")
