@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Words up to so many bytes use the rank array.
 SHORT = 512
-#: A worker's word cache is emptied when it holds so many words.
-CACHE_WORDS = 1_000_000
+#: A worker keeps two generations of at most so many words each, about 30 MB a generation.
+CACHE_WORDS = 120_000
 NEVER = 1 << 30
 
 # Fixed value: the word pattern of byte-level BPE.
@@ -68,6 +68,7 @@ class RankBpe:
         self.size = max(self.token_bytes, default=-1) + 1
         self.table = [self.token_bytes.get(i, b"") for i in range(self.size)]
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge_short(self, word: bytes) -> list[int]:
         """Ids of one word: part boundaries and adjacent ranks in contiguous arrays."""
@@ -112,13 +113,17 @@ class RankBpe:
         return [self.id_of[word[a : end[a]]] for a in range(n) if end[a]]
 
     def pack(self, word: str) -> bytes:
-        raw = word.encode("utf-8")
-        ids = self.merge_short(raw) if len(raw) <= SHORT else self.merge_long(raw)
+        """Packed ids of a word that the young generation lacked; it is there afterwards, if short."""
+        packed = self.cache.get(word) or self.old.get(word)
+        if packed is None:
+            raw = word.encode("utf-8")
+            short = len(raw) <= SHORT
+            packed = np.array(self.merge_short(raw) if short else self.merge_long(raw), dtype="<u4").tobytes()
+            if not short:
+                return packed
         if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        packed = np.array(ids, dtype="<u4").tobytes()
-        if len(raw) <= SHORT:
-            self.cache[word] = packed
+            self.cache, self.old = {}, self.cache
+        self.cache[word] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -133,7 +138,7 @@ class RankBpe:
         get = self.cache.get
         packed = [get(w) for w in words]
         if None in packed:
-            packed = [p if p is not None else (get(w) or self.pack(w)) for w, p in zip(words, packed)]
+            packed = [p if p is not None else self.pack(w) for w, p in zip(words, packed)]
         return b"".join(packed)
 
     def decode(self, packed: bytes) -> str:
