@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Words up to so many bytes use the rank array.
 SHORT = 512
-#: A worker keeps two generations of at most so many words each, about 30 MB a generation.
-CACHE_WORDS = 120_000
+#: A task keeps two generations of at most so many words each, about 50 MB a generation.
+CACHE_WORDS = 300_000
 NEVER = 1 << 30
 
 # Fixed value: the word pattern of byte-level BPE.
@@ -126,6 +126,10 @@ class RankBpe:
         self.cache[word] = packed
         return packed
 
+    def forget(self) -> None:
+        """Empties the word cache: workers outlive their tasks and share an executor's memory with other stages."""
+        self.cache, self.old = {}, {}
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.cut_special is not None and any(s in text for s in self.special):
@@ -177,6 +181,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 if decode:
                     cols.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split(" ")[0] for f in schema.split(", ")])
+        bpe.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
@@ -203,6 +208,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        bpe.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
