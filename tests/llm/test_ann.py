@@ -38,6 +38,20 @@ def test_recall_where_ranges_are_small(spark, monkeypatch):
     assert len(found & truth) / len(truth) >= 0.9
 
 
+def test_recall_where_ranges_follow_the_classes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "RANGE", 64)
+    monkeypatch.setattr(ann, "MARGIN", 16)
+    x = np.random.default_rng(5).normal(size=(20000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    score = x[::20] @ x.T
+    score[np.arange(1000), np.arange(0, 20000, 20)] = -2
+    near = np.argpartition(score, 20000 - 20, axis=1)[:, -20:]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect()}
+    truth = {(20 * q, int(i)) for q, ids in enumerate(near) for i in ids}
+    assert len(found & truth) / len(truth) >= 0.9
+
+
 def test_ties_and_odd_rows(spark):
     rows = [(i, [1.0, 2.0]) for i in range(0, 60)] + [(i, [float(i), -3.0]) for i in range(60, 100)]
     odd = [(100, None), (120, [0.0, 0.0]), (140, [float("nan"), 1.0]), (160, [1.0, None]), (180, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (200, [float("inf"), 1.0]), (80, [99.0, 9.0]), (80, [80.0, -3.0])]

@@ -4,14 +4,16 @@ Nearness is the largest inner product. Vectors are scaled by the greatest norm a
 coordinate that makes them unit length, queries are unit vectors with 0 there, so the nearest in
 angle has the largest product whatever the norms. Each of CURVES orderings projects them on DIMS
 random axes, shifts the cube and takes Hilbert keys. Keys are ranked by prefix sums over blocks of
-their leading bits; ranks are cut into ranges of RANGE places, each with a margin of MARGIN places
-of its neighbours. Inside a range every query is scored against every vector on 8-bit copies, and
+their leading bits; ranks are cut into ranges, each with a margin of places of its neighbours on
+either side: RANGE and MARGIN places in small tables, in larger ones 1 / SHARE of the classes and a
+quarter of that, so that the part of a table that a query meets does not fall as the table grows. Inside a range every query is scored against every vector on 8-bit copies, and
 its best SHORTLIST go on; the curves' lists merge, and the best RERANK are scored exactly, in
 double precision on the original vectors.
 
 Equal vectors are one class, which holds its k + 1 least ids; a task sees a class once, however
-many rows share it. Each query thus meets CURVES * (RANGE + 2 * MARGIN) classes at most: the work
-grows in proportion to the rows. Up to RANGE classes every query meets all.
+many rows share it. Up to RANGE classes every query meets all. Up to SHARE * RANGE classes the work
+grows in proportion to the rows, beyond that with queries times classes: vectors of many nearly
+independent dimensions keep their recall in no smaller part of the table.
 
 Defined results: rows without id, and vectors that are null, zero, of another length than most, or
 hold null or non-finite components, take no part; several rows of one id count as the one with the
@@ -32,6 +34,8 @@ from .common import block_prefix, materialize
 
 CURVES, DIMS, BITS = 16, 6, 10
 RANGE, MARGIN = 4096, 1024
+#: Larger tables have ranges of this part of their classes.
+SHARE = 24
 SHORTLIST, RERANK = 40, 64
 SEED = 77
 #: Leading key bits that make the blocks of the ranking.
@@ -101,6 +105,11 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
     return one.select(F.get("ids", F.lit(0)).alias("cid"), "ids", "v", norm.alias("norm"))
 
 
+def spans(classes: int) -> tuple[int, int]:
+    """Places of a range and of its margin on either side, for so many classes."""
+    return max(RANGE, -(-classes // SHARE)), max(MARGIN, -(-classes // (4 * SHARE)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -129,7 +138,7 @@ def ranked_keys(classes: DataFrame, greatest: float) -> DataFrame:
     return block_prefix(keyed, ["curve"], block, [F.col("key"), F.col("cid"), F.col("kind")], "one", "place").select("curve", "cid", "kind", "place")
 
 
-def shortlists(places: DataFrame, classes: DataFrame) -> DataFrame:
+def shortlists(places: DataFrame, classes: DataFrame, width: int, margin: int) -> DataFrame:
     """qid, cid pairs of classes, the best RERANK of each query over all curves."""
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,16 +151,16 @@ def shortlists(places: DataFrame, classes: DataFrame) -> DataFrame:
             )
 
     small = classes.select("cid", "v").mapInArrow(copies, "cid long, copy binary, scale float")
-    own, inside = F.floor(F.col("place") / RANGE), F.pmod("place", F.lit(RANGE))
+    own, inside = F.floor(F.col("place") / width), F.pmod("place", F.lit(width))
     seen = F.when(F.col("kind") == 1, F.array(own))
-    seen = seen.when(inside < MARGIN, F.array(own, own - 1)).when(inside >= RANGE - MARGIN, F.array(own, own + 1)).otherwise(F.array(own))
+    seen = seen.when(inside < margin, F.array(own, own - 1)).when(inside >= width - margin, F.array(own, own + 1)).otherwise(F.array(own))
     rows = places.select("curve", "cid", "kind", F.explode(seen).alias("range"))
     # ranges without a query are not sent
     asked = places.filter("kind = 1").select("curve", own.alias("range")).distinct()
     rows = rows.join(asked, ["curve", "range"], "left_semi").join(small, "cid").select("curve", "range", "kind", "cid", "copy", "scale")
 
     def score(t: pa.Table) -> pa.Table:
-        """One range: at most RANGE + 2 * MARGIN vectors, and the queries among its own places."""
+        """One range: at most width + 2 * margin vectors, and the queries among its own places."""
         kind, cid, scale = t.column("kind").to_numpy(), t.column("cid").to_numpy(), t.column("scale").to_numpy()
         m = np.frombuffer(b"".join(t.column("copy").to_pylist()), np.int8).reshape(len(kind), -1)
         q, d = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
@@ -159,8 +168,9 @@ def shortlists(places: DataFrame, classes: DataFrame) -> DataFrame:
         if len(q) and len(d):
             vectors = m[d].astype(np.float32) * scale[d][:, None]
             best = min(SHORTLIST, len(d))
-            for s in range(0, len(q), 512):
-                part = q[s : s + 512]
+            step = max(1, (1 << 22) // len(d))  # scores held at a time
+            for s in range(0, len(q), step):
+                part = q[s : s + step]
                 got = (m[part].astype(np.float32) * scale[part][:, None]) @ vectors.T
                 top = np.argpartition(got, len(d) - best, axis=1)[:, len(d) - best :]
                 out[0].append(np.repeat(cid[part], best))
@@ -181,8 +191,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     asked = rows.filter(queries).select(F.col("vec_id").alias("query_id"), "v")
     asks = asked.select("v").distinct().withColumn("__a", F.lit(True))
     classes = materialize(classes.join(asks, "v", "left").withColumn("asks", F.coalesce("__a", F.lit(False))).drop("__a"), "ann-classes")
-    greatest = classes.agg(F.max("norm")).first()[0] or 1.0
-    near = shortlists(ranked_keys(classes, float(greatest)), classes)
+    size = classes.agg(F.max("norm").alias("greatest"), F.count("*").alias("n")).first()
+    near = shortlists(ranked_keys(classes, float(size["greatest"] or 1.0)), classes, *spans(size["n"]))
     left, right = classes.select(F.col("cid").alias("qid"), F.col("v").alias("qv")), classes.select("cid", "v", "ids")
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = near.join(left, "qid").join(right, "cid").select("qid", "ids", product.alias("score"))
