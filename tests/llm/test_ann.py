@@ -52,6 +52,19 @@ def test_recall_where_ranges_follow_the_classes(spark, monkeypatch):
     assert len(found & truth) / len(truth) >= 0.9
 
 
+def test_dense_group_is_exact(spark):
+    rng = np.random.default_rng(6)
+    for jitter, kind in [(0.001, "float"), (1e-6, "double")]:
+        x = np.full((1, 64), 0.125) + rng.normal(size=(3000, 64)) * jitter / 8
+        x = x.astype(np.float32).astype(np.float64) if kind == "float" else x
+        rows = list(enumerate(x.tolist()))
+        want = {q: [i for _, i in near] for q, near in brute(rows).items()}
+        got = {}
+        for r in ann.search(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == want
+
+
 def test_ties_and_odd_rows(spark):
     rows = [(i, [1.0, 2.0]) for i in range(0, 60)] + [(i, [float(i), -3.0]) for i in range(60, 100)]
     odd = [(100, None), (120, [0.0, 0.0]), (140, [float("nan"), 1.0]), (160, [1.0, None]), (180, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (200, [float("inf"), 1.0]), (80, [99.0, 9.0]), (80, [80.0, -3.0])]

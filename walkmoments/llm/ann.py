@@ -6,9 +6,11 @@ angle has the largest product whatever the norms. Each of CURVES orderings proje
 random axes, shifts the cube and takes Hilbert keys. Keys are ranked by prefix sums over blocks of
 their leading bits; ranks are cut into ranges, each with a margin of places of its neighbours on
 either side: RANGE and MARGIN places in small tables, in larger ones 1 / SHARE of the classes and a
-quarter of that, so that the part of a table that a query meets does not fall as the table grows. Inside a range every query is scored against every vector on 8-bit copies, and
-its best SHORTLIST go on; the curves' lists merge, and the best RERANK are scored exactly, in
-double precision on the original vectors.
+quarter of that, so that the part of a table that a query meets does not fall as the table grows. Inside a range every query is scored against every vector in double precision, on copies without
+rounding. Whatever comes within the rounding error of a matrix product of the (k + 1)-th best is
+added up anew in the order of the final scores, and the k + 1 first by score and id go on (one may
+be the query itself); so do the first k + 1 of the curves' merged lists. Nothing that ranks among the
+k nearest of those met is lost.
 
 Equal vectors are one class, which holds its k + 1 least ids; a task sees a class once, however
 many rows share it. Up to RANGE classes every query meets all. Up to SHARE * RANGE classes the work
@@ -36,7 +38,6 @@ CURVES, DIMS, BITS = 16, 6, 10
 RANGE, MARGIN = 4096, 1024
 #: Larger tables have ranges of this part of their classes.
 SHARE = 24
-SHORTLIST, RERANK = 40, 64
 SEED = 77
 #: Leading key bits that make the blocks of the ranking.
 BLOCK_BITS = 12
@@ -114,6 +115,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _numbers(column: pa.Array, kind: type) -> np.ndarray:
+    """The vectors of a binary column, without copying a value at a time."""
+    from_, data = np.frombuffer(column.buffers()[1], np.int32)[column.offset :], column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[from_[0] : from_[len(column)]].view(kind).reshape(len(column), -1)
+
+
 def ranked_keys(classes: DataFrame, greatest: float) -> DataFrame:
     """curve, cid, kind (0 vector, 1 query), place: ranks on every curve; queries stand beside vectors."""
 
@@ -138,61 +145,73 @@ def ranked_keys(classes: DataFrame, greatest: float) -> DataFrame:
     return block_prefix(keyed, ["curve"], block, [F.col("key"), F.col("cid"), F.col("kind")], "one", "place").select("curve", "cid", "kind", "place")
 
 
-def shortlists(places: DataFrame, classes: DataFrame, width: int, margin: int) -> DataFrame:
-    """qid, cid pairs of classes, the best RERANK of each query over all curves."""
+def shortlists(places: DataFrame, classes: DataFrame, width: int, margin: int, k: int, single: bool) -> DataFrame:
+    """qid, cid pairs of classes, the first k + 1 of each query by score and cid over all curves.
+
+    ``single``: the components are single-precision numbers, of which 4 bytes are copies without rounding.
+    """
+    kind_of = np.float32 if single else np.float64
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1))
-            scale = np.abs(v).max(1) / 127
-            small = np.rint(v / scale[:, None]).astype(np.int8)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(scale.astype(np.float32))], names=["cid", "copy", "scale"]
-            )
-
-    small = classes.select("cid", "v").mapInArrow(copies, "cid long, copy binary, scale float")
+            v = _matrix(batch.column(1)).astype(kind_of)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in v], pa.binary())], names=["cid", "copy"])
+
+    small = classes.select("cid", "v").mapInArrow(copies, "cid long, copy binary")
     own, inside = F.floor(F.col("place") / width), F.pmod("place", F.lit(width))
     seen = F.when(F.col("kind") == 1, F.array(own))
     seen = seen.when(inside < margin, F.array(own, own - 1)).when(inside >= width - margin, F.array(own, own + 1)).otherwise(F.array(own))
     rows = places.select("curve", "cid", "kind", F.explode(seen).alias("range"))
     # ranges without a query are not sent
     asked = places.filter("kind = 1").select("curve", own.alias("range")).distinct()
-    rows = rows.join(asked, ["curve", "range"], "left_semi").join(small, "cid").select("curve", "range", "kind", "cid", "copy", "scale")
+    rows = rows.join(asked, ["curve", "range"], "left_semi").join(small, "cid").select("curve", "range", "kind", "cid", "copy")
 
     def score(t: pa.Table) -> pa.Table:
         """One range: at most width + 2 * margin vectors, and the queries among its own places."""
-        kind, cid, scale = t.column("kind").to_numpy(), t.column("cid").to_numpy(), t.column("scale").to_numpy()
-        m = np.frombuffer(b"".join(t.column("copy").to_pylist()), np.int8).reshape(len(kind), -1)
+        kind, cid = t.column("kind").to_numpy(), t.column("cid").to_numpy()
+        m = np.concatenate([_numbers(c, kind_of) for c in t.column("copy").chunks if len(c)])
         q, d = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if len(q) and len(d):
-            vectors = m[d].astype(np.float32) * scale[d][:, None]
-            best = min(SHORTLIST, len(d))
+            d = d[np.argsort(cid[d])]
+            vectors = m[d].astype(np.float64)
+            best = min(k + 1, len(d))
+            # twice the error bound n * u * |q| * |d| of each of two sums of n products
+            error = 2 * (m.shape[1] + 1) * np.finfo(np.float64).eps * np.sqrt((vectors**2).sum(1).max())
             step = max(1, (1 << 22) // len(d))  # scores held at a time
             for s in range(0, len(q), step):
                 part = q[s : s + step]
-                got = (m[part].astype(np.float32) * scale[part][:, None]) @ vectors.T
-                top = np.argpartition(got, len(d) - best, axis=1)[:, len(d) - best :]
-                out[0].append(np.repeat(cid[part], best))
-                out[1].append(cid[d][top].ravel())
-                out[2].append(np.take_along_axis(got, top, 1).ravel().astype(np.float32))
+                asking = m[part].astype(np.float64)
+                got = asking @ vectors.T
+                least = np.partition(got, len(d) - best, axis=1)[:, len(d) - best] - error * np.sqrt((asking**2).sum(1))
+                who, at = np.nonzero(~(got < least[:, None]))  # also where an overflow makes no number
+                exact = np.zeros(len(who))
+                for j in range(m.shape[1]):
+                    exact += asking[who, j] * vectors[at, j]
+                order = np.lexsort((at, -exact, who))
+                first = np.searchsorted(who, np.arange(len(part)))
+                order = order[np.arange(len(who)) - first[who] < best]
+                out[0].append(cid[part][who[order]])
+                out[1].append(cid[d][at[order]])
+                out[2].append(exact[order])
         return pa.table([pa.array(np.concatenate(x)) for x in out], names=["qid", "cid", "near"])
 
     # a grouped map demands that a range's rows meet; a bare repartition may be optimised away
-    found = rows.groupBy("curve", "range").applyInArrow(score, "qid long, cid long, near float").groupBy("qid", "cid").agg(F.max("near").alias("near"))
+    found = rows.groupBy("curve", "range").applyInArrow(score, "qid long, cid long, near double").groupBy("qid", "cid").agg(F.max("near").alias("near"))
     order = Window.partitionBy("qid").orderBy(F.desc("near"), "cid")
-    return found.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= RERANK).select("qid", "cid")
+    return found.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k + 1).select("qid", "cid")
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that ``queries`` (of vec_id) chooses."""
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     rows = valid_rows(vectors)
     classes = classes_of(rows, k)
     asked = rows.filter(queries).select(F.col("vec_id").alias("query_id"), "v")
     asks = asked.select("v").distinct().withColumn("__a", F.lit(True))
     classes = materialize(classes.join(asks, "v", "left").withColumn("asks", F.coalesce("__a", F.lit(False))).drop("__a"), "ann-classes")
     size = classes.agg(F.max("norm").alias("greatest"), F.count("*").alias("n")).first()
-    near = shortlists(ranked_keys(classes, float(size["greatest"] or 1.0)), classes, *spans(size["n"]))
+    near = shortlists(ranked_keys(classes, float(size["greatest"] or 1.0)), classes, *spans(size["n"]), k, single)
     left, right = classes.select(F.col("cid").alias("qid"), F.col("v").alias("qv")), classes.select("cid", "v", "ids")
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = near.join(left, "qid").join(right, "cid").select("qid", "ids", product.alias("score"))
