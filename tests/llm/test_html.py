@@ -41,6 +41,13 @@ def test_articles_of_the_table():
         assert main_text(r["html"]) == "\n".join(x for x in plain if x)
 
 
+def test_text_beside_a_teaser_stays():
+    story, teaser = f"<div><p>{LONG}</p><p>{LONG}</p></div>", "<article><h3>Next story</h3></article>"
+    links = "<div><a href=1>One</a></div><div><a href=2>Two</a></div><div><a href=3>Three</a></div>"
+    assert main_text(f"<nav>x</nav>{story}{links}{teaser}") == f"{LONG}\n{LONG}\nNext story"
+    assert main_text(f"<main>{teaser}</main>{links}<div>Imprint</div>{links}{story}") == f"Next story\n{LONG}\n{LONG}"
+
+
 def test_rows(spark):
     rows = [(k, None if k % 2 else f"http://x/{k}", page, "n") for k, (page, _) in enumerate(CASES.values())]
     rows += [(None, "u", "<p>" + "long " * 100_000, "n"), rows[0], rows[0]]

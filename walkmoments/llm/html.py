@@ -5,8 +5,9 @@ text has outside links; boilerplate (menus, page headers, footers, sidebars, not
 forms, comments, known by element, class, id or role) weighs nothing and stays in the line list as
 a valley. Weights are summed over sliding windows of WINDOW lines. A surge point is where the sum
 first rises over the threshold, a dive point where it falls to nothing; the lines between are the
-main text. Where the page names its article (``article`` or ``main``), lines outside weigh nothing
-and every rise counts, so short paragraphs of the article stay.
+main text. A line of an article that the page names (``article`` or ``main``) weighs its whole text
+and THRESHOLD more, so that short paragraphs of the article rise, too; lines outside are weighed as
+on any other page, and text outside that rises by itself or adjoins the article stays.
 
 Each page is handled alone by one Arrow map: no shuffle, any page stays in one batch row.
 
@@ -172,14 +173,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     """Lines between surge and dive points, joined by line feeds."""
     lines = lines_of(page or "")
-    named = any(inside and not bad for _, bad, inside, _ in lines)
     weight = []
     for text, bad, inside, linked in lines:
         own = max(0, len(text) - linked)
-        if bad or (named and not inside):
+        if bad:
             weight.append(0)
-        elif named:
-            weight.append(len(text))
+        elif inside:
+            weight.append(threshold + len(text))
         else:
             weight.append(0 if linked > own else own)
     n = len(weight)
@@ -189,7 +189,7 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     for w in weight:
         total.append(total[-1] + w)
     sums = [total[min(n, i + window)] - total[i] for i in range(n)]
-    level = 0 if named else min(threshold, max(sums))
+    level = min(threshold, max(sums))
     keep: list[str] = []
     i = 0
     while i < n:
@@ -197,7 +197,7 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
             i += 1
             continue
         surge = i
-        while not named and surge and weight[surge - 1]:  # the rise begins with the first line of the slope
+        while surge and weight[surge - 1]:  # the rise begins with the first line of the slope
             surge -= 1
         dive = i
         while dive < n and sums[dive] > 0:
