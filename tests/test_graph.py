@@ -161,3 +161,21 @@ def test_spectrum_and_registry(spark):
     k = graphs.synthetic(spark, "complete", 6)
     assert moments.compute_moments(k, (4,))[4] == pytest.approx((1 + 5 * (-1 / 5) ** 4) / 6)
     assert k.edges.filter(F.col("u") >= F.col("v")).count() == 0
+
+
+def test_ppr_is_the_dense_inverse(spark):
+    pairs, n = [(k, k + 1) for k in range(11)] + [(12, 13), (12, 14), (13, 14)], 16
+    a = np.eye(n)
+    for u, v in pairs:
+        a[u, v] = a[v, u] = 1
+    d = 1 / np.sqrt(a.sum(0))
+    want = 0.2 * np.linalg.inv(np.eye(n) - 0.8 * a * d[:, None] * d)
+    g = Graph(table(spark, pairs), n)
+    got = np.zeros((n, n))
+    for r in spectral.ppr_matrix(g).collect():
+        got[r.i, r.j] = r.w
+    assert np.allclose(got, want, atol=1e-13) and got[0, 11] > 0
+    kept = np.where(want >= 1e-4, want, 0)
+    kept /= kept.sum(1, keepdims=True)
+    found = {(r.i, r.j): r.w for r in spectral.ppr_diffusion(g).collect()}
+    assert set(found) == set(zip(*map(list, np.nonzero(kept)), strict=True)) and all(found[p] == pytest.approx(kept[p], abs=1e-12) for p in found)

@@ -867,13 +867,13 @@ def heat_kernel(spark, sf):
 
 @query()
 def ppr_diffusion(spark, sf):
-    return spectral.ppr_diffusion(graphs.handover(spark, sf).cached(), terms=4)
+    return spectral.ppr_diffusion(graphs.handover(spark, sf).cached())
 
 
 @query()
 def sparsified_diffusion(spark, sf):
     g = graphs.handover(spark, sf).cached()
-    return spectral.sparsify_to_degree(spectral.ppr_diffusion(g, terms=3), g.n, 20.0)
+    return spectral.sparsify_to_degree(spectral.ppr_matrix(g), g.n, 20.0)
 
 
 @query("select cast(l_suppkey as bigint) src, cast(l_partkey as bigint) dst, round(sum(l_quantity), 6) + 0.0 as w from lineitem group by 1, 2")
