@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from walkmoments.sources import graphs
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
@@ -40,3 +41,13 @@ def test_query_equals_sql(spark, db, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["u", "v", "delta_m2", "delta_m3"] and df.limit(1).count() == 1
+
+
+def test_whole_jobs_leave_no_row_out(spark):
+    keys = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey run", "cast(l_linenumber as int) repeat").distinct()
+    merged = entry.queries()["merged_shards_all"](spark, SF)
+    assert merged.count() == keys.count() and merged.filter("run % 4 = 3").count() > 0
+    found = entry.queries()["direct_trace_deltas_all"](spark, SF).select("u", "v")
+    every = graphs.handover(spark, SF).edges.select("u", "v")
+    assert found.count() > 2 and found.exceptAll(every).count() == every.exceptAll(found).count() == 0
+    spark.catalog.clearCache()

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -211,6 +212,39 @@ def direct_deltas(graph: Graph, candidates: list[tuple[int, int]], orders) -> li
     return out
 
 
+def direct_deltas_all(graph: Graph, orders) -> DataFrame:
+    """u, v, delta_m<k> of every edge: the traces of dense walk powers of the graph without it, edges dealt to tasks."""
+    wanted, n = orders_of(orders, 2), graph.n
+    held = np.array(sorted((r["u"], r["v"]) for r in graph.edges.collect()), dtype=np.int64).reshape(-1, 2)  # a dense matrix holds the graph anyway
+    names = ["u", "v", *[f"delta_m{k}" for k in wanted]]
+
+    def moments(adjacent: np.ndarray) -> list[float]:
+        d = adjacent.sum(1)
+        scale = np.divide(1, np.sqrt(d), out=np.zeros(n), where=d > 0)
+        base = adjacent * scale[:, None] * scale
+        walk, found = {1: base}, []
+        for k in range(2, (max(wanted) + 1) // 2 + 1):
+            walk[k] = walk[k - 1] @ base
+        for k in wanted:
+            found.append(float((walk[(k + 1) // 2] * walk[k // 2]).sum()) / n)
+        return found
+
+    def run(parts):
+        whole = np.zeros((n, n))
+        whole[held[:, 0], held[:, 1]] = whole[held[:, 1], held[:, 0]] = 1
+        before = moments(whole)
+        for part in parts:
+            rows = []
+            for u, v in zip(part.u, part.v, strict=True):
+                whole[u, v] = whole[v, u] = 0
+                rows.append((u, v, *[a - b for a, b in zip(moments(whole), before, strict=True)]))
+                whole[u, v] = whole[v, u] = 1
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = ", ".join(f"{c} {'long' if c in 'uv' else 'double'}" for c in names)
+    return graph.edges.select("u", "v").repartition(8 * graph.spark.sparkContext.defaultParallelism, "u", "v").mapInPandas(run, schema)
+
+
 BACKENDS = ("topology", "low_rank")
 
 

@@ -353,6 +353,11 @@ def direct_trace_deltas(spark, sf):
     return rounded(spark.createDataFrame(deltas.direct_deltas(g, first, (2, 3)), "u long, v long, delta_m2 double, delta_m3 double"))
 
 
+@query(f"with {ST1}, {S.DELETE} select u, v, {R('d2', 'delta_m2')}, {R('d3', 'delta_m3')} from dels")
+def direct_trace_deltas_all(spark, sf):
+    return rounded(deltas.direct_deltas_all(graphs.handover(spark, sf).cached(), (2, 3)))
+
+
 # -- directions, scores, choices -------------------------------------------------------------------
 
 REL = "rel as (select u, v, d2 / greatest(abs(m2), 1e-12) x, d3 / greatest(abs(m3), 1e-12) y, d2, d3, m2, m3 from dels, mm)"
@@ -780,6 +785,13 @@ def merged_shards(spark, sf):
     return reporting.merged_shards(shards, ["run", "repeat"], keys)
 
 
+@query(f"with {RUNS} select distinct run, repeat from runs")
+def merged_shards_all(spark, sf):
+    keys = _runs(spark, sf).select("run", "repeat").distinct()
+    shards = [keys.filter(F.pmod("run", F.lit(4)) == k) for k in range(4)]
+    return reporting.merged_shards(shards, ["run", "repeat"], keys)
+
+
 @query("select o_orderkey as row_index from orders where o_orderkey % 4 = 1 and o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
 def pending_jobs(spark, sf):
     jobs = graphs.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_index"))
