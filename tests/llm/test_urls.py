@@ -58,3 +58,15 @@ def test_trees_on_held_out_urls(spark):
     x = np.array([tuple(r[0]) for r in scored])
     own = model.bias + sum(t.predict(x) for t in model.trees)
     assert np.allclose(own, s)
+
+
+def test_rare_suffixes_keep_their_rates(spark):
+    hosts = [(i, f"http://a.h{i % 700}.net{i % 7}/x/{i}", int(i % 700 < 350)) for i in range(7000)]
+    df = urls.split_url(spark.createDataFrame(hosts, "page_id long, url string, __u_label int"))
+    model = urls.fit(df)
+    rows = model.with_features(df, F.col("url")).select("page_id", "__u_label", "__u_features.last_labels").collect()
+    assert len(rows) == 7000 and len({r.page_id for r in rows}) == 7000
+    assert all(abs(r.last_labels - (10 * r[1] + 4 * 0.5) / 14) < 1e-12 for r in rows)
+    other = urls.split_url(spark.createDataFrame([(1, "http://q.h3.net3/y/1"), (2, "http://q.h353.net3/y/1"), (3, "http://q.never/y")], "page_id long, url string"))
+    seen = {r[0]: r[1] for r in model.with_features(other, F.col("url")).select("page_id", "__u_features.last_labels").collect()}
+    assert seen[1] > 0.8 and seen[2] < 0.2 and seen[3] == 0.5

@@ -4,9 +4,10 @@ Rules of (verdict, host, path) come first: a rule fits its host and all subdomai
 path starts with the rule's path, and the longest wins. What no rule decides is judged by boosted
 trees on length, depth, digit ratio, entropy, parameter counts and suffix statistics, trained from
 labelled URLs. The trees are fitted on the driver from at most SAMPLE labelled rows, those with
-the least hash; suffix statistics are counted over all labelled rows and kept for suffixes with at
-least 1 / SUFFIXES of them, hence at most SUFFIXES rows, which may be broadcast. The fitted
-trees become one Spark expression, so scoring is a scan without Python.
+the least hash; suffix statistics are counted over all labelled rows, for every suffix seen, and
+smoothed by the prior. Suffixes with at least 1 / SUFFIXES of the labelled rows, hence at most
+SUFFIXES of each kind, are broadcast; the rest are a table that is joined by suffix. The fitted
+trees become one Spark expression, so scoring needs no Python.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule; the
 trees judge it like any other; without labelled rows of both kinds the verdict is that of the
@@ -23,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SAMPLE, SUFFIXES = 20_000, 500
 FEATURES = ("length", "host_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "hyphens", "last_label", "last_labels", "label_and_folder")
 BINS, TREES, DEPTH, RATE, LEAST = 32, 30, 3, 0.3, 8
@@ -116,19 +119,26 @@ class UrlModel:
     trees: list[Tree] = field(default_factory=list)
     rates: list[tuple[str, str, float]] = field(default_factory=list)  # feature, suffix, rate of block
     prior: float = 0.5
+    rare: DataFrame | None = None  # kind, suffix, rate of the suffixes that are not in ``rates``
 
     def with_features(self, rows: DataFrame, url: Column) -> DataFrame:
-        """Adds __u_features. ``rates`` holds at most SUFFIXES rows for each kind of suffix."""
+        """Adds __u_features. ``rates`` holds at most SUFFIXES rows for each kind of suffix and is broadcast."""
         spark, out = rows.sparkSession, rows
         for kind, value in suffixes().items():
             known = {s: r for f, s, r in self.rates if f == kind}
-            keyed = out.withColumn(f"__u_s_{kind}", value)
+            keyed, key, rate = out.withColumn(f"__u_s_{kind}", value), f"__u_s_{kind}", f"__u_r_{kind}"
             if known:
-                pairs = [F.struct(F.lit(s).alias(f"__u_s_{kind}"), F.lit(float(r)).alias(f"__u_r_{kind}")) for s, r in sorted(known.items())]
+                pairs = [F.struct(F.lit(s).alias(key), F.lit(float(r)).alias(rate)) for s, r in sorted(known.items())]
                 small = spark.range(1).select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
-                out = keyed.join(F.broadcast(small), f"__u_s_{kind}", "left")
+                out = keyed.join(F.broadcast(small), key, "left")
             else:
-                out = keyed.withColumn(f"__u_r_{kind}", F.lit(None).cast("double"))
+                out = keyed.withColumn(rate, F.lit(None).cast("double"))
+            if self.rare is not None:
+                # rows that have their rate are dealt by a hash of the url, so no common suffix meets in a task
+                away = F.when(F.col(rate).isNotNull(), F.xxhash64(url)).otherwise(F.lit(0))
+                more = self.rare.filter(F.col("kind") == kind).select(F.col("suffix").alias("__u_k"), F.lit(0).cast("long").alias("__u_a"), F.col("rate").alias("__u_m"))
+                out = out.withColumn("__u_a", away.cast("long")).withColumn("__u_k", F.when(F.col(rate).isNull(), F.col(key)).otherwise(F.lit("")))
+                out = out.join(more, ["__u_k", "__u_a"], "left").withColumn(rate, F.coalesce(rate, "__u_m")).drop("__u_k", "__u_a", "__u_m")
         columns = lexical(url) | {k: F.coalesce(F.col(f"__u_r_{k}"), F.lit(float(self.prior))) for k in suffixes()}
         out = out.withColumn("__u_features", F.struct(*[columns[f].alias(f) for f in FEATURES]))
         return out.drop(*[f"__u_{x}_{k}" for x in "sr" for k in suffixes()])
@@ -192,9 +202,11 @@ def fit(labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", samp
     counts = known.select("__u_label", pairs.alias("s")).groupBy("s.kind", "s.suffix").agg(F.count("*").alias("n"), F.sum("__u_label").alias("bad"))
     total = known.agg(F.count("*").alias("n"), F.sum("__u_label").alias("bad")).first()
     prior = (total["bad"] or 0) / total["n"] if total["n"] else 0.0
-    common = counts.filter(F.col("n") * SUFFIXES >= total["n"]).collect()  # at most SUFFIXES of each kind
-    rates = [(r["kind"], r["suffix"], (r["bad"] + 4 * prior) / (r["n"] + 4)) for r in common]
-    model = UrlModel(0.0, [], rates, prior)
+    rate = (F.col("bad") + 4 * prior) / (F.col("n") + 4)
+    counts = materialize(counts.withColumn("rate", rate).withColumn("common", F.col("n") * SUFFIXES >= total["n"]), "url-suffixes")
+    rates = [(r["kind"], r["suffix"], r["rate"]) for r in counts.filter("common").collect()]  # at most SUFFIXES of each kind
+    rare = counts.filter(~F.col("common")).select("kind", "suffix", "rate")
+    model = UrlModel(0.0, [], rates, prior, None if rare.isEmpty() else rare)
     url = F.col(url_col)
     chosen = known.orderBy(F.xxhash64(F.lit(5), F.col(id_col), url), id_col, url_col).limit(sample)
     found = model.with_features(chosen.select(url_col, "__u_host", "__u_path", "__u_label"), url).select("__u_features", "__u_label").collect()
