@@ -37,6 +37,16 @@ def test_components_by_brute_force(spark, monkeypatch, seed, n, num, den):
     assert got == components_by_all_pairs(rows, n, num, den)
 
 
+@pytest.mark.parametrize("seed,n,num,den", [(1, 4, 85, 100), (2, 5, 8, 10)])
+def test_links_by_brute_force(spark, monkeypatch, seed, n, num, den):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rows = family(seed)
+    sets = {i: shingle_set(t, n) for i, t in rows}
+    want = {i: sum(bool(s) and j != i and den * len(s & o) >= num * len(s | o) for j, o in sets.items()) for i, s in sets.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.n_links for r in ngram_join.links(docs, n, num, den).collect()} == want
+
+
 def test_table_by_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()]

@@ -297,6 +297,29 @@ def set_components(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int)
     return labels
 
 
+def links(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_links of every row of ``docs``: with how many other rows it links, those of an equal set included.
+
+    Every pair of distinct sets that share a group is verified: neither leaders nor components cut the
+    traversal, so the work follows the number of links.
+    """
+    sets = materialize(keyed_sets(docs.select("doc_id", "text"), n, num, den), "join-keys")
+    members = materialize(sets.select("doc_id", "cid"), "join-members")
+    groups = materialize(groups_of(sets), "join-groups")
+    touched = groups.select("cid").distinct()
+    wanted = materialize(sets.filter("cid is not null").select("cid", "tid").join(touched, "cid").groupBy("cid").agg(F.min("tid").alias("tid")), "join-wanted")
+    drop_table(sets)
+    whole = materialize(whole_sets(docs, wanted, n), "join-sets")
+    apart = docs.sparkSession.createDataFrame([], "cid long, comp long")  # each set is its own component
+    pairs = materialize(verified(tree_candidates(groups, apart, whole, num, den, 1), whole, num, den), "join-links")
+    rows = members.filter("cid is not null").groupBy("cid").agg(F.count("*").alias("rows"))
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = ends.join(rows.select(F.col("cid").alias("b"), "rows"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("rows").alias("far"))
+    counts = rows.join(far, "cid", "left").select("cid", (F.col("rows") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    linked_rows = members.filter("cid is not null").join(counts, "cid").select("doc_id", "n_links")
+    return linked_rows.unionByName(members.filter("cid is null").select("doc_id", F.lit(0).cast("long").alias("n_links")))
+
+
 def join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     members, labels = joined(docs, n, num, den)
