@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,13 +20,15 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is made.
+    Only where that setting is missing on a local master (tests on one machine) a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="walkmoments-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -44,6 +48,18 @@ def materialize(df: DataFrame, label: str = "table", compression: str = "lz4") -
     return out
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Actions inside send Python workers batches of about ``size`` bytes; the session's own setting returns after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that nothing will read again."""
     path = getattr(df, "_shared_path", None)

@@ -19,29 +19,58 @@ def _star(arcs: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
     tied = both.join(least, "u")
     if large:
-        out = tied.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        return tied.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 
+def at_rest(arcs: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: each component is a star around its least id."""
+    ends = arcs.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(arcs.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
+def _labels(arcs: DataFrame) -> DataFrame:
+    tops = arcs.select(F.col("v").alias("cid")).distinct()
+    return arcs.select(F.col("u").alias("cid"), F.col("v").alias("comp")).unionByName(tops.select("cid", F.col("cid").alias("comp")))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """cid, comp (least id of the component) for every id in ``edges`` (a, b).
+    """cid, comp (least id of the component) for every id in ``edges`` (a, b), written.
 
     Every step is a few aggregations and joins on narrow rows; each round's arcs are written to the
-    shared folder, and the last round's deleted. Nothing is collected but a count and a checksum.
+    shared folder and deleted after the next. Nothing is collected but whether the arcs rest.
     """
-    arcs = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "cc")
-    mark = None
+    arcs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     for _ in range(ROUNDS):
         new = materialize(_star(_star(arcs, True), False), "cc")
         drop_table(arcs)
         arcs = new
-        found = arcs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
+        if at_rest(arcs):
             break
-        mark = tuple(found)
     else:
         raise RuntimeError("components did not converge")
-    roots = arcs.select(F.col("v").alias("cid")).distinct()
-    return arcs.select(F.col("u").alias("cid"), F.col("v").alias("comp")).unionByName(roots.select("cid", F.col("cid").alias("comp")))
+    out = materialize(_labels(arcs), "cc-labels")
+    drop_table(arcs)
+    return out
+
+
+def roots(pointers: DataFrame) -> DataFrame:
+    """cid, comp for every id in ``pointers`` (a, b): one b < a for each a. Written.
+
+    Pointers are replaced by their target's until they rest on roots, so the steps follow the
+    logarithm of the longest chain.
+    """
+    arcs = pointers.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    for _ in range(ROUNDS):
+        if at_rest(arcs):
+            break
+        next_ = arcs.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        new = materialize(arcs.join(next_, "v", "left").select("u", F.coalesce("w", "v").alias("v")), "cc")
+        drop_table(arcs)
+        arcs = new
+    else:
+        raise RuntimeError("pointers did not come to rest")
+    out = materialize(_labels(arcs), "cc-labels")
+    drop_table(arcs)
+    return out

@@ -4,17 +4,19 @@ Two documents link when ``den * intersection >= num * union`` of their word shin
 
 1. One Arrow map makes each document's set and writes its number, size and segment keys. Linked
    sets share a segment key (see shingles.py), so groups of equal keys miss no link.
-2. Groups of two and more sets are kept. Each set's most frequent group leader is verified first;
-   the links found, a star a family, make preliminary components.
-3. Groups with one leader that still hold several components become signature trees (see sigtree.py), cut into
-   blocks of BLOCK sets. Dual traversal prunes node pairs by the greatest possible overlap and by
-   component, and leaves candidate pairs, which are verified on their whole sets. A scouting pass
-   over one in SCOUT of them gives each set's best pair only, to merge most of each family.
-4. A full pass with the new components gives every remaining pair once.
-5. The links' components label all documents with equal sets.
+2. Groups of two and more sets are kept, each named by its leader, the least set number. Each set is
+   verified against the leader of most of its groups; what links points to its leader, and the
+   pointers, doubled until they rest on roots, are preliminary classes.
+3. All groups with one leader are one unit. Units that still hold several classes become signature
+   trees (see sigtree.py), cut into blocks of at most BLOCK sets and BLOCK_MEMBERS members. Dual
+   traversal prunes node pairs by the greatest possible overlap and by class, and leaves candidate
+   pairs, which are verified on their whole sets. A pair of blocks with more than DENSE candidates a
+   set first gives each set's best one only; it is traversed again with the classes that these make,
+   and then gives all that are left.
+4. The components of all links label all documents with equal sets.
 
 Only keys, numbers and the sets of documents that share a group are shuffled. No pairs within a
-component are made, no group lies in one task as a whole, and nothing is capped.
+class are made, no group lies in one task as a whole, and nothing is capped.
 
 Sets hold 64-bit hashes, and sets are told apart by a 64-bit number; both err only where 64-bit
 hashes collide.
@@ -31,28 +33,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sigtree
-from .common import drop_table, materialize, text_or_empty
-from .components import components
-from .shingles import identity, linked, segment_keys, sets_of
-
-#: Sets in one block of a group; a task compares two blocks at most.
-BLOCK = 1024
-#: Bits of the fixed-size filter by which texts are chosen for the second reading: 2 MB whatever the input.
-FILTER_BITS = 24
+from .common import arrow_batches, drop_table, materialize, text_or_empty
+from .components import components, roots
+from .shingles import identity, segment_keys, sets_of
+
+#: Sets, and members of sets, in one block of a unit; a task compares two blocks at most.
+BLOCK, BLOCK_MEMBERS = 1024, 1 << 22
+#: Candidates a set beyond which a pair of blocks is dense.
+DENSE = 64
+#: The row filter has so many bits a row, and at most 2 ** FILTER_BITS: 2 ** (FILTER_BITS - 6) longs are broadcast, whatever the input.
+ROW_BITS, FILTER_BITS = 8, 25
+#: Set numbers that a task remembers to give the keys of copies once.
+SEEN = 1 << 17
 #: Characters that part words.
 BLANKS = " \t\n\x0b\f\r"
-#: The scouting pass takes one in so many units.
-SCOUT = 4
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
 
+def row_number_of(doc_id: Column, tid: Column) -> Column:
+    return F.xxhash64(doc_id, tid)
+
+
 def keyed_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, tid (number of the text), cid (number of the set, null if empty), n_shingles, keys."""
 
@@ -67,6 +75,8 @@ def keyed_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 for s, i in zip(sets, ids):
                     fresh.append(s if i is not None and i not in seen else s[:0])
                     seen.add(i)
+                if len(seen) > SEEN:
+                    seen = set()
                 keys, offsets = segment_keys(fresh, num, den)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -124,67 +134,74 @@ def groups_of(sets: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "key long, cid long, leader long")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cid, size, members (packed hashes), bitmap for rows (cid, tid) of ``wanted``, one text each.
+def units_of(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """cid, rid (number of one row with that set), leaders (of its groups), star (the leader of most of them, null if itself)."""
+    near = groups_of(sets).repartition("cid").groupBy("cid", "leader").agg(F.count("*").alias("hits"))
+    best = F.max(F.when(F.col("cid") != F.col("leader"), F.struct("hits", "leader"))).alias("best")
+    of_set = near.groupBy("cid").agg(F.collect_list("leader").alias("leaders"), best)
+    one = members.filter("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "tid")).alias("row"))
+    rows = of_set.join(one, "cid")
+    return rows.select("cid", row_number_of(F.col("row.doc_id"), F.col("row.tid")).alias("rid"), "leaders", F.col("best.leader").alias("star"))
 
-    Texts are read again and pass a fixed-size filter of the wanted texts' numbers; only those that
-    pass are shuffled, and the join by number drops the few that passed by chance.
-    """
-    spark = docs.sparkSession
-    word = F.shiftrightunsigned("tid", 64 - FILTER_BITS + 6)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tid").bitwiseAND(F.lit(63)).cast("int"))
-    found = wanted.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()  # 2 ** (FILTER_BITS - 6) rows at most
-    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    table[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, seen = shared.value, np.zeros(0, np.int64)
-        for batch in batches:
-            t = batch.column(0).to_numpy()
-            u = t.view(np.uint64)
-            hit = (filled[(u >> np.uint64(64 - FILTER_BITS + 6)).astype(np.int64)] >> (u & np.uint64(63))) & np.uint64(1) == 1
-            first = np.zeros(len(t), bool)
-            first[np.unique(t, return_index=True)[1]] = True
-            hit &= first & ~np.isin(t, seen)
-            seen = np.concatenate([seen, t[hit]])
-            yield batch.filter(pa.array(hit))
 
-    text = text_or_empty()
-    texts = docs.select(F.xxhash64(text).alias("tid"), text.alias("text")).mapInArrow(chosen, "tid long, text string")
-    one = texts.groupBy("tid").agg(F.first("text").alias("text")).join(wanted, "tid").select("cid", "text")
+def filter_of(rids: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """A bit for each row number, as a table of words of bits, and the shift that gives a number's word."""
+    width = min(FILTER_BITS, max(12, (ROW_BITS * max(rows, 1)).bit_length()))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rid").bitwiseAND(F.lit(63)).cast("int"))
+    words = rids.groupBy(F.shiftrightunsigned("rid", 70 - width).alias("__f_word")).agg(F.bit_or(bit).alias("__f_bits"))
+    return words, 70 - width
+
+
+def hit(rid: Column) -> Column:
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), rid.bitwiseAND(F.lit(63)).cast("int"))
+    return F.coalesce(F.col("__f_bits").bitwiseAND(bit) != 0, F.lit(False))
+
+
+def whole_sets(docs: DataFrame, units: DataFrame, n: int) -> DataFrame:
+    """``units`` with size, members (array of hashes) and bitmap, from one row's text each.
+
+    Texts are read again and pass the row filter; only those that pass are shuffled, and the join
+    by number drops the few that passed by chance.
+    """
+    words, shift = filter_of(units, units.count())
+    text, tid = text_or_empty(), F.xxhash64(text_or_empty())
+    rows = docs.select(row_number_of(F.col("doc_id").cast("long"), tid).alias("rid"), text.alias("text"))
+    rows = rows.withColumn("__f_word", F.shiftrightunsigned("rid", shift)).join(F.broadcast(words), "__f_word").filter(hit(F.col("rid")))
+    one = rows.groupBy("rid").agg(F.first("text").alias("text")).join(units, "rid").select("cid", "leaders", "star", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                sets = sets_of([(t or "").encode() for t in batch.column(1).to_pylist()], n)
+                sets = sets_of([(t or "").encode() for t in batch.column(3).to_pylist()], n)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0),
+                        *batch.columns[:3],
                         pa.array(map(len, sets), pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                        pa.array([sigtree.bitmap_of(s) for s in sets], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _long(np.concatenate(sets))),
+                        pa.array([sigtree.bitmap_of(x) for x in sets], pa.binary()),
                     ],
-                    names=["cid", "size", "members", "bitmap"],
+                    names=["cid", "leaders", "star", "size", "members", "bitmap"],
                 )
 
-    return one.mapInArrow(hashed, "cid long, size long, members binary, bitmap binary")
+    return one.mapInArrow(hashed, "cid long, leaders array<long>, star long, size long, members array<long>, bitmap binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose whole sets link."""
+    """The rows (a, b) of ``pairs`` whose whole sets link: their members are compared in the JVM."""
+    left = sets.select(F.col("cid").alias("a"), F.col("members").alias("sa"))
+    right = sets.select(F.col("cid").alias("b"), F.col("members").alias("sb"))
+    common, total = F.size(F.array_intersect("sa", "sb")).cast("long"), F.size("sa").cast("long") + F.size("sb")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(common * (num + den) >= total * num).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            ok = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den) for x, y in zip(left, right)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = sets.select("cid", "members")
-    both = pairs.select("a", "b").join(side.select(F.col("cid").alias("a"), F.col("members").alias("sa")), "a")
-    both = both.join(side.select(F.col("cid").alias("b"), F.col("members").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+def stars(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: every set that links with its star, and that."""
+    left = sets.filter("star is not null").select(F.col("cid").alias("a"), F.col("star").alias("b"), F.col("size").alias("na"), F.col("members").alias("sa"))
+    right = sets.select(F.col("cid").alias("b"), F.col("size").alias("nb"), F.col("members").alias("sb"))
+    near = left.join(right, "b").filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+    return near.filter(F.size(F.array_intersect("sa", "sb")).cast("long") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
 
 
 def labelled(rows: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
@@ -201,34 +218,38 @@ def best_of_each(left: np.ndarray, right: np.ndarray, score: np.ndarray) -> np.n
     return np.unique(at[np.concatenate([[True], ends[1:] != ends[:-1]])]) if len(at) else at
 
 
-def tree_candidates(groups: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, share: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a group, lie in different components and may link.
+def tree_candidates(sets: DataFrame, labels: DataFrame | None, num: int, den: int, dense: int | None, only: DataFrame | None = None) -> DataFrame:
+    """a, b, dense: pairs of sets that share a unit, lie in different classes and may link.
 
-    Groups with one leader are joined to one unit, named by the leader: two sets of one family share
-    a hundred keys, but few leaders. ``share`` over 1: a scouting pass over that part of the units,
-    which gives every set's best pair only, a linear number. ``share`` 1: every pair, given by the
-    least unit that has both.
+    Each pair is given by the least unit that has both. A dense pair of blocks gives its sets' best
+    pairs only, and its unit (as a and b) with ``dense`` true; ``dense`` None: all pairs. ``only``:
+    units (key) to traverse.
     """
-    rows = groups.select(F.col("leader").alias("key"), "cid")
-    if share > 1:
-        rows = rows.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
-    rows = labelled(rows.distinct(), labels, "cid", "comp")
-    sums = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("who"))
+    rows = sets.select("cid", "size", "leaders")
+    rows = rows.withColumn("comp", F.col("cid")) if labels is None else labelled(rows, labels, "cid", "comp")
+    rows = rows.select("cid", "size", "comp", F.explode("leaders").alias("key"))
+    if only is not None:
+        rows = rows.join(only, "key", "left_semi")
+    sums = rows.groupBy("key").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.sum("size").alias("held"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("who")
+    )
     # units of the same sets are one unit
-    kept = sums.filter("c0 <> c1").groupBy("who", "n").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = materialize(rows.join(kept, "key"), "join-placed")
-    own = placed.groupBy("cid").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # no more than a set has segments
-    leaves = sets.select("cid", "size", "bitmap").join(own, "cid")
-    place = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    units = placed.withColumn("own", place).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key",
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("held") / BLOCK_MEMBERS)).cast("int")
+    kept = sums.filter("c0 <> c1").groupBy("who", "n").agg(F.min(F.struct(F.col("key"), blocks.alias("blocks"))).alias("k")).select("k.key", "k.blocks")
+    own = rows.join(kept, "key").groupBy("cid").agg(F.first("comp").alias("comp"), F.sort_array(F.collect_list(F.struct("key", "blocks"))).alias("units"))  # no more than a set has segments
+    leaves = sets.select("cid", "size", "bitmap").join(own, "cid").select("cid", "size", "bitmap", "comp", F.col("units.key").alias("keys"), F.explode("units").alias("unit"))
+    place = F.pmod(F.xxhash64("cid"), F.col("unit.blocks")).cast("int")
+    full = leaves.withColumn("own", place).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("unit.blocks") - 1))).select(
+        F.col("unit.key").alias("key"),
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         "cid",
         "comp",
+        "size",
+        "bitmap",
+        "keys",
     )
-    full = units.join(leaves, "cid").select("key", "i", "j", "side", "cid", "comp", "size", "bitmap", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(t: pa.Table) -> pa.RecordBatch:
@@ -245,9 +266,10 @@ def tree_candidates(groups: DataFrame, labels: DataFrame, sets: DataFrame, num:
                 left, right, score = sigtree.candidates(cols["size"][a:z], maps[a:z], cols["comp"][a:z], here, cols["side"][a:z], num, den)
                 if not len(left):
                     continue
-                if share > 1:
+                if dense is not None and len(left) > dense * (z - a):
                     best = best_of_each(left, right, score)
                     left, right = left[best], right[best]
+                    found.append((k[a : a + 1], k[a : a + 1], np.ones(1, bool)))
                 else:
                     lower = {}
                     for m in np.unique(np.concatenate([left, right])):
@@ -255,10 +277,11 @@ def tree_candidates(groups: DataFrame, labels: DataFrame, sets: DataFrame, num:
                         lower[int(m)] = set(keys[: int(np.searchsorted(keys, k[a]))].tolist())
                     first = np.array([lower[x].isdisjoint(lower[y]) for x, y in zip(left.tolist(), right.tolist())], bool)
                     left, right = left[first], right[first]
-                found.append((cols["cid"][left], cols["cid"][right]))
+                x, y = cols["cid"][left], cols["cid"][right]
+                found.append((np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), bool)))
             none = [np.zeros(0, np.int64)]
-            a, b = (np.concatenate([f[x] for f in found] or none).astype(np.int64) for x in range(2))
-            return pa.RecordBatch.from_arrays([_long(np.minimum(a, b)), _long(np.maximum(a, b))], names=["a", "b"])
+            a, b, more = (np.concatenate([f[x] for f in found] or none) for x in range(3))
+            return pa.RecordBatch.from_arrays([_long(a.astype(np.int64)), _long(b.astype(np.int64)), pa.array(more.astype(bool))], names=["a", "b", "dense"])
 
         rest: pa.Table | None = None
         for batch in batches:
@@ -276,42 +299,56 @@ def tree_candidates(groups: DataFrame, labels: DataFrame, sets: DataFrame, num:
 
     # dealt by a number that no plan below is partitioned by: else the optimizer may drop the exchange
     dealt = full.repartition(F.xxhash64("key", "i", "j")).sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def set_components(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """cid, comp for every set that links with another."""
-    groups = materialize(groups_of(sets), "join-groups")
-    stars = groups.filter("cid <> leader").groupBy("cid", "leader").count()
-    stars = stars.groupBy("cid").agg(F.max(F.struct("count", "leader")).alias("s")).select(F.col("cid").alias("a"), F.col("s.leader").alias("b"))
-    touched = groups.select("cid").distinct()
-    wanted = materialize(sets.filter("cid is not null").select("cid", "tid").join(touched, "cid").groupBy("cid").agg(F.min("tid").alias("tid")), "join-wanted")
-    drop_table(sets)  # the keys are the largest table, and done with
-    whole = materialize(whole_sets(docs, wanted, n), "join-sets")
-    links = materialize(verified(stars, whole, num, den), "join-links")
-    labels = components(links)
-    for share in (SCOUT, 1):
-        pairs = tree_candidates(groups, labels, whole, num, den, share)
-        links = materialize(links.unionByName(verified(pairs, whole, num, den)), "join-links")
-        labels = components(links)
+    return dealt.mapInArrow(run, "a long, b long, dense boolean")
+
+
+def grouped_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, tid, cid, n_shingles) of all rows, and the whole sets that share a group; both written."""
+    with arrow_batches(docs.sparkSession):
+        sets = materialize(keyed_sets(docs.select("doc_id", "text"), n, num, den), "join-keys")
+        members = materialize(sets.select("doc_id", "tid", "cid", "n_shingles"), "join-members")
+        units = materialize(units_of(sets.select("cid", "keys"), members), "join-units")
+        drop_table(sets)  # the keys are the largest table, and done with
+        whole = materialize(whole_sets(docs, units, n), "join-sets")
+    drop_table(units)
+    return members, whole
+
+
+def set_components(whole: DataFrame, num: int, den: int) -> DataFrame:
+    """cid, comp for every set that links with another; ``whole`` is deleted."""
+    links = materialize(stars(whole, num, den), "join-links")
+    labels, only, dense = roots(links), None, DENSE
+    while True:
+        with arrow_batches(whole.sparkSession):
+            pairs = materialize(tree_candidates(whole, labels, num, den, dense, only), "join-pairs")
+        found = materialize(verified(pairs.filter("not dense"), whole, num, den), "join-links")
+        # a root for each class and the links between classes: pairs inside a class are never made
+        arcs = labels.select(F.col("cid").alias("a"), F.col("comp").alias("b")).unionByName(found)
+        new = components(arcs)
+        again = pairs.filter("dense").select(F.col("a").alias("key")).distinct()
+        left = dense is not None and not again.isEmpty()
+        only = materialize(again, "join-dense") if left else None
+        for old in (pairs, found, links, labels):
+            drop_table(old)
+        labels, dense = new, None
+        if not left:
+            break
+    drop_table(whole)
     return labels
 
 
 def links(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_links of every row of ``docs``: with how many other rows it links, those of an equal set included.
 
-    Every pair of distinct sets that share a group is verified: neither leaders nor components cut the
+    Every pair of distinct sets that share a group is verified: neither leaders nor classes cut the
     traversal, so the work follows the number of links.
     """
-    sets = materialize(keyed_sets(docs.select("doc_id", "text"), n, num, den), "join-keys")
-    members = materialize(sets.select("doc_id", "cid"), "join-members")
-    groups = materialize(groups_of(sets), "join-groups")
-    touched = groups.select("cid").distinct()
-    wanted = materialize(sets.filter("cid is not null").select("cid", "tid").join(touched, "cid").groupBy("cid").agg(F.min("tid").alias("tid")), "join-wanted")
-    drop_table(sets)
-    whole = materialize(whole_sets(docs, wanted, n), "join-sets")
-    apart = docs.sparkSession.createDataFrame([], "cid long, comp long")  # each set is its own component
-    pairs = materialize(verified(tree_candidates(groups, apart, whole, num, den, 1), whole, num, den), "join-links")
+    members, whole = grouped_sets(docs, n, num, den)
+    with arrow_batches(docs.sparkSession):
+        candidates = materialize(tree_candidates(whole, None, num, den, None), "join-pairs")
+    pairs = materialize(verified(candidates, whole, num, den), "join-links")
+    drop_table(candidates)
+    drop_table(whole)
     rows = members.filter("cid is not null").groupBy("cid").agg(F.count("*").alias("rows"))
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     far = ends.join(rows.select(F.col("cid").alias("b"), "rows"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("rows").alias("far"))
@@ -322,38 +359,38 @@ def links(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 def join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    members, labels = joined(docs, n, num, den)
-    rows = labelled(members.filter("cid is not null"), labels, "cid", "comp")
+    members, whole = grouped_sets(docs, n, num, den)
+    rows = labelled(members.filter("cid is not null"), set_components(whole, num, den), "cid", "comp")
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "comp").select("doc_id", "n_shingles", "component_id")
     alone = members.filter("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
-def joined(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, tid, cid, n_shingles) of all rows, and labels (cid, comp) of linked sets."""
-    sets = materialize(keyed_sets(docs.select("doc_id", "text"), n, num, den), "join-keys")
-    members = materialize(sets.select("doc_id", "tid", "cid", "n_shingles"), "join-members")
-    return members, set_components(docs, sets, n, num, den)
-
-
 def keep_one(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``docs`` with one row of each component, columns unchanged: the least doc_id, null last.
 
     Rows without words are linked with nothing and all stay. Rows equal in doc_id and text are one
-    document: any one of them stays.
+    document: any one of them stays. Only rows that the filter of those to drop hits are shuffled.
     """
     columns = docs.columns
-    members, labels = joined(docs, n, num, den)
-    rows = labelled(members.filter("cid is not null"), labels, "cid", "comp")
-    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tid")).alias("s"))
-    first = materialize(first.select(F.col("s.doc_id").alias("__j_id"), F.col("s.tid").alias("__j_tid"), "comp"), "join-kept")
-    text = text_or_empty()
-    marked = docs.select(F.struct(*columns).alias("__j_row"), F.col("doc_id").cast("long").alias("__j_doc"), F.xxhash64(text).alias("__j_hash"), F.btrim(text, F.lit(BLANKS)).alias("__j_words"))
-    wordless = marked.filter("__j_words = ''").select("__j_row")
-    same = (F.col("__j_hash") == F.col("__j_tid")) & F.col("__j_doc").eqNullSafe(F.col("__j_id"))
-    kept = marked.filter("__j_words <> ''").drop("__j_words").join(first, same)
-    repeated = members.filter("cid is not null").groupBy("doc_id", "tid").count().filter("count > 1")
-    if not repeated.isEmpty():  # only then may a component have kept several rows
-        kept = kept.dropDuplicates(["comp"])
-    return kept.select("__j_row").unionByName(wordless).select(*[F.col("__j_row")[c].alias(c) for c in columns])
+    members, whole = grouped_sets(docs, n, num, den)
+    rows = labelled(members.filter("cid is not null"), set_components(whole, num, den), "cid", "comp")
+    rows = materialize(rows.select("comp", F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tid").alias("row")), "join-rows")
+    first = rows.groupBy("comp").agg(F.min("row").alias("first"))
+    first = materialize(first, "join-first")
+    rid = row_number_of(F.col("doc_id"), F.col("tid"))
+    late = materialize(rows.join(first, "comp").filter("row <> first").select("row.doc_id", "row.tid").withColumn("rid", rid), "join-late")
+    dropped = late.count()
+    words, shift = filter_of(late, dropped)
+    marked = docs.select(F.struct(*columns).alias("__j_row"), F.col("doc_id").cast("long").alias("__j_doc"), F.xxhash64(text_or_empty()).alias("__j_tid"))
+    marked = marked.withColumn("__j_rid", row_number_of(F.col("__j_doc"), F.col("__j_tid"))).withColumn("__f_word", F.shiftrightunsigned("__j_rid", shift))
+    marked = marked.join(F.broadcast(words), "__f_word", "left").withColumn("__j_hit", hit(F.col("__j_rid")))
+    same = (F.col("__j_rid") == F.col("rid")) & (F.col("__j_tid") == F.col("tid")) & F.col("__j_doc").eqNullSafe(F.col("doc_id"))
+    asked = marked.filter("__j_hit").join(late.select("rid", "tid", "doc_id"), same, "left_anti")
+    kept = marked.filter("not __j_hit").select("__j_row", "__j_doc", "__j_tid").unionByName(asked.select("__j_row", "__j_doc", "__j_tid"))
+    if rows.count() > dropped + first.count():  # only then has a component kept several equal rows
+        worded = F.btrim(F.col("__j_row.text").cast("string"), F.lit(BLANKS)) != ""
+        blank = kept.filter(~F.coalesce(worded, F.lit(False)))
+        kept = kept.filter(worded).dropDuplicates(["__j_doc", "__j_tid"]).unionByName(blank)
+    return kept.select(*[F.col("__j_row")[c].alias(c) for c in columns])
