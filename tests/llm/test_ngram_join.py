@@ -101,3 +101,27 @@ def test_dual_traversal_equals_all_pairs():
         found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
         assert {(i, j) for i, j in want if side[i] == 2 or side[i] != side[j]} <= found
         assert len(found) < 150 * 149 / 4
+
+
+def test_dense_blocks_and_long_runs(spark, monkeypatch):
+    """With one candidate a set at a time and three sets of a key held, results are the same."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "DENSE", 1)
+    monkeypatch.setattr(ngram_join, "RUN", 3)
+    monkeypatch.setattr(ngram_join, "SEEN", 2)
+    rows = family(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, 4, 85, 100).collect()}
+    want = components_by_all_pairs(rows, 4, 85, 100)
+    assert got == want
+    kept = ngram_join.keep_one(docs.withColumn("rid", spark.range(1).select("id").first().id + docs.doc_id), 4, 85, 100)
+    first = {c for i, (n, c) in want.items() if n} | {i for i, (n, _) in want.items() if not n}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first) and kept.columns == ["doc_id", "text", "rid"]
+
+
+def test_keep_one_of_equal_rows(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "A b c d e f"), (7, "A b c d e f"), (9, "a b c d e f"), (1, ""), (1, ""), (None, None), (2, "lone words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.keep_one(docs, 5, 8, 10).collect()), key=str)
+    assert got == sorted([(7, "A b c d e f"), (1, ""), (1, ""), (None, None), (2, "lone words here")], key=str)
+    assert ngram_join.keep_one(docs.limit(0), 5, 8, 10).count() == 0

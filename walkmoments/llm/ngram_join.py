@@ -8,11 +8,11 @@ Two documents link when ``den * intersection >= num * union`` of their word shin
    verified against the leader of most of its groups; what links points to its leader, and the
    pointers, doubled until they rest on roots, are preliminary classes.
 3. All groups with one leader are one unit. Units that still hold several classes become signature
-   trees (see sigtree.py), cut into blocks of at most BLOCK sets and BLOCK_MEMBERS members. Dual
+   trees (see sigtree.py), cut into blocks of about BLOCK sets and BLOCK_MEMBERS members. Dual
    traversal prunes node pairs by the greatest possible overlap and by class, and leaves candidate
-   pairs, which are verified on their whole sets. A pair of blocks with more than DENSE candidates a
-   set first gives each set's best one only; it is traversed again with the classes that these make,
-   and then gives all that are left.
+   pairs, which are verified on their whole sets. A pair of blocks that has more than its part of
+   DENSE candidates a set of the unit first gives each set's best one only; it is traversed again
+   with the classes that these make, and then gives all that are left.
 4. The components of all links label all documents with equal sets.
 
 Only keys, numbers and the sets of documents that share a group are shuffled. No pairs within a
@@ -43,12 +43,14 @@ from .shingles import identity, segment_keys, sets_of
 
 #: Sets, and members of sets, in one block of a unit; a task compares two blocks at most.
 BLOCK, BLOCK_MEMBERS = 1024, 1 << 22
-#: Candidates a set beyond which a pair of blocks is dense.
-DENSE = 64
+#: Candidates a set of a unit beyond which its blocks are dense.
+DENSE = 256
 #: The row filter has so many bits a row, and at most 2 ** FILTER_BITS: 2 ** (FILTER_BITS - 6) longs are broadcast, whatever the input.
 ROW_BITS, FILTER_BITS = 8, 25
 #: Set numbers that a task remembers to give the keys of copies once.
 SEEN = 1 << 17
+#: Sets of one key that a task holds.
+RUN = 1 << 22
 #: Characters that part words.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -95,49 +97,62 @@ def keyed_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def groups_of(sets: DataFrame) -> DataFrame:
-    """key, cid, leader of every key that two or more sets hold; the leader is the least cid."""
+    """key, cid, leader of every key that two or more sets hold; the leader is the least cid.
+
+    Of a key that more than RUN sets hold, the least of the first RUN: the others follow as they come.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = lead = last = None  # of the run that is open at a batch's end
-        given = False  # whether its leader has been given
+        key, lead = None, None  # of the run that is open at a batch's end; its leader once that is fixed
+        held: list[np.ndarray] = []
+
+        def given(k: np.ndarray, c: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_long(k), _long(c), _long(leader)], names=["key", "cid", "leader"])
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            c = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            if lead is not None or len(c) > 1:
+                yield given(np.full(len(c), key), c, np.full(len(c), c[0] if lead is None else lead))
+
         for batch in batches:
             k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(k):
                 continue
-            fresh = np.ones(len(k), bool)
-            fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            if key is not None and k[0] == key and c[0] == last:
-                fresh[0] = False
+            order = np.lexsort((c, k))
+            k, c = k[order], c[order]
+            fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
             k, c = k[fresh], c[fresh]
-            if not len(k):
-                continue
-            if key is not None and not given:  # put the waiting leader before its run
-                k, c = np.concatenate([[key], k]), np.concatenate([[lead], c])
-                going = False
-            else:
-                going = key is not None and k[0] == key
-            start = np.ones(len(k), bool)
-            start[1:] = k[1:] != k[:-1]
-            at = np.flatnonzero(start)
-            length = np.diff(np.append(at, len(k)))
-            leader = np.repeat(c[at], length)
-            many = np.repeat(length > 1, length)
-            if going:
-                leader[: length[0]] = lead
-                many[: length[0]] = True
-            open_lead = lead if going and len(at) == 1 else c[at[-1]]
-            given = bool(many[-1])
-            key, lead, last = k[-1], open_lead, c[-1]
-            yield pa.RecordBatch.from_arrays([_long(k[many]), _long(c[many]), _long(leader[many])], names=["key", "cid", "leader"])
+            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            first = 0
+            if key is not None and k[0] == key:
+                first = int(at[1]) if len(at) > 1 else len(k)
+                held.append(c[:first])
+            if first < len(k):  # the open run has ended
+                if key is not None:
+                    yield from closed()
+                inner = at[at >= first]
+                last = int(inner[-1])
+                lengths = np.diff(inner)
+                leader, many = np.repeat(c[inner[:-1]], lengths), np.repeat(lengths > 1, lengths)
+                yield given(k[first:last][many], c[first:last][many], leader[many])
+                key, lead, held = k[last], None, [c[last:]]
+            if sum(map(len, held)) > RUN:
+                held = [np.unique(np.concatenate(held))]
+                if len(held[0]) > RUN // 2:
+                    lead = held[0][0] if lead is None else lead
+                    yield from closed()
+                    held = []
+        if key is not None:
+            yield from closed()
 
     rows = sets.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), "cid")
-    return rows.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(run, "key long, cid long, leader long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, cid long, leader long")
 
 
 def units_of(sets: DataFrame, members: DataFrame) -> DataFrame:
     """cid, rid (number of one row with that set), leaders (of its groups), star (the leader of most of them, null if itself)."""
     near = groups_of(sets).repartition("cid").groupBy("cid", "leader").agg(F.count("*").alias("hits"))
-    best = F.max(F.when(F.col("cid") != F.col("leader"), F.struct("hits", "leader"))).alias("best")
+    best = F.max(F.when(F.col("leader") < F.col("cid"), F.struct("hits", "leader"))).alias("best")
     of_set = near.groupBy("cid").agg(F.collect_list("leader").alias("leaders"), best)
     one = members.filter("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "tid")).alias("row"))
     rows = of_set.join(one, "cid")
@@ -249,12 +264,13 @@ def tree_candidates(sets: DataFrame, labels: DataFrame | None, num: int, den: in
         "size",
         "bitmap",
         "keys",
+        F.col("unit.blocks").alias("blocks"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(t: pa.Table) -> pa.RecordBatch:
             k, i, j = (t.column(x).to_numpy() for x in ("key", "i", "j"))
-            cols = {x: t.column(x).to_numpy() for x in ("side", "cid", "comp", "size")}
+            cols = {x: t.column(x).to_numpy() for x in ("side", "cid", "comp", "size", "blocks")}
             maps = t.column("bitmap").to_pylist()
             lists = t.column("keys").combine_chunks()
             at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
@@ -266,7 +282,7 @@ def tree_candidates(sets: DataFrame, labels: DataFrame | None, num: int, den: in
                 left, right, score = sigtree.candidates(cols["size"][a:z], maps[a:z], cols["comp"][a:z], here, cols["side"][a:z], num, den)
                 if not len(left):
                     continue
-                if dense is not None and len(left) > dense * (z - a):
+                if dense is not None and len(left) * cols["blocks"][a] > dense * (z - a):
                     best = best_of_each(left, right, score)
                     left, right = left[best], right[best]
                     found.append((k[a : a + 1], k[a : a + 1], np.ones(1, bool)))

@@ -93,8 +93,8 @@ def _long_words(text: bytes) -> np.ndarray:
 
 def _combine(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words."""
-    count = len(words) - n + 1
-    out = np.full(max(count, 0), np.uint64(n * 0x2545F4914F6CDD1D & (1 << 64) - 1))
+    count = max(len(words) - n + 1, 0)
+    out = np.full(count, np.uint64(n * 0x2545F4914F6CDD1D & (1 << 64) - 1))
     for k in range(n):
         out = mix(out * np.uint64(0x9FB21C651E98DF25) + words[k : k + count])
     return out
