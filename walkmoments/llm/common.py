@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+#: A row filter has so many bits a row, and at most 2 ** FILTER_BITS: 2 ** (FILTER_BITS - 6) longs are broadcast, whatever the input.
+ROW_BITS, FILTER_BITS = 8, 25
+
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -75,6 +78,25 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def filter_of(numbers: DataFrame, rows: int, name: str = "rid") -> tuple[DataFrame, int]:
+    """A bit for each of the ``rows`` hashed numbers: __f_word, __f_bits, and the shift that gives a number's word.
+
+    Join ``F.broadcast`` of it on the word and test :func:`hit`. No number is missed; more numbers
+    than bits only let more of the others pass.
+    """
+    width = min(FILTER_BITS, max(12, (ROW_BITS * max(rows, 1)).bit_length()))
+    words = numbers.groupBy(F.shiftrightunsigned(name, 70 - width).alias("__f_word")).agg(F.bit_or(_bit(F.col(name))).alias("__f_bits"))
+    return words, 70 - width
+
+
+def _bit(number: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def hit(number: Column) -> Column:
+    return F.coalesce(F.col("__f_bits").bitwiseAND(_bit(number)) != 0, F.lit(False))
+
+
 def unit_hash(*cols: Column) -> Column:
     """A number in (0, 1) that depends on the values alone, alike on every run and partitioning."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))

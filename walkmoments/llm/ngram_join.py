@@ -37,16 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sigtree
-from .common import arrow_batches, drop_table, materialize, text_or_empty
+from .common import arrow_batches, drop_table, filter_of, hit, materialize, text_or_empty
 from .components import components, roots
 from .shingles import identity, segment_keys, sets_of
 
 #: Sets, and members of sets, in one block of a unit; a task compares two blocks at most.
 BLOCK, BLOCK_MEMBERS = 1024, 1 << 22
 #: Candidates a set of a unit beyond which its blocks are dense.
-DENSE = 256
-#: The row filter has so many bits a row, and at most 2 ** FILTER_BITS: 2 ** (FILTER_BITS - 6) longs are broadcast, whatever the input.
-ROW_BITS, FILTER_BITS = 8, 25
+DENSE = 32
 #: Set numbers that a task remembers to give the keys of copies once.
 SEEN = 1 << 17
 #: Sets of one key that a task holds.
@@ -159,19 +157,6 @@ def units_of(sets: DataFrame, members: DataFrame) -> DataFrame:
     return rows.select("cid", row_number_of(F.col("row.doc_id"), F.col("row.tid")).alias("rid"), "leaders", F.col("best.leader").alias("star"))
 
 
-def filter_of(rids: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """A bit for each row number, as a table of words of bits, and the shift that gives a number's word."""
-    width = min(FILTER_BITS, max(12, (ROW_BITS * max(rows, 1)).bit_length()))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rid").bitwiseAND(F.lit(63)).cast("int"))
-    words = rids.groupBy(F.shiftrightunsigned("rid", 70 - width).alias("__f_word")).agg(F.bit_or(bit).alias("__f_bits"))
-    return words, 70 - width
-
-
-def hit(rid: Column) -> Column:
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), rid.bitwiseAND(F.lit(63)).cast("int"))
-    return F.coalesce(F.col("__f_bits").bitwiseAND(bit) != 0, F.lit(False))
-
-
 def whole_sets(docs: DataFrame, units: DataFrame, n: int) -> DataFrame:
     """``units`` with size, members (array of hashes) and bitmap, from one row's text each.
 
