@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, drop_table, materialize, text_or_empty
+from .common import GAP, drop_table, filter_of, hit, materialize, text_or_empty
 
 #: Characters that part words, and those that count as symbols.
 BLANKS = " \t\n\x0b\f\r"
@@ -242,13 +242,17 @@ def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, rules: DecisionList | None = None) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and the list, columns unchanged.
 
-    Without ``rules`` they are learned from the labels of these documents. The verdict is computed
-    in place, in the scan that passes the texts on: no text is shuffled.
+    Without ``rules`` they are learned from the labels of these documents, whose statistics are
+    computed first: a filter of the labelled numbers chooses them. The verdict is computed in place,
+    in the scan that passes the texts on: no text is shuffled.
     """
     if rules is None:
-        known = labels.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-        stats = materialize(with_stats(docs.select("doc_id", "text")).select("doc_id", "__q_stats"), "quality-stats")
-        rules = fit(stats.join(known, "doc_id", "left_semi"), labels)
+        known = labels.filter(F.col("doc_id").isNotNull()).select(F.xxhash64(F.col("doc_id").cast("long")).alias("rid"))
+        words, shift = filter_of(known, known.count())
+        rows = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long")).alias("__q_rid")).withColumn("__f_word", F.shiftrightunsigned("__q_rid", shift))
+        rows = rows.join(F.broadcast(words), "__f_word").filter(hit(F.col("__q_rid")))
+        stats = materialize(with_stats(rows.select("doc_id", "text")).select("doc_id", "__q_stats"), "quality-stats")
+        rules = fit(stats, labels)
         drop_table(stats)
     columns = docs.columns
     s = F.col("__q_stats")
