@@ -11,7 +11,8 @@ an identifier, an identifier with a secret, an endpoint with both. The join is b
 code points, of which only the first and last start per role are kept, so it makes at most three
 rows per part whatever a bucket holds.
 
-Only rows that one cheap pattern marks go further; texts are never shuffled.
+One scan marks texts by a cheap pattern and finds the parts of the marked ones; what it writes, and
+all that is shuffled, are row keys and lengths. A redaction shuffles marked texts once, by row key.
 
 Defined results: a null text is empty; rows without matches have zero counts, the digest of the
 empty string and empty spans; weak parts that overlap a base span are dropped, base spans stay;
@@ -26,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import filter_of, hit, materialize, text_or_empty
 
 SCOPE = 200
 
@@ -58,18 +59,22 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.when(text.rlike(MARK), F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)))
 
 
-def found_parts(marked: DataFrame) -> DataFrame:
-    """__s_key, kind, order, start, end of every part in rows (__s_key, __s_text)."""
-    text = F.col("__s_text")
+def kinds_of(text: Column) -> Column:
+    """For every kind the lengths of gaps, matches and counted groups in ``text``, in place."""
     listed = []
     for order, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
         matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
         counted = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m))
         gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-        zipped = F.arrays_zip(gaps.alias("gap"), matches.alias("len"), counted.alias("counted"))
+        zipped = F.filter(F.arrays_zip(gaps.alias("gap"), matches.alias("len"), counted.alias("counted")), lambda p: p["len"].isNotNull())
         listed.append(F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("order"), F.lit(least).alias("least"), zipped.alias("parts")))
-    kinds = marked.select("__s_key", F.explode(F.array(*listed)).alias("k"))
-    rows = kinds.select("__s_key", "k.kind", "k.order", "k.least", F.posexplode("k.parts").alias("pos", "p")).filter("p.len is not null")
+    return F.filter(F.array(*listed), lambda k: F.size(k["parts"]) > 0)
+
+
+def found_parts(marked: DataFrame) -> DataFrame:
+    """__s_key, kind, order, start, end of every part in rows (__s_key, __s_kinds)."""
+    kinds = marked.select("__s_key", F.explode("__s_kinds").alias("k"))
+    rows = kinds.select("__s_key", "k.kind", "k.order", "k.least", F.posexplode("k.parts").alias("pos", "p"))
     before = Window.partitionBy("__s_key", "kind").orderBy("pos")
     so_far = F.sum(F.col("p.gap") + F.col("p.len")).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     spans = rows.withColumn("end", so_far).withColumn("start", so_far - F.col("p.len"))
@@ -113,25 +118,27 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     return parts.filter(F.col("kind").isin(*BASE)).unionByName(met.filter(wanted).select(*keys))
 
 
-def spans_by_key(keyed: DataFrame) -> DataFrame:
-    """__s_key, parts (sorted array of start, order, kind, end) of the marked rows of ``keyed``."""
-    marked = keyed.filter(F.col("__s_key").isNotNull()).groupBy("__s_key").agg(F.first("__s_text").alias("__s_text"))
-    parts = linked(without_covered(found_parts(marked)))
-    return parts.groupBy("__s_key").agg(F.sort_array(F.collect_list(F.struct("start", "order", "kind", "end"))).alias("parts"))
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, __s_key (null without a mark) and __s_kinds of every row of ``docs``, written: the one scan of all texts."""
+    text = text_or_empty()
+    rows = docs.select("doc_id", row_key(F.col("doc_id"), text).alias("__s_key"), text.alias("__s_text"))
+    return materialize(rows.select("doc_id", "__s_key", F.when(F.col("__s_key").isNotNull(), kinds_of(F.col("__s_text"))).alias("__s_kinds")), "secret-parts")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    return docs.withColumn("__s_text", text).withColumn("__s_key", row_key(F.col("doc_id"), F.col("__s_text")))
+def spans_by_key(rows: DataFrame) -> DataFrame:
+    """__s_key, parts (sorted array of start, order, kind, end) of the marked rows of a scan."""
+    marked = rows.filter(F.col("__s_key").isNotNull()).groupBy("__s_key").agg(F.first("__s_kinds").alias("__s_kinds"))
+    parts = linked(without_covered(found_parts(marked)))
+    return parts.groupBy("__s_key").agg(F.sort_array(F.collect_list(F.struct("start", "order", "kind", "end"))).alias("parts"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and parts (null where nothing is found) of every row of ``docs`` (doc_id, text)."""
-    rows = keyed(docs.select("doc_id", "text"))
-    found = spans_by_key(rows.select("__s_key", "__s_text"))
+    rows = scanned(docs)
+    found = spans_by_key(rows)
     clean = rows.filter(F.col("__s_key").isNull()).select("doc_id", F.lit(None).cast(found.schema["parts"].dataType).alias("parts"))
-    hit = rows.filter(F.col("__s_key").isNotNull()).select("doc_id", "__s_key").join(found, "__s_key", "left").select("doc_id", "parts")
-    return clean.unionByName(hit)
+    marked = rows.filter(F.col("__s_key").isNotNull()).select("doc_id", "__s_key").join(found, "__s_key", "left").select("doc_id", "parts")
+    return clean.unionByName(marked)
 
 
 def listed(parts: Column) -> Column:
@@ -155,15 +162,20 @@ def digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mask`` and n_chars set anew.
 
-    Rows without a mark pass by untouched; only the few others are joined with their spans.
-    Overlapping spans are masked as one.
+    The scan's row filter sorts out the rows without spans, which pass by untouched; only the few
+    others are joined with their spans. Overlapping spans are masked as one.
     """
     columns = docs.columns
-    rows = keyed(docs)
-    found = spans_by_key(rows.select("__s_key", "__s_text"))
-    clean = rows.filter(F.col("__s_key").isNull()).select(*columns)
-    marked = rows.filter(F.col("__s_key").isNotNull()).select("__s_key", "__s_text", F.struct(*columns).alias("__s_row"))
-    hit = marked.join(found.withColumnRenamed("parts", "__s_parts"), "__s_key", "left")
+    found = materialize(spans_by_key(scanned(docs)).withColumn("rid", F.xxhash64("__s_key")), "secret-spans")
+    words, shift = filter_of(found, found.count())
+    text = text_or_empty()
+    # the same number as that of the key, without the pattern that marks texts
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
+    rows = docs.withColumn("__s_key", key).withColumn("__s_rid", F.xxhash64("__s_key")).withColumn("__f_word", F.shiftrightunsigned("__s_rid", shift))
+    rows = rows.join(F.broadcast(words), "__f_word", "left").withColumn("__s_hit", hit(F.col("__s_rid")))
+    clean = rows.filter(~F.col("__s_hit")).select(*columns)
+    marked = rows.filter("__s_hit").select("__s_key", text.alias("__s_text"), F.struct(*columns).alias("__s_row"))
+    hits = marked.join(found.select("__s_key", F.col("parts").alias("__s_parts")), "__s_key", "left")
     parts, row = F.col("__s_parts"), F.col("__s_row")
     edge = F.lit(0).cast("long")
     start = F.struct(edge.alias("at"), F.array().cast("array<string>").alias("out"))
@@ -178,8 +190,8 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         return F.concat(F.array_join(acc["out"], ""), rest)
 
     changed = F.when(parts.isNull(), row["text"]).otherwise(F.aggregate(parts, start, step, finish))
-    hit = hit.withColumn("__s_new", changed)
+    hits = hits.withColumn("__s_new", changed)
     new = {"text": F.col("__s_new")}
     if "n_chars" in columns:
         new["n_chars"] = F.when(parts.isNull(), row["n_chars"]).otherwise(F.length("__s_new").cast("long"))
-    return clean.unionByName(hit.select(*[new.get(c, row[c]).alias(c) for c in columns]))
+    return clean.unionByName(hits.select(*[new.get(c, row[c]).alias(c) for c in columns]))
