@@ -38,14 +38,64 @@ def test_round_trip_of_hostile_texts(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def tokens(marked):
+    return -(-len(marked) // 4)
+
+
+def pieces(formatted):
+    return [x + "</turn>\n" for x in formatted.split("</turn>\n")[:-1]]
+
+
+def test_windows_keep_the_budget(spark):
+    """No window exceeds the budget but where one own turn, beside the system turn, does."""
+    random.seed(9)
+    rows = []
+    for c in range(25):
+        system = random.choice([0, 10, 700, 1500, 2300])
+        if system:
+            rows.append((c, 0, "system", "s" * system))
+        for t in range(1, random.randint(2, 70)):
+            rows.append((c, t, "user" if t % 2 else "assistant", f"turn {t} " + "\\" * random.choice([0, 300]) + "w" * random.choice([0, 3, 72, 400, 900, 5000])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert found(chat.digests(df, 600, 150)) == brute(rows)
+    got = chat.format_windows(df, 600, 150).orderBy("conv_id", "window").collect()
+    assert len(got) > 100
+    by = {}
+    for r in got:
+        by.setdefault(r.conv_id, []).append(r)
+    over = context = 0
+    for windows in by.values():
+        said = [pieces(w.formatted) for w in windows]
+        whole = [x for w, p in zip(windows, said) for x in p[w.n_context :]]
+        system = [x for x in whole if x.startswith("<turn system>")]
+        seen = False
+        if sum(map(tokens, whole)) <= 600:
+            assert len(windows) == 1
+        for k, (w, p) in enumerate(zip(windows, said)):
+            own, masked = p[w.n_context :], p[: w.n_context]
+            assert w.n_tokens == sum(map(tokens, p))
+            if seen:
+                assert masked and masked[0] == system[0]
+                masked = masked[1:]
+            if masked:  # the last turns of the window before, as far as the history reaches
+                last = [x for x in said[k - 1][windows[k - 1].n_context :] if x not in system]
+                assert last[-len(masked) :] == masked and sum(map(tokens, masked)) <= 150
+                context += 1
+            if w.n_tokens > 600:
+                assert len(own) == 1 and not masked
+                over += 1
+            seen = seen or any(x in system for x in own)
+    assert over and context > 20
+
+
 def test_windows(spark):
     rows = [(1, 0, "system", "be kind")] + [(1, t, "user" if t % 2 else "assistant", f"turn {t} " + "w" * 72) for t in range(1, 21)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = chat.format_windows(df, budget=100, history=30).orderBy("window").collect()
+    got = chat.format_windows(df, budget=130, history=30).orderBy("window").collect()
     assert len(got) > 3
     for r in got:
         assert r.formatted.count("<turn system>") == 1 and r.formatted.startswith("<turn system>\nbe kind</turn>\n")
-        assert all(r.formatted[t.start : t.end].startswith("turn ") for t in r.targets)
+        assert all(r.formatted[t.start : t.end].startswith("turn ") for t in r.targets) and r.n_tokens <= 130
     assert all(r.n_context == 2 for r in got[1:])  # the system turn and one repeated turn
     assert sum(len(r.targets) for r in got) == 10
 

@@ -1,19 +1,25 @@
 r"""Chat formatting (operator 2, native): budgeted windows.
 
-Turns are escaped, marked and cut into windows of whole turns. Prefix sums of turn tokens choose
-the windows: a turn belongs to span ``floor(tokens before it / stride)``, so a window's own turns
-hold the stride's tokens and at most the rest of one turn more; a turn is never cut. Each window
-starts with the conversation's system turn and repeats the last turns before it, as far as HISTORY
-tokens reach. Assistant texts are targets in their own window only: repeats are masked.
+Turns are escaped, marked and cut into windows of whole turns. Each window starts with the
+conversation's system turn (from the window after its own on) and repeats the last turns of the
+window before it. A conversation of at most ``budget`` tokens is one window. Else prefix sums of turn
+tokens choose the windows: ``room`` is what the system turn leaves of the budget, ``cap`` the greater of
+``room - history`` and half of ``room``. A turn of more than half of ``cap`` is a window of its own; the
+others belong to span ``floor(tokens before / (cap / 2))``, so the turns of a span hold no more than
+``cap``. A window repeats as many of the turns just before it as fit ``history`` and what its own turns
+leave of ``room``. So no window exceeds the budget but those whose one own turn, with the system
+turn, does: a turn is never cut, and the system turn never left out. Assistant texts are targets in
+their own window only: repeats are masked.
 
 Template: ``<turn role>`` line feed, text, ``</turn>`` line feed. Inside roles and texts the
 control strings are replaced so that no marker can be forged, and reversibly: a backslash becomes
 ``\b``, ``</turn>`` becomes ``\e``, ``<turn `` becomes ``\s`` and, in roles, ``>`` becomes ``\g``
-and a line feed ``\n``. Tokens are counted as one for each four code points begun, plus four for
-the marker.
+and a line feed ``\n``. Tokens are counted on the marked, escaped turn: one for each four code points
+begun.
 
-Prefix sums run over blocks of 64 turn numbers, so a conversation with very many turns is
-not sorted in one task, and windows are joined by (conversation, span), never by conversation.
+Prefix sums run over blocks of 64 turn numbers, windows are numbered over blocks of spans, and texts
+meet their windows by (conversation, block) and (conversation, span): a conversation with very many
+turns is not sorted in one task. Joins by conversation alone carry the one system turn, or numbers.
 
 Defined results: a null text or role is empty; a null conv_id is a conversation of its own; turns
 are ordered by turn (null first), role and text, so repeated rows follow each other; an empty table
@@ -48,20 +54,24 @@ def unescape(text: Column, role: bool = False) -> Column:
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
-    """__c_key, __c_turn, __c_role, __c_text, __c_tokens of every row; the key is never null."""
+    """__c_key, __c_turn, __c_role, __c_text, __c_head, __c_marked, __c_tokens of every row; the key is never null."""
     text, role = text_or_empty("text"), text_or_empty("role")
+    head = F.concat(F.lit(OPEN), escape(role, True), F.lit(">\n"))
+    marked = F.concat(head, escape(text), F.lit(CLOSE + "\n"))
     return conversations.select(
         "conv_id",
         F.coalesce(F.col("conv_id").cast("string"), F.lit("-")).alias("__c_key"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("__c_turn"),
         role.alias("__c_role"),
         text.alias("__c_text"),
-        (F.ceil(F.length(text) / 4.0) + 4).cast("long").alias("__c_tokens"),
+        F.length(head).alias("__c_head"),
+        marked.alias("__c_marked"),
+        F.ceil(F.length(marked) / 4.0).cast("long").alias("__c_tokens"),
     )
 
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per window: conv_id, window, formatted, n_context, targets.
+    """One row per window: conv_id, window, formatted, n_context, targets, n_tokens.
 
     ``formatted`` begins with ``n_context`` masked turns (the retained system turn, then repeated
     ones); ``targets`` lists the code point spans (start, end exclusive) of ``formatted`` under the
@@ -69,38 +79,49 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     """
     if not 0 <= history < budget:
         raise ValueError("history must be at least 0 and less than the budget")
-    stride = budget - history
-    order = [F.col("__c_turn"), F.col("__c_role"), F.col("__c_text")]
-    block = F.shiftright(F.col("__c_turn"), BLOCK_BITS)
-    turns = block_prefix(turns_of(conversations), ["__c_key"], block, order, "__c_tokens", "__c_before")
-    turns = turns.withColumn("__c_span", F.floor(F.col("__c_before") / stride))
-    spans = turns.groupBy("conv_id", "__c_key", "__c_span").agg(F.min("__c_before").alias("__c_start"))
-    number = Window.partitionBy("__c_key").orderBy("__c_span")
-    spans = spans.withColumn("window", (F.row_number().over(number) - 1).cast("long")).withColumn("__c_next", F.lead("__c_start").over(number))
-    placed = turns.drop("conv_id").join(spans, ["__c_key", "__c_span"])
-    piece = ["conv_id", "__c_key", "window", "__c_before", "__c_role", "__c_text"]
+    zero, key = F.lit(0).cast("long"), "__c_key"
+    raw = turns_of(conversations).withColumn("__b", F.shiftright(F.col("__c_turn"), BLOCK_BITS))
+    # what a conversation holds in all, and its system turn's tokens, come to its blocks as numbers
+    system_first = F.min(F.when(F.col("__c_role") == "system", F.struct("__c_turn", "__c_text", "__c_tokens")))
+    whole = raw.groupBy(key).agg(F.sum("__c_tokens").alias("__c_all"), system_first["__c_tokens"].alias("__c_system"))
+    sums = raw.groupBy(key, "__b").agg(F.sum("__c_tokens").alias("__s"))
+    earlier = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.withColumn("__c_base", F.coalesce(F.sum("__s").over(earlier), zero)).drop("__s").join(whole, key)
+    in_block = Window.partitionBy(key, "__b").orderBy("__c_turn", "__c_role", "__c_text").rowsBetween(Window.unboundedPreceding, -1)
+    turns = raw.withColumn("__w", F.coalesce(F.sum("__c_tokens").over(in_block), zero)).join(blocks, [key, "__b"])
+    before, tokens = F.col("__c_base") + F.col("__w"), F.col("__c_tokens")
+    turns = turns.withColumn("__c_before", before).withColumn("__c_room", F.lit(budget) - F.coalesce("__c_system", zero))
+    half = F.greatest(F.floor(F.greatest(F.col("__c_room") - history, F.floor(F.col("__c_room") / 2)) / 2), F.lit(1)).cast("long")
+    one = F.col("__c_all") <= budget
+    turns = turns.withColumn("__c_big", ~one & (tokens > half)).withColumn("__c_span", F.when(one, zero).otherwise(F.floor(F.col("__c_before") / half)).cast("long"))
+    turns = turns.select("conv_id", key, "__c_span", "__c_big", "__c_before", "__c_room", "__c_tokens", "__c_role", "__c_head", "__c_marked")
+    place = [key, "__c_span", "__c_big"]
+    spans = turns.groupBy("conv_id", *place).agg(F.min("__c_before").alias("__c_start"), F.sum("__c_tokens").alias("__c_own"), F.first("__c_room").alias("__c_room"))
+    spans = spans.withColumn("__c_one", F.lit(1).cast("long"))
+    spans = block_prefix(spans, [key], F.shiftright("__c_span", 2 * BLOCK_BITS), [F.col("__c_span"), F.col("__c_big")], "__c_one", "window").drop("__c_one")
+    # what the next window takes of this one's last turns: a span and the next are one join of numbers
+    after = spans.select(key, (F.col("window") - 1).alias("window"), F.least(F.lit(history), F.col("__c_room") - F.col("__c_own")).alias("__c_takes"))
+    spans = spans.join(after, [key, "window"], "left").drop("__c_room")
+    placed = turns.drop("conv_id", "__c_room").join(spans, place)
+    piece = ["conv_id", key, "window", "__c_before", "__c_role", "__c_head", "__c_marked"]
     own = placed.select(*piece, F.lit(2).alias("__c_part"))
-    near = F.col("__c_next") - F.col("__c_before") <= history
-    first = placed.filter("__c_role = 'system'").groupBy("__c_key").agg(F.min(F.struct("__c_before", "window", "__c_next", "__c_role", "__c_text")).alias("__c_first"))
-    first = first.select("__c_key", F.col("__c_first.__c_before").alias("__c_at"), F.col("__c_first.window").alias("__c_in"), F.col("__c_first.__c_role").alias("__c_role"), F.col("__c_first.__c_text").alias("__c_text"))
-    system = (
-        spans.select("conv_id", "__c_key", "window")
-        .join(first, "__c_key")
-        .filter(F.col("window") > F.col("__c_in"))
-        .select("conv_id", "__c_key", "window", F.col("__c_at").alias("__c_before"), "__c_role", "__c_text", F.lit(0).alias("__c_part"))
-    )
-    repeated = placed.filter(near).join(first.select("__c_key", "__c_at"), "__c_key", "left").filter(~F.col("__c_before").eqNullSafe(F.col("__c_at")))
-    repeated = repeated.withColumn("window", F.col("window") + 1).select(*piece, F.lit(1).alias("__c_part"))
-    head = F.concat(F.lit(OPEN), escape(F.col("__c_role"), True), F.lit(">\n"))
-    parts = own.unionByName(repeated).unionByName(system).select(
+    near = F.col("__c_start") + F.col("__c_own") - F.col("__c_before") <= F.col("__c_takes")
+    first = placed.filter("__c_role = 'system'").groupBy(key).agg(F.min(F.struct("__c_before", "window", "__c_role", "__c_head", "__c_marked")).alias("__c_first"))
+    first = first.select(key, F.col("__c_first.window").alias("__c_in"), *[F.col(f"__c_first.{c}").alias(c) for c in ("__c_before", "__c_role", "__c_head", "__c_marked")])
+    system = spans.select("conv_id", key, "window").join(first, key).filter(F.col("window") > F.col("__c_in")).select(*piece, F.lit(0).alias("__c_part"))
+    repeated = placed.filter(near).withColumn("window", F.col("window") + 1).select(*piece, F.lit(1).alias("__c_part"))
+    is_system = F.col("__c_role") == "system"
+    again = repeated.filter(is_system).join(first.select(key, "__c_before"), [key, "__c_before"], "left_anti").select(repeated.columns)
+    pieces_of = own.unionByName(repeated.filter(~is_system)).unionByName(again).unionByName(system)
+    parts = pieces_of.select(
         "conv_id",
-        "__c_key",
+        key,
         "window",
         F.struct(
             F.col("__c_part").alias("part"),
             F.col("__c_before").alias("before"),
-            F.concat(head, escape(F.col("__c_text")), F.lit(CLOSE + "\n")).alias("marked"),
-            F.length(head).alias("head"),
+            F.col("__c_marked").alias("marked"),
+            F.col("__c_head").alias("head"),
             ((F.col("__c_role") == "assistant") & (F.col("__c_part") == 2)).alias("target"),
         ).alias("__c_piece"),
     )
@@ -120,6 +141,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
         F.array_join(F.transform(pieces, lambda p: p["marked"]), "").alias("formatted"),
         F.size(F.filter(pieces, lambda p: p["part"] < 2)).alias("n_context"),
         F.aggregate(pieces, start, step, lambda acc: acc["out"]).alias("targets"),
+        F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + F.ceil(F.length(p["marked"]) / 4.0)).alias("n_tokens"),
     )
 
 

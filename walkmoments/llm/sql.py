@@ -18,21 +18,24 @@ def _escape(x: str, role: bool = False) -> str:
     return out
 
 
-_STRIDE = chat.BUDGET - chat.HISTORY
 _MARKED = f"{len(chat.OPEN) + 2 + len(chat.CLOSE) + 1} + length({_escape('role', True)}) + length({_escape('txt')})"
 CHAT = f"""with r as (select conv_id, turn, role, text from conversations
   union all select -7, range, case range when 0 then 'user' else 'assistant' end, '\\### Assistant: </turn> ok' from range(2)),
 t as (select conv_id, coalesce(turn, -4611686018427387904) tn, coalesce(role, '') role, coalesce(text, '') txt from r),
-o as (select *, {_MARKED} marked, row_number() over w rn, coalesce(sum(cast(ceil(length(txt) / 4.0) as bigint) + 4) over (w rows between unbounded preceding and 1 preceding), 0) before
-  from t window w as (partition by conv_id order by tn, role, txt)),
-s as (select conv_id, before // {_STRIDE} span, min(before) start from o group by 1, 2),
-n as (select *, row_number() over (partition by conv_id order by span) - 1 win, lead(start) over (partition by conv_id order by span) nxt from s),
-p as (select o.*, n.win, n.nxt from o join n on n.conv_id is not distinct from o.conv_id and n.span = o.before // {_STRIDE}),
+m as (select *, {_MARKED} marked, cast(ceil(({_MARKED}) / 4.0) as bigint) tokens from t),
+c as (select conv_id, sum(tokens) total, {chat.BUDGET} - coalesce(first(tokens order by tn, txt) filter (where role = 'system'), 0) room from m group by conv_id),
+h as (select *, greatest(cast(floor(greatest(room - {chat.HISTORY}, floor(room / 2.0)) / 2.0) as bigint), 1) half from c),
+o as (select m.*, room, half, total, row_number() over w rn, coalesce(sum(tokens) over (w rows between unbounded preceding and 1 preceding), 0) before
+  from m join h on h.conv_id is not distinct from m.conv_id window w as (partition by m.conv_id order by tn, role, txt)),
+b as (select *, total > {chat.BUDGET} and tokens > half big, case when total <= {chat.BUDGET} then 0 else cast(floor(before / half) as bigint) end span from o),
+s as (select conv_id, span, big, min(before) start, sum(tokens) own, any_value(room) room from b group by 1, 2, 3),
+n as (select *, row_number() over w - 1 win, lead(least({chat.HISTORY}, room - own)) over w takes from s window w as (partition by conv_id order by span, big)),
+p as (select b.*, n.win, n.start, n.own, n.takes from b join n on n.conv_id is not distinct from b.conv_id and n.span = b.span and n.big = b.big),
 f as (select conv_id, min(before) first_at, arg_min(win, before) win, arg_min(marked, before) marked from p where role = 'system' group by conv_id)
 select p.conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || txt || chr(10), '' order by rn)) turns_sha256,
   length(coalesce(string_agg(txt, '' order by rn) filter (where role = 'assistant'), '')) loss_chars,
   sha256(coalesce(string_agg(txt, '' order by rn) filter (where role = 'assistant'), '')) loss_sha256,
-  cast(sum(p.marked) + coalesce(sum(p.marked) filter (where nxt - before <= {chat.HISTORY} and before is distinct from f.first_at), 0)
+  cast(sum(p.marked) + coalesce(sum(p.marked) filter (where start + own - before <= takes and before is distinct from f.first_at), 0)
     + coalesce(any_value(f.marked) * (max(p.win) - any_value(f.win)), 0) as bigint) formatted_chars, max(p.win) + 1 n_windows
 from p left join f on f.conv_id is not distinct from p.conv_id group by p.conv_id"""
 
