@@ -42,3 +42,21 @@ def test_shards_hold_every_document(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert shards.write_shards(docs, f"file://{tmp_path}/none", shards.default_vocabulary()).count() == 0
+
+
+def test_long_runs_and_second_actions(spark, tmp_path):
+    texts = [" " * 1_000_000, "a" * 1_000_000, "x " + "\n" * 9000 + " y", "w" * 5000 + " tail " + "\u00e9" * 4097, "plain text"]
+    for t in texts + [" " + "b" * 4097, "b" * 4096 + " c", ""]:
+        assert "".join(shards.pieces(t)) == t
+    assert list(shards.pieces("plain  text")) == ["plain  text"] and list(shards.pieces("a" + " " * 5000 + "b"))[-1] == " b"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    path = f"file://{tmp_path}/out"
+    df = shards.write_shards(docs, path, shards.default_vocabulary(), length=64, per_shard=100)
+    first = sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, df.collect())) == first  # a second action meets the files of the first
+    assert not [f for f in os.listdir(f"{tmp_path}/out") if f.startswith(".")]
+    enc, end = shards.encoder(shards.default_vocabulary())
+    read = dict(shards.read_slots(path, 0, len(first)))
+    stream = np.concatenate([read[r[0]] for r in sorted(first, key=lambda r: r[3])])
+    cuts = np.flatnonzero(stream == end)
+    assert sorted(enc.decode(x[x != end].tolist()) for x in np.split(stream, cuts + 1)[: len(cuts)]) == sorted(texts)

@@ -10,18 +10,25 @@
    ``s // per_shard`` at byte ``s % per_shard * stride``, so reading in training order is
    sequential and can resume at any slot.
 
+Sequences are numbered by the map task that wrote them and their place in it: with the same key, input
+files and split sizes a rerun gives the same order, another layout of the same rows another one. What
+is written in step 1 holds for all later steps, so lost tasks and repeated actions write the same shards.
+
 Record: number of real ids (uint32), zero (uint32), sequence number (int64), LENGTH ids (uint16),
 padded with the end token; all little-endian. Ids must fit 16 bits.
 
 Defined results: a null or empty text is a document of the end token alone; a null doc_id is kept
-as such; repeated rows are encoded each; very long texts span as many sequences as they need; an
-empty table writes no shard and gives no row. Other columns are not read.
+as such; repeated rows are encoded each; very long texts span as many sequences as they need; runs of
+more than RUN blanks, or of more than RUN other characters, are encoded in pieces of RUN, as the library
+fails on the former and takes quadratic time on the latter; an empty table writes no shard and gives no
+row. More than MOST_TASKS map tasks raise an error. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -38,6 +45,11 @@ KEY = 0x5EED_0F_7A1
 ROUNDS = 4
 #: Offsets of so many map tasks may be broadcast (16 bytes each).
 MOST_TASKS = 1 << 20
+#: Shards that one task writes.
+TASK_SHARDS = 4
+#: Code points of blanks, or of other characters, beyond which a run is cut.
+RUN = 4096
+LONG_RUN = re.compile(rf"\s{{{RUN + 1},}}|\S{{{RUN + 1},}}")
 
 
 def default_vocabulary() -> str:
@@ -62,6 +74,24 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def pieces(text: str) -> Iterator[str]:
+    """``text`` in order, cut only inside long runs; a blank before a word stays with it."""
+    at = 0
+    for m in LONG_RUN.finditer(text):
+        start, end = m.start(), m.end()
+        if text[start].isspace():
+            start, end = max(at, start), end - 1  # the last blank may belong to the word that follows
+        elif start > at and text[start - 1].isspace():
+            start -= 1
+        if start > at:
+            yield text[at:start]
+        for k in range(start, end, RUN):
+            yield text[k : min(k + RUN, end)]
+        at = end
+    if at < len(text):
+        yield text[at:]
+
+
 def feistel(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     """A keyed permutation of 0..size-1, applied to each number of ``index``.
 
@@ -113,7 +143,7 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFra
                 parts, starts, owners = [held], [0], [held_doc]
                 place = len(held)
                 for name, text in zip(names, batch.column(1).to_pylist()):
-                    ids = enc.encode_ordinary(text or "")
+                    ids = [i for part in pieces(text or "") for i in enc.encode_ordinary(part)]
                     ids.append(end)
                     parts.append(np.array(ids, np.uint16))
                     starts.append(place)
@@ -201,7 +231,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, length: int = LENG
             temporary = f"{folder}/.{shard:08d}-{uuid.uuid4().hex}"
             with store.open_output_stream(temporary) as f:
                 f.write(memoryview(files.pop(shard)).cast("B"))
-            store.move(temporary, f"{folder}/shard-{shard:08d}.bin")
+            put(store, temporary, f"{folder}/shard-{shard:08d}.bin")
 
         for batch in batches:
             for shard, head, known, ids in zip(*[c.to_pylist() for c in batch.columns]):
@@ -236,10 +266,25 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, length: int = LENG
 
     schema = "slot long, shard int, byte_offset long, sequence long, first_doc_id long, n_tokens int, record_sha256 string"
     placed = kept.mapInArrow(place, "shard int, head binary, known binary, ids binary")
-    dealt = placed.repartitionById(max(1, shards), F.col("shard"))  # a range of one shard each
+    dealt = placed.repartitionById(max(1, -(-shards // TASK_SHARDS)), F.floor(F.col("shard") / TASK_SHARDS).cast("int"))  # a range of shards each
     return dealt.mapInArrow(fill, schema)
 
 
+def put(store, temporary: str, name: str) -> None:
+    """Give a complete file its name. Where another attempt was first, its equal file stays: not every store renames onto a name."""
+    import pyarrow.fs as pafs
+
+    if store.get_file_info(name).type == pafs.FileType.NotFound:
+        try:
+            store.move(temporary, name)
+            return
+        except OSError:
+            if store.get_file_info(name).type == pafs.FileType.NotFound:
+                raise
+    if store.get_file_info(temporary).type != pafs.FileType.NotFound:
+        store.delete_file(temporary)
+
+
 def read_slots(path: str, first: int, count: int) -> Iterator[tuple[int, np.ndarray]]:
     """(slot, real ids) from slot ``first`` on, by sequential reads."""
     import pyarrow.fs as pafs
