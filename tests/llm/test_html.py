@@ -1,9 +1,11 @@
 import html
+import random
 import re
+import time
 
 import pyarrow.parquet as pq
 
-from walkmoments.llm.html import extract, main_text
+from walkmoments.llm.html import NOTICE, extract, lines_of, main_text
 
 LONG = "A sentence of the story that goes on for a while, long enough to count as text."
 CASES = {
@@ -22,6 +24,11 @@ CASES = {
     "unclosed": ("<nav><a href=x>m</a><article><p>Kept<p>too<!-- gone", "Kept\ntoo"),
     "broken": ("<article><p>x</p><a href='", "x"),
     "list": ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>", "one\ntwo\na b"),
+    "modifiers": (f"<div class='content with-sidebar'><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+    "lacks": (f"<article class='post no-comments'><p>{LONG}</p></article><div class='comments'><p>{LONG}</p></div>", LONG),
+    "headings": (f"<main><h1 class='banner'>Head</h1><p id='search'>{LONG}</p><p class='ad'>Buy</p></main>", f"Head\n{LONG}"),
+    "notice": (f"<div><p>We use cookies to improve your experience. Accept all cookies?</p></div><div><a href=1>One</a></div><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+    "cookies": ("<article><p>We use cookies, she said, and agree on the experience.</p></article>", "We use cookies, she said, and agree on the experience."),
     "empty": ("", ""),
     "none": (None, ""),
     "boiler": ("<nav>x</nav><footer>y</footer>", ""),
@@ -56,3 +63,41 @@ def test_rows(spark):
     assert [r.text for r in got[: len(CASES)]] == [w for _, w in CASES.values()]
     assert all(r.n_chars == len(r.text) for r in got) and len(got) == len(rows) and got[-3].n_chars == 499_999
     assert extract(df.limit(0)).count() == 0
+
+
+def by_windows(page, window=3, threshold=86):
+    """The distribution over the lines, from its definition: a line is kept if it belongs to a slope whose sums reach the threshold."""
+    lines = lines_of(page)
+    weight = []
+    for text, bad, inside, linked in lines:
+        own = max(0, len(text) - linked)
+        notice = len(text) <= 300 and NOTICE.search(text)
+        weight.append(0 if bad else threshold + len(text) if inside else 0 if notice or linked > own else own)
+    sums = [sum(weight[k : k + window]) for k in range(len(weight))]
+    level = min(threshold, max(sums, default=0))
+    kept = set()
+    for i, x in enumerate(sums):
+        if x and x >= level:  # a surge: down the slope to the line before, and on to the dive
+            j = i
+            while j and weight[j - 1]:
+                j -= 1
+            while j < len(weight) and (j < i or sums[j]):
+                kept.add(j)
+                j += 1
+    return "\n".join(lines[j][0] for j in sorted(kept) if weight[j])
+
+
+def test_distribution_by_its_definition():
+    rng = random.Random(5)
+    bits = ["<p>", "</p>", "<div>", "</div>", "<div class=menu>", "<article>", "</article>", "<a href=1>", "</a>", "short", LONG, "a middling line of text", "<nav>", "</nav>", "<br>", "<h2>"]
+    for _ in range(3000):
+        page = "".join(rng.choices(bits, k=rng.randint(1, 40)))
+        assert main_text(page) == by_windows(page), page
+
+
+def test_hostile_markup_takes_linear_time():
+    pages = ["<div>" * 80_000 + "</span>" * 80_000, "<svg>" * 100_000, "<div></p>" * 100_000, "<a '" * 100_000, "<ul><li>" * 60_000 + "</ol>" * 60_000, "<x y=\"" * 80_000, "<!--" * 100_000, "<" * 500_000]
+    for page in pages:
+        start = time.thread_time()
+        main_text(page)
+        assert time.thread_time() - start < 12, page[:20]

@@ -2,14 +2,18 @@
 
 Markup is stripped into lines, one per block element. A line weighs as many code points as its
 text has outside links; boilerplate (menus, page headers, footers, sidebars, notices, adverts,
-forms, comments, known by element, class, id or role) weighs nothing and stays in the line list as
-a valley. Weights are summed over sliding windows of WINDOW lines. A surge point is where the sum
+forms, comments, known by element, role, or a name in class or id) weighs nothing and stays in the line
+list as a valley. Names that only say what a page has or lacks (``with-sidebar``, ``no-comments``) mean
+nothing, nor do names of headings and paragraphs inside an article unless they are adverts or notices.
+Outside an article a short line that says what a cookie notice says weighs nothing. Weights are summed over sliding windows of WINDOW lines. A surge point is where the sum
 first rises over the threshold, a dive point where it falls to nothing; the lines between are the
 main text. A line of an article that the page names (``article`` or ``main``) weighs its whole text
 and THRESHOLD more, so that short paragraphs of the article rise, too; lines outside are weighed as
 on any other page, and text outside that rises by itself or adjoins the article stays.
 
-Each page is handled alone by one Arrow map: no shuffle, any page stays in one batch row.
+Each page is handled alone by one Arrow map: no shuffle, any page stays in one batch row. Time grows in
+proportion to the page, whatever its markup: end tags without a start are passed over by a count of
+open names, and an end that was once not found is not searched again.
 
 Defined results: null or empty html gives empty text; unclosed and stray tags are tolerated, an
 unfinished tag or comment at the end is dropped; a page that is all boilerplate gives empty text;
@@ -19,6 +23,7 @@ very long pages are read whole; repeated rows give repeated results; other colum
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -44,12 +49,20 @@ BOILER_WORDS = frozenset(
     "recommended recommendations comment comments reply replies respond disqus widget widgets toolbar pagination pager login search skip copyright".split()
 )
 PAGE_WORDS = frozenset(["header", "topbar", "top"])
+MODIFIERS = frozenset("with without no not has have hide hides hidden show shows is non sans".split())
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote figure figcaption table ul ol dl li".split())
+STRONG_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription share sharing comment comments reply replies related".split()
+)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
+NOTICE = re.compile(r"\bcookies?\b.{0,120}\b(accept|agree|consent|policy|settings|browsing|experience)\b|\b(accept|agree|consent|uses?|using)\b.{0,60}\bcookies?\b", re.I | re.S)
+#: Longer lines are no notices.
+NOTICE_LENGTH = 300
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -65,9 +78,11 @@ def boilerplate(name: str, attributes: str, in_article: bool) -> bool:
         if key == "role" and value in BOILER_ROLES:
             return True
         if key in ("class", "id"):
-            words = set(WORDS.findall(value))
-            if words & BOILER_WORDS or (not in_article and words & PAGE_WORDS):
-                return True
+            known = STRONG_WORDS if in_article and name in TEXT_TAGS else BOILER_WORDS if in_article else BOILER_WORDS | PAGE_WORDS
+            for said in value.split():
+                words = WORDS.findall(said)
+                if words and words[0] not in MODIFIERS and not known.isdisjoint(words):
+                    return True
     return False
 
 
@@ -76,6 +91,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     lines: list[tuple[str, bool, bool, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, is boilerplate, is an article
+    opened: Counter[str] = Counter()  # how often each tag lies on the stack
+    endless: set[str] = set()  # raw elements that have no end tag from here on
     boiler = article = links = linked = 0
     at, end = 0, len(page)
 
@@ -97,7 +114,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     def close(k: int) -> None:
         nonlocal boiler, article
         while len(stack) > k:
-            _, b, a = stack.pop()
+            tag, b, a = stack.pop()
+            opened[tag] -= 1
             boiler -= b
             article -= a
 
@@ -137,6 +155,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         if name in BLOCKS:
             flush()
         if closing:
+            if not opened[name]:
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     flush()
@@ -145,8 +165,9 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             continue
         if name in RAW:
             if not attributes.endswith("/") or name in ("script", "style"):
-                z = RAW_END[name].search(page, at)
+                z = None if name in endless else RAW_END[name].search(page, at)
                 if z is None:
+                    endless.add(name)
                     at = end if name in ("script", "style", "textarea", "title") else at
                 else:
                     gt = page.find(">", z.start())
@@ -164,6 +185,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             flush()
             named = name in ("article", "main") and not bad and not boiler
             stack.append((name, bad, named))
+            opened[name] += 1
             boiler += bad
             article += named
     flush()
@@ -180,6 +202,8 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
             weight.append(0)
         elif inside:
             weight.append(threshold + len(text))
+        elif len(text) <= NOTICE_LENGTH and NOTICE.search(text):
+            weight.append(0)
         else:
             weight.append(0 if linked > own else own)
     n = len(weight)
