@@ -179,3 +179,27 @@ def test_ppr_is_the_dense_inverse(spark):
     kept /= kept.sum(1, keepdims=True)
     found = {(r.i, r.j): r.w for r in spectral.ppr_diffusion(g).collect()}
     assert set(found) == set(zip(*map(list, np.nonzero(kept)), strict=True)) and all(found[p] == pytest.approx(kept[p], abs=1e-12) for p in found)
+
+
+def test_small_graph_edits_equal_a_fresh_start():
+    rng = np.random.default_rng(6)
+    n = 14
+    pairs = np.array([(u, v) for u in range(n) for v in range(u + 1, n) if rng.random() < 0.3])
+    g = search.SmallGraph(pairs, n)
+    for _ in range(60):
+        present = rng.random() < 0.5 and len(g.pairs(False)) > 0 or not len(g.pairs(True))
+        rows = g.pairs(not present)
+        u, v = rows[rng.integers(len(rows))]
+        g.edit(int(u), int(v), present)
+        fresh = search.SmallGraph(g.pairs(True), n)
+        for name in ("d", "inv", "w", "m", "h"):
+            assert np.allclose(getattr(g, name), getattr(fresh, name), atol=1e-14), name
+
+
+def test_lazy_takes_the_greedy_path_with_all_candidates(spark):
+    rows = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5), (5, 6)]
+    edges = spark.createDataFrame(rows, "u long, v long")
+    runs = [search.sample_by_moments(edges, 7, budget=4, strategy=k, top_k=8).edits.orderBy("step").collect() for k in ("greedy", "lazy")]
+    assert runs[0] == runs[1]
+    with pytest.raises(ValueError):
+        search.sample_by_moments(edges, 7, budget=1, strategy="lazy", operation="mixed")

@@ -45,9 +45,9 @@ def test_entry(spark):
 
 def test_whole_jobs_leave_no_row_out(spark):
     keys = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey run", "cast(l_linenumber as int) repeat").distinct()
-    merged = entry.queries()["merged_shards_all"](spark, SF)
+    merged = entry.queries()["merged_shards"](spark, SF)
     assert merged.count() == keys.count() and merged.filter("run % 4 = 3").count() > 0
-    found = entry.queries()["direct_trace_deltas_all"](spark, SF).select("u", "v")
+    found = entry.queries()["direct_trace_deltas"](spark, SF).select("u", "v")
     every = graphs.handover(spark, SF).edges.select("u", "v")
     assert found.count() > 2 and found.exceptAll(every).count() == every.exceptAll(found).count() == 0
     spark.catalog.clearCache()

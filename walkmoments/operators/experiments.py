@@ -19,7 +19,7 @@ def efficiency(graph: Graph, budget: int = 100, groups=((2, 3), (2, 3, 4)), ks=(
     """orders, strategy, top_k, total_sec, mean_step_ms: greedy and lazy deletion, a fresh trajectory each."""
     rows = []
     for orders in groups:
-        for strategy, k in [("greedy", 0), *[("heap_lazy", k) for k in ks]]:
+        for strategy, k in [("greedy", 0), *[("lazy", k) for k in ks]]:
             start = time.time()
             sample_by_moments(graph.edges, graph.n, budget=budget, orders=orders, strategy=strategy, top_k=k or 25).edits.count()
             took = time.time() - start

@@ -54,8 +54,10 @@ def trace_of_product(a: Matrix, b: Matrix) -> DataFrame:
 
 
 def moment_rows(graph: Graph, orders=(2, 3)) -> DataFrame:
-    """k, m for each order, lazily: one plan, no action."""
+    """k, m for each order. With several orders the edges are written once, as each order reads them again."""
     n, wanted = float(graph.n), orders_of(orders)
+    if len([k for k in wanted if k > 1]) > 1 or wanted[-1] > 3:
+        graph = Graph(cut(graph.edges), graph.n)
     deg = stats.degrees(graph)
     high = max((k for k in wanted if k > 3), default=0)
     walk = powers(graph, -(-high // 2)) if high else {}

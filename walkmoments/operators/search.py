@@ -124,8 +124,20 @@ class SmallGraph:
         self.h = 0.5 * ((self.m * self.a) @ self.inv)
 
     def edit(self, u: int, v: int, present: bool) -> None:
+        """Only the two degrees change, so W, H and M change at the ends and their neighbours alone.
+
+        Those entries are summed anew, in O(d d n): nothing is added to old sums, and no error piles up.
+        """
         self.a[u, v] = self.a[v, u] = 1.0 if present else 0.0
-        self.refresh()
+        near = np.flatnonzero((self.a[u] + self.a[v]) > 0)
+        near = np.union1d(near, [u, v])
+        for x in (u, v):
+            self.d[x] = self.a[x].sum()
+            self.inv[x] = 1.0 / self.d[x] if self.d[x] else 0.0
+        rows = self.a[near] * self.inv
+        self.w[near] = self.a[near] @ self.inv
+        self.m[np.ix_(near, near)] = rows @ self.a[:, near]
+        self.h[near] = 0.5 * (self.m[near] * rows).sum(1)
 
     def pairs(self, present: bool) -> np.ndarray:
         u, v = np.nonzero(np.triu(self.a == (1.0 if present else 0.0), 1))
@@ -235,7 +247,7 @@ def run_small(edges: np.ndarray, n: int, plan: Plan) -> tuple[list[tuple], dict[
             live = g.pairs(True)
             u, v = (int(x) for x in live[rng.integers(len(live))])
             op, change = "delete", None
-        elif plan.strategy == "heap_lazy":
+        elif plan.strategy == "lazy":
             if pool is None:
                 pool = g.pairs(True)
             if cache is None or (plan.refresh_interval and (step - 1) % plan.refresh_interval == 0):
@@ -327,9 +339,10 @@ def sample_by_moments(
         raise ValueError(f"operation must be one of {tuple(room)}")
     if budget > room[operation]:
         raise ValueError(f"the budget exceeds the {room[operation]} possible edits")
-    if strategy not in ("greedy", "heap_lazy", "random"):
+    strategy = "lazy" if strategy == "heap_lazy" else strategy  # the older name
+    if strategy not in ("greedy", "lazy", "random"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == "heap_lazy" and (operation != "delete" or candidate_limit is not None):
+    if strategy == "lazy" and (operation != "delete" or candidate_limit is not None):
         raise ValueError("the lazy strategy deletes, and takes no candidate limit")
     if isinstance(top_k, bool) or not isinstance(top_k, int) or top_k <= 0 or (candidate_limit is not None and candidate_limit <= 0):
         raise ValueError("top_k and candidate_limit must be positive")

@@ -34,6 +34,8 @@ def components(graph: Graph, rounds: int = 60) -> DataFrame:
         if total == before:
             break
         before = total
+    else:
+        raise RuntimeError("components did not converge")
     return state
 
 
@@ -125,10 +127,24 @@ def spectrum_rmse(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.select("graph_id", F.sqrt(square / F.size("x")).alias("rmse"))
 
 
-def estrada_series(graph: Graph, terms: int = 8) -> DataFrame:
-    """One row: the mean of exp(eigenvalue) as the sum of m_k / k! for k < ``terms`` (m_0 = 1)."""
+def estrada_index(graph: Graph) -> DataFrame:
+    """One row: the mean of exp(eigenvalue) of the normalized adjacency, from its dense spectrum in one task."""
+    edges = graph.edges.select(F.lit(0).cast("long").alias("graph_id"), "u", "v")
+    values = spectrum(edges, graph.spark.createDataFrame([(0, graph.n)], "graph_id long, n long"))
+    return values.select((F.aggregate("eigenvalues", F.lit(0.0), lambda s, x: s + F.exp(x)) / F.size("eigenvalues")).alias("value"))
+
+
+def estrada_series(graph: Graph, residual: float = 1e-9) -> DataFrame:
+    """One row: the same as the sum of m_k / k! (m_0 = 1), without a dense spectrum.
+
+    No m_k is beyond 1, so the terms left out add up to less than ``residual``.
+    """
     from .moments import moment_rows
 
+    terms = 2
+    while 2.0 / math.factorial(terms) > residual:
+        terms += 1
+
     factor = F.lit(1.0)
     for k in range(1, terms):
         factor = F.when(F.col("k") == k, F.lit(1.0 / math.factorial(k))).otherwise(factor)
@@ -152,7 +168,7 @@ def property_snapshot(graph: Graph, metrics=METRICS) -> DataFrame:
         elif name in ("m2", "m3", "m4"):
             row = moment_rows(graph, [int(name[1:])]).select(F.col("m").alias("value"))
         elif name == "estrada":
-            row = estrada_series(graph)
+            row = estrada_index(graph)
         else:
             raise ValueError(f"unknown metric {name!r}")
         row = row.select(F.lit(name).alias("metric"), "value")
@@ -240,10 +256,20 @@ def markov_diffusion(graph: Graph, degree: int = 3, alpha: float = 0.05, least:
     return total.groupBy("i", "j").agg(F.sum("w").alias("w")).filter(F.col("w") >= least)
 
 
-def heat_kernel(graph: Graph, t: float = 5.0) -> DataFrame:
-    """src, dst, w = exp(t (1/d_dst - 1)) on arcs: elementwise, as entries of A D^-1."""
-    deg = stats.degrees(graph)
-    return graph.arcs().join(deg.select(F.col("id").alias("dst"), "d"), "dst").select("src", "dst", F.exp(t * (1.0 / F.col("d") - 1.0)).alias("w"))
+def heat_kernel(graph: Graph, t: float = 5.0, self_loop: bool = True) -> DataFrame:
+    """i, j, w = exp(t (a_ij / d_j - 1)) of every pair of nodes, elementwise, by default with self-loops.
+
+    Quadratic in n by definition; pairs are generated in place, row by row of i.
+    """
+    extra = 1.0 if self_loop else 0.0
+    deg = stats.all_degrees(graph).select(F.col("id").alias("j"), (F.col("d") + extra).alias("d"))
+    last = F.lit(graph.n - 1).cast("long")
+    pairs = graph.nodes().select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("j"))
+    near = graph.arcs().select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("a"))
+    if self_loop:
+        near = near.unionByName(graph.nodes().select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("a")))
+    entry = F.coalesce(F.try_divide(F.col("a"), F.col("d")), F.lit(0.0))
+    return pairs.join(near, ["i", "j"], "left").join(deg, "j").select("i", "j", F.exp(t * (entry - 1.0)).alias("w"))
 
 
 def ppr_matrix(graph: Graph, alpha: float = 0.2) -> DataFrame:
@@ -290,17 +316,18 @@ def feature_weights(features: DataFrame, scores: DataFrame, score: str) -> DataF
     return rows.join(F.broadcast(whole)).select("feature", F.coalesce(F.try_divide(F.col("hi") - F.col("s"), F.col("hi") - F.col("mid")), F.lit(0.0)).alias("w"))
 
 
-def eigenvector_centrality(graph: Graph, rounds: int = 20) -> DataFrame:
-    """id, x: power iteration on A + I, scaled to unit length each round."""
+def eigenvector_centrality(graph: Graph, residual: float = 1e-9, rounds: int = 500) -> DataFrame:
+    """id, x: power iteration on A + I, scaled to unit length each round, until no entry moves by more than ``residual``."""
     state = graph.nodes().select("id", F.lit(1.0).alias("x"))
     near = graph.arcs()
     for _ in range(rounds):
-        flow = near.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("f"))
-        raw = state.join(flow, "id", "left").select("id", (F.col("x") + F.coalesce("f", F.lit(0.0))).alias("x"))
+        flow = near.join(state.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("f"))
+        raw = state.join(flow, "id", "left").select("id", F.col("x").alias("old"), (F.col("x") + F.coalesce("f", F.lit(0.0))).alias("x"))
         size = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s"))
-        state = raw.join(F.broadcast(size)).select("id", (F.col("x") / F.col("s")).alias("x"))
-        state = cut(state)
-    return state
+        state = cut(raw.join(F.broadcast(size)).select("id", "old", (F.col("x") / F.col("s")).alias("x")))
+        if (state.agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0] or 0.0) <= residual:
+            return state.select("id", "x")
+    raise RuntimeError("the iteration did not come to rest")
 
 
 __all__ = ["powers", "symmetric"]

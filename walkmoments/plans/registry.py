@@ -5,6 +5,8 @@ Names follow the operators; README.md maps them to the operator inventory.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import direction_class, integer_hash, relative, tidy
 from ..operators import deltas, fingerprint, graph, moments, reporting, sampling, search, spectral, stats
 from ..operators.graph import Graph
+from ..operators.lineage import shared_folder
 from ..sources import files, graphs
 from . import sql as S
 
@@ -50,6 +53,47 @@ def labelled_nodes(g: Graph) -> DataFrame:
 LAB = "lab as (select id, cast(id % 5 as int) label, id % 3 = 0 train from ids)"
 
 
+# -- files and the registry of graphs ---------------------------------------------------------------
+
+
+def _file(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}"
+
+
+@query(f"with {S.G1} select u, v from g")
+def edge_list_file(spark, sf):
+    path = _file(spark, f"edges-{uuid.uuid4().hex}.csv")
+    graphs.handover(spark, sf).edges.write.csv(path)
+    return files.read_edges(spark, path)
+
+
+@query(
+    f"with {S.G4}, i as (select id, row_number() over (order by id) - 1 x from (select u id from g union select v from g)) "
+    "select least(p.x, q.x) u, greatest(p.x, q.x) v from g join i p on p.id = g.u join i q on q.id = g.v"
+)
+def relabelled_edge_list(spark, sf):
+    """A gzip file with ids far apart, loops and repeats, read with dense ids."""
+    path = _file(spark, f"raw-{uuid.uuid4().hex}")
+    e = graphs.stars(spark, sf).edges.select((F.col("u") * 7 + 3).alias("u"), (F.col("v") * 7 + 3).alias("v"))
+    raw = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(e.select("u", F.col("u").alias("v")))
+    raw.select(F.concat_ws("\t", "u", "v").alias("value")).write.option("compression", "gzip").text(path)
+    return files.read_relabelled(spark, path).edges
+
+
+@query(f"with {S.G1} select u, v from g")
+def graph_by_name(spark, sf):
+    return graphs.load(spark, sf, "Hand-Over").edges
+
+
+@query(f"with {S.G1} select 0 step, u, v from g union all select 1, u, v from g where u % 2 = 0")
+def snapshot_files(spark, sf):
+    path = _file(spark, f"snapshots-{uuid.uuid4().hex}")
+    e = graphs.handover(spark, sf).edges
+    both = e.select(F.lit(0).alias("step"), "u", "v").unionByName(e.filter("u % 2 = 0").select(F.lit(1).alias("step"), "u", "v"))
+    files.write_snapshots(both, spark.createDataFrame([(0, 2, 0.5)], "step int, k int, m double"), path)
+    return files.read_snapshots(spark, path)[0].select("step", "u", "v")
+
+
 # -- canonical forms, filters, set operations ------------------------------------------------------
 
 
@@ -220,7 +264,15 @@ def synthetic_moments(spark, sf):
     return rounded(out)
 
 
-@query()
+@query(
+    "select graph, cast(u as bigint) u, cast(v as bigint) v from ("
+    "select 'complete' graph, a.range u, b.range v from range(12) a, range(12) b where a.range < b.range union all select 'path', range, range + 1 from range(8) "
+    "union all select 'cycle', range, range + 1 from range(9) union all select 'cycle', 0, 9 union all select 'star', 0, range from range(1, 8) "
+    "union all select 'lollipop', a.range, b.range from range(5) a, range(5) b where a.range < b.range union all select 'lollipop', range, range + 1 from range(4, 9) "
+    "union all select 'friendship', 0, 2 * range + 1 from range(20) union all select 'friendship', 0, 2 * range + 2 from range(20) union all select 'friendship', 2 * range + 1, 2 * range + 2 from range(20) "
+    "union all select 'tree', range, 2 * range + 1 from range(15) union all select 'tree', range, 2 * range + 2 from range(15) "
+    "union all select 'house', * from (values (0, 1), (1, 2), (2, 3), (0, 3), (2, 4), (3, 4)) union all select 'bull', * from (values (0, 1), (1, 2), (0, 2), (0, 3), (1, 4)))"
+)
 def synthetic_edges(spark, sf):
     out = None
     for kind, n in SYNTH:
@@ -346,15 +398,14 @@ def low_rank_update(spark, sf):
     return rounded(deltas.transition_update(g, *_edits(g)))
 
 
-@query(f"with {ST1}, {S.DELETE} select u, v, {R('d2', 'delta_m2')}, {R('d3', 'delta_m3')} from dels order by u, v limit 2")
-def direct_trace_deltas(spark, sf):
+@query(f"with {ST1}, {S.DELETE} select u, v, {R('d2', 'delta_m2')}, {R('d3', 'delta_m3')} from dels")
+def moment_delta_calculator(spark, sf):
     g = graphs.handover(spark, sf).cached()
-    first = [(r["u"], r["v"]) for r in g.edges.orderBy("u", "v").limit(2).collect()]
-    return rounded(spark.createDataFrame(deltas.direct_deltas(g, first, (2, 3)), "u long, v long, delta_m2 double, delta_m3 double"))
+    return rounded(deltas.MomentDeltaCalculator.from_undirected_edges(g.edges, g.n).deletion_deltas(orders=(2, 3), backend="topology"))
 
 
 @query(f"with {ST1}, {S.DELETE} select u, v, {R('d2', 'delta_m2')}, {R('d3', 'delta_m3')} from dels")
-def direct_trace_deltas_all(spark, sf):
+def direct_trace_deltas(spark, sf):
     return rounded(deltas.direct_deltas_all(graphs.handover(spark, sf).cached(), (2, 3)))
 
 
@@ -479,8 +530,8 @@ def target_grid(spark, sf):
 # -- trajectories ----------------------------------------------------------------------------------
 
 
-def _greedy_sql(steps: int) -> str:
-    """Greedy deletion unrolled: each step repeats the statistics on what is left."""
+def _greedy_sql(steps: int, kept: tuple[int, ...] | None = None) -> str:
+    """Greedy deletion unrolled: each step repeats the statistics on what is left. ``kept``: the edges after these steps."""
     ctes, edges = [S.G1, S.IDS, "g0 as (select u, v from g)", _after("g0")], "g0"
     for t in range(1, steps + 1):
         e = f"g{t - 1}"
@@ -494,10 +545,11 @@ def _greedy_sql(steps: int) -> str:
             f"k{t} as (select f.u, f.v, now.m2 + (2.0 / n) * ((wu - 1.0 / dv) / {S.GAP.format('du')} + (wv - 1.0 / du) / {S.GAP.format('dv')} - 1.0 / (du * dv)) n2, "
             f"now.m3 + (6.0 / n) * ((hu - m / dv) / {S.GAP.format('du')} + (hv - m / du) / {S.GAP.format('dv')} - m / (du * dv)) n3 from f{t} f, nn, m_{e} now), "
             f"b{t} as (select k.u, k.v from k{t} k, m_g0 z order by round(sqrt(power((n2 - z.m2) / z.m2, 2) + power((n3 - z.m3) / z.m3, 2)), 12), k.u, k.v limit 1), "
-            f"g{t} as (select u, v from {e} anti join b{t} using (u, v)), {_after(f'g{t}')}"
+            f"g{t} as materialized (select u, v from {e} anti join b{t} using (u, v)), {_after(f'g{t}')}"
         )
         edges = f"g{t}"
-    return f"with {', '.join(ctes)} " + " union all ".join(f"select {t} step, u, v from b{t}" for t in range(1, steps + 1))
+    rows = " union all ".join(f"select {t} step, u, v from b{t}" for t in range(1, steps + 1))
+    return f"with {', '.join(ctes)} {rows if kept is None else ' union all '.join(f'select {t} step, u, v from g{t}' for t in kept)}"
 
 
 @query(_greedy_sql(3))
@@ -515,7 +567,14 @@ def greedy_delete_relational(spark, sf):
 @query()
 def lazy_topk_delete(spark, sf):
     g = graphs.handover(spark, sf)
-    return search.sample_by_moments(g.edges, g.n, budget=20, strategy="heap_lazy", orders=(2, 3, 4)).edits
+    return search.sample_by_moments(g.edges, g.n, budget=20, strategy="lazy", orders=(2, 3, 4)).edits
+
+
+@query(_greedy_sql(3))
+def lazy_delete_all_refreshed(spark, sf):
+    """With every candidate refreshed at each step the lazy search takes the greedy path."""
+    g = graphs.handover(spark, sf)
+    return search.sample_by_moments(g.edges, g.n, budget=3, strategy="lazy", top_k=g.edges.count()).edits.select("step", "u", "v")
 
 
 @query()
@@ -524,7 +583,7 @@ def mixed_trajectory(spark, sf):
     return search.sample_by_moments(g.edges, g.n, budget=6, operation="mixed", target={2: 0.04, 3: 0.006}, checkpoints=(0, 3, 6)).edits
 
 
-@query()
+@query(_greedy_sql(10, (0, 5, 10)))
 def checkpoint_snapshots(spark, sf):
     g = graphs.handover(spark, sf)
     return search.sample_by_moments(g.edges, g.n, budget=10, checkpoints=(0, 5, 10)).snapshots
@@ -651,6 +710,13 @@ def effective_resistances(spark, sf):
     return rounded(_leverage(spark, sf), 9)
 
 
+@query(f"with {S.G4} select u, v, 1.0::double w, 1.0::double resistance, 1.0::double leverage from g")
+def star_resistances(spark, sf):
+    """In a forest every edge is the only way between its ends."""
+    g = graphs.stars(spark, sf).cached()
+    return rounded(spectral.resistances(g.edges, spectral.components(g)), 6)
+
+
 @query()
 def normalized_resistances(spark, sf):
     g = graphs.handover(spark, sf).cached()
@@ -679,12 +745,19 @@ def spectrum_rmse(spark, sf):
     return spectral.spectrum_rmse(_spectrum(spark, sf), _spectrum(spark, sf, 100_000))
 
 
-FACTORIALS = {2: 2, 3: 6, 4: 24, 5: 120, 6: 720}
+def _factorial_sum(top: int) -> str:
+    """Mean of exp(eigenvalue) by its series; the terms left out are below 2 / (top + 1)!."""
+    return " + ".join(f"({S.moment(k)}) / {math.factorial(k)}.0" for k in range(2, top + 1))
 
 
-@query(f"with {ST1}, {S.walks(3)} select {R('1.0 + ' + ' + '.join(f'({S.moment(k)}) / {f}' for k, f in FACTORIALS.items()), 'value')}")
+@query(f"with {S.stats('trade')}, {S.walks(9)} select {R('1.0 + ' + _factorial_sum(18), 'value', 10)}")
 def estrada_index(spark, sf):
-    return rounded(spectral.estrada_series(graphs.handover(spark, sf).cached(), 7))
+    return rounded(spectral.estrada_index(graphs.trade(spark, sf)), 10)
+
+
+@query(f"with {ST1}, {S.walks(4)} select {R('1.0 + ' + _factorial_sum(8), 'value', 5)}")
+def estrada_by_series(spark, sf):
+    return rounded(spectral.estrada_series(graphs.handover(spark, sf).cached(), 1e-5), 5)
 
 
 @query(
@@ -778,15 +851,8 @@ def coordinate_means(spark, sf):
     return out.select(tidy(F.col("m2")).alias("m2"), tidy(F.col("m3")).alias("m3"), tidy(F.col("mean"), 9).alias("mean"))
 
 
-@query(f"with {RUNS}, k as (select distinct run, repeat from runs where run % 4 <> 3) select run, repeat from k")
-def merged_shards(spark, sf):
-    keys = _runs(spark, sf).select("run", "repeat").distinct().filter("run % 4 <> 3")
-    shards = [keys.filter(F.pmod("run", F.lit(4)) == k) for k in range(3)]
-    return reporting.merged_shards(shards, ["run", "repeat"], keys)
-
-
 @query(f"with {RUNS} select distinct run, repeat from runs")
-def merged_shards_all(spark, sf):
+def merged_shards(spark, sf):
     keys = _runs(spark, sf).select("run", "repeat").distinct()
     shards = [keys.filter(F.pmod("run", F.lit(4)) == k) for k in range(4)]
     return reporting.merged_shards(shards, ["run", "repeat"], keys)
@@ -839,9 +905,17 @@ def degree_weights(spark, sf):
     return rounded(spectral.arc_weights(g, stats.degrees(g), "d"), 9)
 
 
-@query()
+def _eigenvector_sql() -> str:
+    """Row sums of (A + I)^128 by squaring, to unit length; entries are scaled at each square."""
+    ctes = [ST1, "e0 as (select src i, dst j, 1.0::double w from arcs union all select id, id, 1.0 from ids)"]
+    for k in range(7):
+        ctes.append(f"f{k} as materialized (select x.i, y.j, sum(x.w * y.w) w from e{k} x join e{k} y on x.j = y.i group by 1, 2), e{k + 1} as materialized (select i, j, w / (select max(w) from f{k}) w from f{k})")
+    return f"with {', '.join(ctes)}, es as (select i id, sum(w) x from e7 group by i) select id, {R('x / (select sqrt(sum(x * x)) from es)', 'x', 7)} from es"
+
+
+@query(_eigenvector_sql())
 def eigenvector_centrality(spark, sf):
-    return spectral.eigenvector_centrality(graphs.handover(spark, sf).cached())
+    return rounded(spectral.eigenvector_centrality(graphs.handover(spark, sf).cached()), 7)
 
 
 @query(
@@ -872,20 +946,36 @@ def markov_diffusion(spark, sf):
     return rounded(spectral.markov_diffusion(graphs.handover(spark, sf).cached()), 10)
 
 
-@query(f"with {ST1} select src, dst, {R('exp(5.0 * (1.0 / d - 1.0))', 'w')} from arcs join deg on id = dst")
+@query(
+    f"with {ST1}, lo as (select src i, dst j from arcs union all select id, id from ids) select p.id i, q.id j, {R('exp(5.0 * (case when lo.i is null then 0.0 else 1.0 / (q.d + 1) end - 1.0))', 'w')} "
+    "from ns p cross join ns q left join lo on lo.i = p.id and lo.j = q.id"
+)
 def heat_kernel(spark, sf):
     return rounded(spectral.heat_kernel(graphs.handover(spark, sf)))
 
 
-@query()
+def _ppr_sql() -> str:
+    """Table ppr(i, j, w): 0.2 times the sum of (0.8 T)^t for t < 128, by doubling; 0.8^128 is below 1e-12."""
+    ctes = [ST1, LOOPED, "b0 as (select i, j, 0.8 * w w from lw)", "z0 as (select id i, id j, 1.0::double w from ids)"]
+    for k in range(7):
+        ctes.append(f"z{k + 1} as materialized (select i, j, sum(w) w from (select i, j, w from z{k} union all select x.i, y.j, x.w * y.w from z{k} x join b{k} y on x.j = y.i) group by 1, 2)")
+        ctes.append(f"b{k + 1} as materialized (select x.i, y.j, sum(x.w * y.w) w from b{k} x join b{k} y on x.j = y.i group by 1, 2)")
+    return f"with {', '.join(ctes)}, ppr as (select i, j, 0.2 * w w from z7)"
+
+
+@query(f"{_ppr_sql()}, pk as (select * from ppr where w >= 1e-4) select i, j, {R('w / sum(w) over (partition by i)', 'w', 9)} from pk")
 def ppr_diffusion(spark, sf):
-    return spectral.ppr_diffusion(graphs.handover(spark, sf).cached())
+    return rounded(spectral.ppr_diffusion(graphs.handover(spark, sf).cached()), 9)
 
 
-@query()
+@query(
+    f"{_ppr_sql()}, ep as (select e from (values (1e-5::double), (1e-4::double), (1e-3::double), (1e-2::double)) t(e)), "
+    "ch as (select e from ep order by abs((select count(*) from ppr where w >= e) / (select n from nn) - 20.0), e limit 1), kp as (select ppr.* from ppr, ch where w >= e), "
+    f"lh as (select j, min(w) lo, max(w) hi from kp group by j) select i, kp.j, {R('coalesce((w - lo) / nullif(hi - lo, 0), 0.0)', 'w', 8)} from kp join lh on lh.j = kp.j"
+)
 def sparsified_diffusion(spark, sf):
     g = graphs.handover(spark, sf).cached()
-    return spectral.sparsify_to_degree(spectral.ppr_matrix(g), g.n, 20.0)
+    return rounded(spectral.sparsify_to_degree(spectral.ppr_matrix(g), g.n, 20.0), 8)
 
 
 @query("select cast(l_suppkey as bigint) src, cast(l_partkey as bigint) dst, round(sum(l_quantity), 6) + 0.0 as w from lineitem group by 1, 2")

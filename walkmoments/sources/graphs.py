@@ -89,6 +89,11 @@ def _pairs(spark: SparkSession, rows: list[tuple[int, int]]) -> DataFrame:
     return simple_edges(spark.createDataFrame(rows, "u long, v long"))
 
 
+# Edges of the two small graphs.
+HOUSE = [(0, 1), (1, 2), (2, 3), (0, 3), (2, 4), (3, 4)]
+BULL = [(0, 1), (1, 2), (0, 2), (0, 3), (1, 4)]
+
+
 def synthetic(spark: SparkSession, kind: str, n: int) -> Graph:
     """Standard graphs, generated in Spark. friendship has 20 blades and tree 15 parents whatever n."""
     ids, u = spark.range(n), F.col("id").alias("u")
@@ -114,7 +119,7 @@ def synthetic(spark: SparkSession, kind: str, n: int) -> Graph:
         parents = spark.range(15)
         return Graph(parents.select(u, F.explode(F.array(2 * F.col("id") + 1, 2 * F.col("id") + 2)).alias("v")), 31)
     if kind == "house":
-        return Graph(_pairs(spark, [(0, 1), (0, 2), (1, 3), (2, 3), (2, 4), (3, 4)]), 5)
+        return Graph(_pairs(spark, HOUSE), 5)
     if kind == "bull":
-        return Graph(_pairs(spark, [(0, 1), (0, 2), (1, 2), (1, 3), (2, 4)]), 5)
+        return Graph(_pairs(spark, BULL), 5)
     raise ValueError(f"unknown synthetic graph {kind!r}")
