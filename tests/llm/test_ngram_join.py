@@ -87,6 +87,7 @@ def test_blocking_and_bounds_lose_no_link():
                 one = np.array([1, 2])
                 found = sigtree.candidates(np.array([len(a), len(b)]), maps, one, one, np.array([2, 2]), num, den)
                 assert len(found[0]) == 1
+                assert sigtree.overlap_bound(len(a), maps[0], len(b), maps[1]) >= len(np.intersect1d(a, b))
 
 
 def test_dual_traversal_equals_all_pairs():

@@ -5,8 +5,8 @@ Two documents link when ``den * intersection >= num * union`` of their word shin
 1. One Arrow map makes each document's set and writes its number, size and segment keys. Linked
    sets share a segment key (see shingles.py), so groups of equal keys miss no link.
 2. Groups of two and more sets are kept, each named by its leader, the least set number. Each set is
-   verified against the leader of most of its groups; what links points to its leader, and the
-   pointers, doubled until they rest on roots, are preliminary classes.
+   held against the leader of most of its groups, by bitmaps and then by members; what links points
+   to its leader, and the pointers, doubled until they rest on roots, are preliminary classes.
 3. All groups with one leader are one unit. Units that still hold several classes become signature
    trees (see sigtree.py), cut into blocks of about BLOCK sets and BLOCK_MEMBERS members. Dual
    traversal prunes node pairs by the greatest possible overlap and by class, and leaves candidate
@@ -44,7 +44,7 @@ from .shingles import identity, segment_keys, sets_of
 #: Sets, and members of sets, in one block of a unit; a task compares two blocks at most.
 BLOCK, BLOCK_MEMBERS = 1024, 1 << 22
 #: Candidates a set of a unit beyond which its blocks are dense.
-DENSE = 32
+DENSE = 8
 #: Set numbers that a task remembers to give the keys of copies once.
 SEEN = 1 << 17
 #: Sets of one key that a task holds.
@@ -189,19 +189,33 @@ def whole_sets(docs: DataFrame, units: DataFrame, n: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose whole sets link: their members are compared in the JVM."""
-    left = sets.select(F.col("cid").alias("a"), F.col("members").alias("sa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("members").alias("sb"))
+    """The rows (a, b) of ``pairs`` whose whole sets link: their members are compared in the JVM.
+
+    A row filter of the pairs' ends keeps the other sets from being shuffled.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(F.xxhash64("cid").alias("rid"))
+    words, shift = filter_of(ends, 2 * pairs.count())
+    asked = sets.select("cid", "members", F.xxhash64("cid").alias("rid")).withColumn("__f_word", F.shiftrightunsigned("rid", shift))
+    asked = asked.join(F.broadcast(words), "__f_word").filter(hit(F.col("rid")))
+    left = asked.select(F.col("cid").alias("a"), F.col("members").alias("sa"))
+    right = asked.select(F.col("cid").alias("b"), F.col("members").alias("sb"))
     common, total = F.size(F.array_intersect("sa", "sb")).cast("long"), F.size("sa").cast("long") + F.size("sb")
     return pairs.select("a", "b").join(left, "a").join(right, "b").filter(common * (num + den) >= total * num).select("a", "b")
 
 
-def stars(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: every set that links with its star, and that."""
-    left = sets.filter("star is not null").select(F.col("cid").alias("a"), F.col("star").alias("b"), F.col("size").alias("na"), F.col("members").alias("sa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("size").alias("nb"), F.col("members").alias("sb"))
-    near = left.join(right, "b").filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    return near.filter(F.size(F.array_intersect("sa", "sb")).cast("long") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+def star_candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: every set and its star, where sizes and bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(k).to_numpy() for k in (2, 3)]
+            bound = np.array([sigtree.overlap_bound(int(m), x, int(n), y) for m, x, n, y in zip(sizes[0], batch.column(4).to_pylist(), sizes[1], batch.column(5).to_pylist())], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((num + den) * bound >= num * (sizes[0] + sizes[1])))
+
+    left = sets.filter("star is not null").select(F.col("cid").alias("a"), F.col("star").alias("b"), F.col("size").alias("na"), F.col("bitmap").alias("ba"))
+    right = sets.select(F.col("cid").alias("b"), F.col("size").alias("nb"), F.col("bitmap").alias("bb"))
+    near = left.join(right, "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    return near.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
 def labelled(rows: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
@@ -317,12 +331,15 @@ def grouped_sets(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame
 
 def set_components(whole: DataFrame, num: int, den: int) -> DataFrame:
     """cid, comp for every set that links with another; ``whole`` is deleted."""
-    links = materialize(stars(whole, num, den), "join-links")
+    with arrow_batches(whole.sparkSession):
+        near = materialize(star_candidates(whole, num, den), "join-stars")
+    links = materialize(verified(near, whole, num, den), "join-links")
+    drop_table(near)
     labels, only, dense = roots(links), None, DENSE
     while True:
         with arrow_batches(whole.sparkSession):
             pairs = materialize(tree_candidates(whole, labels, num, den, dense, only), "join-pairs")
-        found = materialize(verified(pairs.filter("not dense"), whole, num, den), "join-links")
+        found = materialize(verified(pairs.filter("not dense").select("a", "b"), whole, num, den), "join-links")
         # a root for each class and the links between classes: pairs inside a class are never made
         arcs = labels.select(F.col("cid").alias("a"), F.col("comp").alias("b")).unionByName(found)
         new = components(arcs)

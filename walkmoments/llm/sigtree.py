@@ -35,6 +35,14 @@ def fold(bitmap: bytes, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(words.reshape(-1, width // 64), axis=0)
 
 
+def overlap_bound(m: int, x: bytes, n: int, y: bytes) -> int:
+    """The most members that sets of ``m`` and ``n`` members with these bitmaps can share."""
+    width = 8 * min(len(x), len(y))
+    a, b = fold(x, width), fold(y, width)
+    slack = min(m - int(np.bitwise_count(a).sum()), n - int(np.bitwise_count(b).sum()))
+    return int(np.bitwise_count(a & b).sum()) + slack
+
+
 class Tree:
     def __init__(self, sizes: np.ndarray, bits: np.ndarray, comps: np.ndarray, ids: np.ndarray):
         order = np.lexsort((bits[:, 0], sizes, comps))
