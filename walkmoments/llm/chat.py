@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_prefix, text_or_empty
+from .common import block_prefix, materialize, text_or_empty
 
 BUDGET, HISTORY = 2048, 512
 BLOCK_BITS = 6
@@ -94,26 +94,26 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     half = F.greatest(F.floor(F.greatest(F.col("__c_room") - history, F.floor(F.col("__c_room") / 2)) / 2), F.lit(1)).cast("long")
     one = F.col("__c_all") <= budget
     turns = turns.withColumn("__c_big", ~one & (tokens > half)).withColumn("__c_span", F.when(one, zero).otherwise(F.floor(F.col("__c_before") / half)).cast("long"))
-    turns = turns.select("conv_id", key, "__c_span", "__c_big", "__c_before", "__c_room", "__c_tokens", "__c_role", "__c_head", "__c_marked")
+    # written once, as the plan below reads them again and again
+    turns = materialize(turns.select("conv_id", key, "__c_span", "__c_big", "__c_before", "__c_room", "__c_tokens", "__c_role", "__c_head", "__c_marked"), "chat-turns")
     place = [key, "__c_span", "__c_big"]
     spans = turns.groupBy("conv_id", *place).agg(F.min("__c_before").alias("__c_start"), F.sum("__c_tokens").alias("__c_own"), F.first("__c_room").alias("__c_room"))
     spans = spans.withColumn("__c_one", F.lit(1).cast("long"))
     spans = block_prefix(spans, [key], F.shiftright("__c_span", 2 * BLOCK_BITS), [F.col("__c_span"), F.col("__c_big")], "__c_one", "window").drop("__c_one")
-    # what the next window takes of this one's last turns: a span and the next are one join of numbers
+    spans = materialize(spans, "chat-spans")
+    first = turns.filter("__c_role = 'system'").groupBy(key).agg(F.min(F.struct("__c_before", "__c_role", "__c_head", "__c_marked")).alias("__c_first"))
+    first = first.select(key, F.col("__c_first.__c_before").alias("__c_at"), *[F.col(f"__c_first.{c}").alias(c) for c in ("__c_role", "__c_head", "__c_marked")])
+    # what the next window takes of this one's last turns, and where the system turn lies: numbers
     after = spans.select(key, (F.col("window") - 1).alias("window"), F.least(F.lit(history), F.col("__c_room") - F.col("__c_own")).alias("__c_takes"))
-    spans = spans.join(after, [key, "window"], "left").drop("__c_room")
-    placed = turns.drop("conv_id", "__c_room").join(spans, place)
-    piece = ["conv_id", key, "window", "__c_before", "__c_role", "__c_head", "__c_marked"]
-    own = placed.select(*piece, F.lit(2).alias("__c_part"))
-    near = F.col("__c_start") + F.col("__c_own") - F.col("__c_before") <= F.col("__c_takes")
-    first = placed.filter("__c_role = 'system'").groupBy(key).agg(F.min(F.struct("__c_before", "window", "__c_role", "__c_head", "__c_marked")).alias("__c_first"))
-    first = first.select(key, F.col("__c_first.window").alias("__c_in"), *[F.col(f"__c_first.{c}").alias(c) for c in ("__c_before", "__c_role", "__c_head", "__c_marked")])
-    system = spans.select("conv_id", key, "window").join(first, key).filter(F.col("window") > F.col("__c_in")).select(*piece, F.lit(0).alias("__c_part"))
-    repeated = placed.filter(near).withColumn("window", F.col("window") + 1).select(*piece, F.lit(1).alias("__c_part"))
-    is_system = F.col("__c_role") == "system"
-    again = repeated.filter(is_system).join(first.select(key, "__c_before"), [key, "__c_before"], "left_anti").select(repeated.columns)
-    pieces_of = own.unionByName(repeated.filter(~is_system)).unionByName(again).unionByName(system)
-    parts = pieces_of.select(
+    known = spans.drop("conv_id", "__c_room").join(after, [key, "window"], "left").join(first.select(key, "__c_at"), key, "left")
+    placed = turns.drop("__c_room").join(known, place)
+    near = (F.col("__c_start") + F.col("__c_own") - F.col("__c_before") <= F.col("__c_takes")) & ~F.col("__c_before").eqNullSafe(F.col("__c_at"))
+    seen = F.array(F.struct("window", F.lit(2).alias("part")), F.when(near, F.struct((F.col("window") + 1).alias("window"), F.lit(1).alias("part"))))
+    said = ["conv_id", key, "__c_before", "__c_role", "__c_head", "__c_marked"]
+    turn = placed.select(*said, F.explode(F.filter(seen, lambda x: x.isNotNull())).alias("__c_in")).select(*said, F.col("__c_in.window").alias("window"), F.col("__c_in.part").alias("__c_part"))
+    system = spans.select("conv_id", key, "window", "__c_start").join(first, key).filter(F.col("__c_start") > F.col("__c_at"))
+    system = system.withColumn("__c_before", F.col("__c_at")).select(*said, "window", F.lit(0).alias("__c_part"))
+    parts = turn.unionByName(system).select(
         "conv_id",
         key,
         "window",
