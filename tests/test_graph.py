@@ -200,6 +200,11 @@ def test_lazy_takes_the_greedy_path_with_all_candidates(spark):
     rows = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5), (5, 6)]
     edges = spark.createDataFrame(rows, "u long, v long")
     runs = [search.sample_by_moments(edges, 7, budget=4, strategy=k, top_k=8).edits.orderBy("step").collect() for k in ("greedy", "lazy")]
-    assert runs[0] == runs[1]
+    runs.append(search.sample_by_moments(edges, 7, budget=4, strategy="lazy", top_k=8, relational=True).edits.orderBy("step").collect())
+    assert runs[0] == runs[1] == runs[2]
+    few = [search.sample_by_moments(edges, 7, budget=3, strategy="lazy", top_k=2, relational=r).edits.orderBy("step").collect() for r in (True, False)]
+    assert few[0] == few[1]
+    some = search.sample_by_moments(edges, 7, budget=3, operation="mixed", candidate_limit=3, relational=True)
+    assert some.edits.count() == 3 and some.edits.select("u", "v").distinct().count() == 3
     with pytest.raises(ValueError):
         search.sample_by_moments(edges, 7, budget=1, strategy="lazy", operation="mixed")

@@ -2,7 +2,8 @@
 
 Orders 2 and 3 are closed forms over node statistics. Any order follows from walk return
 probabilities between a candidate's endpoints, s_t(a, b) = (P^t)_ab, by a 2 x 2 determinant
-recurrence (functions.determinant_deltas); they are read from powers of the symmetric matrix.
+recurrence (functions.determinant_deltas); they are read from powers of the symmetric matrix up to
+half the order.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from . import stats
 from .graph import Graph, canonical, complement, pair, require_members
+from .lineage import cut
 from .moments import compute_moments, orders_of, powers
 
 
@@ -71,26 +73,43 @@ def add_deltas(graph: Graph, candidates: DataFrame | None = None) -> DataFrame:
 
 
 def walk_values(graph: Graph, pairs: DataFrame, top: int) -> DataFrame:
-    """Pairs with du, dv and s<t>_uu, s<t>_vv, s<t>_uv, s<t>_vu for t = 0..top."""
+    """Pairs with du, dv and s<t>_uu, s<t>_vv, s<t>_uv, s<t>_vu for t = 0..top.
+
+    Powers of S are made up to ceil(top / 2) only. Entries of higher powers meet in the middle: the
+    diagonal is a sum over two tables of the same entries, and a pair's entry a sum over the lower
+    power's row of one end, looked up in the higher power's column of the other.
+    """
     deg = stats.all_degrees(graph)
-    rows = pairs.select("u", "v")
+    asked = cut(pairs.select("u", "v"))
+    rows = asked
     for e in "uv":
         rows = rows.join(deg.select(F.col("id").alias(e), F.col("d").cast("double").alias(f"d{e}")), e)
-    walk = powers(graph, top)
+    half = max(1, -(-top // 2))
+    walk = powers(graph, half)
     one, zero = F.lit(1.0), F.lit(0.0)
-    every = None
-    for t, m in walk.items():
-        part = m.filter("i <= j").select("i", "j", F.lit(t).alias("t"), "w")
-        every = part if every is None else every.unionByName(part)
-    entries = [F.sum(F.when(F.col("t") == t, F.col("w"))).alias(f"w{t}") for t in walk]
-    diagonal = every.filter("i = j").groupBy("i").agg(*entries)
-    across = every.filter("i < j").groupBy(F.col("i").alias("u"), F.col("j").alias("v")).agg(*entries)
+    each = range(1, top + 1)
+    at = across = None
+    for t in each:
+        if t <= half:
+            own = walk[t].filter("i = j").select("i", F.lit(t).alias("t"), "w")
+            pair_of = walk[t].select(F.col("i").alias("u"), F.col("j").alias("v"), "w").join(asked, ["u", "v"], "left_semi").select("u", "v", F.lit(t).alias("t"), "w")
+        else:
+            low, high = walk[t // 2], walk[t - t // 2]
+            both = low.select("i", "j", F.col("w").alias("x")).join(high.select("i", "j", F.col("w").alias("y")), ["i", "j"])
+            own = both.groupBy("i").agg(F.sum(F.col("x") * F.col("y")).alias("w")).select("i", F.lit(t).alias("t"), "w")
+            step = asked.join(low.select(F.col("i").alias("u"), F.col("j").alias("k"), F.col("w").alias("x")), "u")
+            step = step.join(high.select(F.col("i").alias("k"), F.col("j").alias("v"), F.col("w").alias("y")), ["k", "v"])
+            pair_of = step.groupBy("u", "v").agg(F.sum(F.col("x") * F.col("y")).alias("w")).select("u", "v", F.lit(t).alias("t"), "w")
+        at = own if at is None else at.unionByName(own)
+        across = pair_of if across is None else across.unionByName(pair_of)
+    entries = [F.sum(F.when(F.col("t") == t, F.col("w"))).alias(f"w{t}") for t in each]
+    diagonal, across = at.groupBy("i").agg(*entries), across.groupBy("u", "v").agg(*entries)
     for e in "uv":
-        rows = rows.join(diagonal.select(F.col("i").alias(e), *[F.col(f"w{t}").alias(f"s{t}_{e}{e}") for t in walk]), e, "left")
+        rows = rows.join(diagonal.select(F.col("i").alias(e), *[F.col(f"w{t}").alias(f"s{t}_{e}{e}") for t in each]), e, "left")
     rows = rows.join(across, ["u", "v"], "left")
     ratio = F.when((F.col("du") > 0) & (F.col("dv") > 0), F.sqrt(F.col("du") / F.col("dv")))
     named = {"s0_uu": one, "s0_vv": one, "s0_uv": zero, "s0_vu": zero}
-    for t in walk:
+    for t in each:
         named |= {f"s{t}_{e}{e}": F.coalesce(F.col(f"s{t}_{e}{e}"), zero) for e in "uv"}
         named |= {f"s{t}_uv": F.coalesce(ratio * F.col(f"w{t}"), zero), f"s{t}_vu": F.coalesce(F.col(f"w{t}") / ratio, zero)}
     return rows.select("u", "v", "du", "dv", *[x.alias(name) for name, x in named.items()])

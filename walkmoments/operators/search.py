@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .deltas import add_deltas, apply_edits, delete_deltas, deletion_deltas, walk_deltas
 from .graph import Graph, canonical, complement
+from .lineage import cut
 from .moments import compute_moments, orders_of
+from .sampling import subsample
 
 DIGITS = 12
 
@@ -51,13 +53,22 @@ def relative_scale(moments: dict[int, float]) -> dict[int, float]:
     return {k: abs(m) if abs(m) > 1e-12 else 1.0 for k, m in moments.items()}
 
 
-def edit_candidates(graph: Graph, operation: str, orders=(2, 3)) -> DataFrame:
-    """op, op_rank, u, v and changes of every possible edit of a kind (add, delete or mixed)."""
+def edit_candidates(graph: Graph, operation: str, orders=(2, 3), skip: DataFrame | None = None, limit: int | None = None, seed: int = 0) -> DataFrame:
+    """op, op_rank, u, v and changes of the possible edits of a kind (add, delete or mixed).
+
+    ``skip``: pairs left out. ``limit``: so many additions and so many deletions, chosen by hash,
+    before anything is computed for them.
+    """
     def changes(adding: bool) -> DataFrame:
+        pairs = complement(graph) if adding else graph.edges
+        if skip is not None:
+            pairs = pairs.join(F.broadcast(skip), ["u", "v"], "left_anti")  # the edits so far
+        if limit is not None:
+            pairs = subsample(pairs.select("u", "v"), limit, seed)
         if set(orders) <= {2, 3}:
-            rows = add_deltas(graph) if adding else delete_deltas(graph)
+            rows = add_deltas(graph, pairs) if adding else delete_deltas(graph, pairs)
         else:
-            rows = walk_deltas(graph, complement(graph) if adding else graph.edges, orders, adding)
+            rows = walk_deltas(graph, pairs, orders, adding)
         name, rank = ("add", 0) if adding else ("delete", 1)
         return rows.select(F.lit(name).alias("op"), F.lit(rank).alias("op_rank"), "u", "v", *[f"delta_m{k}" for k in orders])
 
@@ -400,22 +411,46 @@ def run_grouped(edges: DataFrame, n: int, plans: dict[int, Plan]) -> DataFrame:
 
 
 def run_relational(graph: Graph, plan: Plan) -> list[tuple]:
-    """The same greedy path with one job a step; edits so far are a small table that updates the graph."""
-    if plan.strategy != "greedy" or plan.candidate_limit is not None:
-        raise ValueError("steps as jobs are greedy over all candidates")
+    """The same path with a few jobs a step; edits so far are a small table that updates the graph.
+
+    Candidate limits choose by hash of the seed and the step. The lazy strategy scores every edge
+    once, into a written table; each step then refreshes the ``top_k`` best by the scores held, which
+    are the table's, or for edges refreshed before, at most ``top_k`` a step, the driver's.
+    """
+    if plan.strategy == "random":
+        raise ValueError("steps as jobs are greedy or lazy")
     first = compute_moments(graph, plan.orders)
     target, scale = plan.target or first, plan.scale or relative_scale(first)
     now, made, current = dict(first), [], graph
-    spark = graph.spark
+    spark, pair_type = graph.spark, "u long, v long"
+    held: dict[tuple[int, int], float] = {}
+    score = F.round(F.sqrt("score"), DIGITS).alias("score")
+    base = None
+    if plan.strategy == "lazy":
+        base = cut(scored(edit_candidates(graph, "delete", plan.orders), now, target, scale).select("u", "v", score))
     for step in range(1, plan.budget + 1):
-        rows = edit_candidates(current, plan.operation, plan.orders)
-        if made and plan.operation != "delete":
-            rows = rows.join(spark.createDataFrame([(u, v) for _, _, u, v in made], "u long, v long"), ["u", "v"], "left_anti")
-        row = best(scored(rows, now, target, scale), 1, "op_rank").first()
+        edited = spark.createDataFrame([(u, v) for _, _, u, v in made], pair_type)
+        if base is not None:
+            if plan.refresh_interval and step > 1 and (step - 1) % plan.refresh_interval == 0:
+                base = cut(scored(edit_candidates(current, "delete", plan.orders), now, target, scale).select("u", "v", score))
+                held = {}
+            known = edited.unionByName(spark.createDataFrame(list(held), pair_type))
+            fresh = base.join(F.broadcast(known), ["u", "v"], "left_anti").orderBy("score", "u", "v").limit(plan.top_k).collect()
+            ranked = sorted([(r["score"], r["u"], r["v"]) for r in fresh] + [(x, u, v) for (u, v), x in held.items()])[: plan.top_k]
+            pool = spark.createDataFrame([(u, v) for _, u, v in ranked], pair_type)
+            rows = delete_deltas(current, pool) if set(plan.orders) <= {2, 3} else walk_deltas(current, pool, plan.orders)
+            rows = scored(rows.withColumn("op", F.lit("delete")), now, target, scale).select("*", score.alias("ranked")).collect()
+            held |= {(r["u"], r["v"]): r["ranked"] for r in rows}
+            row = min(rows, key=lambda r: (r["ranked"], r["u"], r["v"]))
+            held.pop((row["u"], row["v"]))
+        else:
+            skip = edited if made and plan.operation != "delete" else None
+            rows = edit_candidates(current, plan.operation, plan.orders, skip, plan.candidate_limit, plan.seed + step)
+            row = best(scored(rows, now, target, scale), 1, "op_rank").first()
         now = {k: now[k] + row[f"delta_m{k}"] for k in now}
         made.append((step, row["op"], row["u"], row["v"]))
-        gone = spark.createDataFrame([(u, v) for _, op, u, v in made if op == "delete"], "u long, v long")
-        come = spark.createDataFrame([(u, v) for _, op, u, v in made if op == "add"], "u long, v long")
+        gone = spark.createDataFrame([(u, v) for _, op, u, v in made if op == "delete"], pair_type)
+        come = spark.createDataFrame([(u, v) for _, op, u, v in made if op == "add"], pair_type)
         # always from the first graph: the plan doesn't grow with the steps
         current = Graph(graph.edges.join(F.broadcast(gone), ["u", "v"], "left_anti").unionByName(come), graph.n)
     return made

@@ -66,12 +66,20 @@ def edge_mass(tri: DataFrame) -> DataFrame:
 
 
 def pair_mass(graph: Graph, pairs: DataFrame, deg: DataFrame | None = None) -> DataFrame:
-    """u, v, m of any pairs (u, v) with common neighbours: wedges closed by the pairs asked for."""
+    """u, v, m of any pairs (u, v) with common neighbours.
+
+    Only the neighbours of each pair's end of lower degree are opened, and looked up at the other end:
+    no wedge is made that no pair asks for, and a hub opens none of its own.
+    """
     deg = degrees(graph) if deg is None else deg
-    near = graph.arcs().join(deg.select(F.col("id").alias("dst"), "d"), "dst")
-    left = near.select(F.col("src").alias("u"), F.col("dst").alias("w"), "d")
-    right = graph.arcs().select(F.col("src").alias("v"), F.col("dst").alias("w"))
-    return left.join(right, "w").filter("u < v").groupBy("u", "v").agg(F.sum(1.0 / F.col("d")).alias("m")).join(pairs.select("u", "v"), ["u", "v"], "left_semi")
+    ends = pairs.select("u", "v").distinct()
+    for e in "uv":
+        ends = ends.join(deg.select(F.col("id").alias(e), F.col("d").alias(f"d{e}")), e)
+    low = F.col("du") <= F.col("dv")
+    ends = ends.select("u", "v", F.when(low, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("y"))
+    near = graph.arcs().join(deg.select(F.col("id").alias("dst"), "d"), "dst").select(F.col("src").alias("x"), F.col("dst").alias("w"), "d")
+    closing = graph.arcs().select(F.col("src").alias("y"), F.col("dst").alias("w"))
+    return ends.join(near, "x").join(closing, ["y", "w"]).groupBy("u", "v").agg(F.sum(1.0 / F.col("d")).alias("m"))
 
 
 def node_stats(graph: Graph, tri: DataFrame | None = None) -> DataFrame:

@@ -577,6 +577,13 @@ def lazy_delete_all_refreshed(spark, sf):
     return search.sample_by_moments(g.edges, g.n, budget=3, strategy="lazy", top_k=g.edges.count()).edits.select("step", "u", "v")
 
 
+@query(_greedy_sql(2))
+def lazy_delete_relational(spark, sf):
+    """The lazy search as jobs; with every candidate refreshed it takes the greedy path."""
+    g = graphs.handover(spark, sf).cached()
+    return search.sample_by_moments(g.edges, g.n, budget=2, strategy="lazy", top_k=g.edges.count(), relational=True).edits.select("step", "u", "v")
+
+
 @query()
 def mixed_trajectory(spark, sf):
     g = graphs.handover(spark, sf)
