@@ -9,6 +9,10 @@ smoothed by the prior. Suffixes with at least 1 / SUFFIXES of the labelled rows,
 SUFFIXES of each kind, are broadcast; the rest are a table that is joined by suffix. The fitted
 trees become one Spark expression, so scoring needs no Python.
 
+The registered query has no labels but the rules' own verdicts: its trees carry the rules' decisions on
+to urls that look like those they decide, and their held-out accuracy says how well they do that (the
+feature of host label and folder comes near the rules themselves), not how well they know bad sites.
+
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule; the
 trees judge it like any other; without labelled rows of both kinds the verdict is that of the
 only kind seen, else allow; repeated rows are judged each; an empty table gives an empty table.
