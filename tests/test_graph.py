@@ -147,6 +147,8 @@ def test_resistance_facts(spark):
     assert all(r.resistance == pytest.approx(1) for r in ends([(0, 1), (1, 2)], 4).values())
     exact, near = ends(EIGHT, 7), ends(EIGHT, 7, approximate=True, epsilon=0.2)
     assert sum(r.leverage for r in exact.values()) == pytest.approx(6)
+    normal = ends(EIGHT, 7, approximate=True, epsilon=0.2, gaussian=True)
+    assert all(normal[e].resistance == pytest.approx(exact[e].resistance, rel=0.3) for e in exact)
     assert all(near[e].resistance == pytest.approx(exact[e].resistance, rel=0.3) for e in exact)
 
 

@@ -58,10 +58,12 @@ def _weights(edges: DataFrame) -> DataFrame:
     return edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
 
 
-def resistances(edges: DataFrame, comps: DataFrame, normalized: bool = False, approximate: bool = False, epsilon: float = 0.3, seed: int = 0) -> DataFrame:
+def resistances(edges: DataFrame, comps: DataFrame, normalized: bool = False, approximate: bool = False, epsilon: float = 0.3, seed: int = 0, gaussian: bool = False) -> DataFrame:
     """u, v, w, resistance, leverage: per component by dense algebra in one task each.
 
-    Exact: the pseudo-inverse. Approximate: ceil(24 ln n / eps^2) random signs per component.
+    Exact: the pseudo-inverse. Approximate: ceil(24 ln n / eps^2) projections of the edges, random signs or
+    (``gaussian``) normal numbers; without an inverse, by solves of the Laplacian with one node grounded,
+    or, normalized, by its pseudo-inverse.
     """
     rows = _weights(edges).select("u", "v", F.col("w").cast("double").alias("w")).join(comps.select(F.col("id").alias("u"), "component"), "u")
 
@@ -79,10 +81,15 @@ def resistances(edges: DataFrame, comps: DataFrame, normalized: bool = False, ap
             lap = lap * scale[:, None] * scale[None, :]
         if approximate:
             k = math.ceil(24 * math.log(max(n, 2)) / epsilon**2)
-            signs = np.random.default_rng([seed, int(ids[0])]).choice([-1.0, 1.0], (k, len(w))) / math.sqrt(k)
+            rng = np.random.default_rng([seed, int(ids[0])])
+            drawn = (rng.normal(size=(k, len(w))) if gaussian else rng.choice([-1.0, 1.0], (k, len(w)))) / math.sqrt(k)
             b = np.zeros((len(w), n))
             b[np.arange(len(w)), u], b[np.arange(len(w)), v] = np.sqrt(w), -np.sqrt(w)
-            z = np.linalg.pinv(lap) @ (signs @ b).T
+            if normalized:
+                z = np.linalg.pinv(lap) @ (drawn @ b).T
+            else:
+                z = np.zeros((n, k))
+                z[1:] = np.linalg.solve(lap[1:, 1:], (drawn @ b).T[1:])
             r = ((z[u] - z[v]) ** 2).sum(1)
         else:
             inverse = np.linalg.pinv(lap)
@@ -120,6 +127,12 @@ def spectrum(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     return sizes.join(edges, "graph_id", "left").groupBy("graph_id").applyInPandas(solve, "graph_id long, eigenvalues array<double>, m2 double, m3 double, m4 double")
 
 
+def spectrum_ends(edges: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """graph_id, smallest, largest: the ``k`` least and greatest eigenvalues of each graph (all, if fewer), ascending."""
+    rows = spectrum(edges, sizes)
+    return rows.select("graph_id", F.slice("eigenvalues", 1, k).alias("smallest"), F.reverse(F.slice(F.reverse("eigenvalues"), 1, k)).alias("largest"))
+
+
 def spectrum_rmse(a: DataFrame, b: DataFrame) -> DataFrame:
     """graph_id, rmse of sorted eigenvalues of the same graphs in two tables."""
     rows = a.select("graph_id", F.col("eigenvalues").alias("x")).join(b.select("graph_id", F.col("eigenvalues").alias("y")), "graph_id")

@@ -747,6 +747,15 @@ def spectrum_moments(spark, sf):
     return rounded(_spectrum(spark, sf).select("graph_id", "m2", "m3", "m4"))
 
 
+@query("select cast(0 as bigint) graph_id, cast(range as int) pos, case range when 0 then -1.0 else 0.0 end::double low, case range when 2 then 1.0 else 0.0 end::double high from range(3)")
+def spectrum_ends(spark, sf):
+    """The star of eight nodes: -1, six times 0, and 1."""
+    g = graphs.synthetic(spark, "star", 8)
+    rows = spectral.spectrum_ends(g.edges.select(F.lit(0).cast("long").alias("graph_id"), "u", "v"), spark.createDataFrame([(0, g.n)], "graph_id long, n long"), 3)
+    ends = rows.select("graph_id", F.posexplode(F.arrays_zip("smallest", "largest")).alias("pos", "e"))
+    return rounded(ends.select("graph_id", "pos", F.col("e.smallest").alias("low"), F.col("e.largest").alias("high")))
+
+
 @query()
 def spectrum_rmse(spark, sf):
     return spectral.spectrum_rmse(_spectrum(spark, sf), _spectrum(spark, sf, 100_000))
