@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
 last return the columns of ``documents``. Part of the training-data operators.
+
+Defined results, stage by stage: a null or empty text has no words and fails the quality rules; labels
+that are null teach nothing. Rows that are equal in doc_id and text are one document in near duplicates,
+a null doc_id is kept last, rows without words are linked with nothing. Secrets and BPE treat each row
+alone, a null text as it is. Mixing takes a null source as one of its own, takes rows without words
+never, and rows that are wholly equal alike. An empty table passes through every stage as an empty one;
+columns beside those of ``documents`` are left out at the start of ``run``.
 """
 
 from __future__ import annotations
