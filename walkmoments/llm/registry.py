@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html, mixing, ngram_join, quality, secrets, shards, sql, urls
+from . import ann, bpe, chat, html, mixing, negatives, ngram_join, quality, secrets, shards, sql, urls
 from .common import materialize
 
 
@@ -68,6 +68,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(stats, rules).select("doc_id", *[F.col("__q_stats")[c].alias(c) for c in shown], "base_failed", "rule", "kept")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, changed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_curve_neighbours": op1_curve_neighbours,
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_shards": op8_token_shards,
         "op9_quality_rules": op9_quality_rules,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 

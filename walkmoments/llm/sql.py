@@ -68,5 +68,17 @@ select d.doc_id, count(*) filter (where kind = 'assign') n_assign, count(*) filt
   count(*) filter (where not base) n_linked from d left join w on w.rid = d.rid group by d.rid, d.doc_id"""
 
 
+NEGATIVES = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as y,
+  list_transform(embedding, lambda x: floor(256 * cast(x as double))) c from embeddings where vec_id is not null and label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.vec_id anchor_id, r.vec_id other_id, a.y = r.y alike, cast(list_inner_product(a.c, r.c) as bigint) score
+  from v a join v r on a.vec_id % 100 = 0 and r.vec_id <> a.vec_id),
+p as (select anchor_id, other_id positive_id, score positive_score from s where alike
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by s.score desc, s.other_id) as int) as rank,
+  s.other_id negative_id, positive_score, s.score negative_score
+from p join s using (anchor_id) where not s.alike and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score qualify rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_curve_neighbours": NEIGHBOURS, "op2_chat_windows": CHAT, "op4_secret_scan": SECRETS}
+    return {"op1_curve_neighbours": NEIGHBOURS, "op2_chat_windows": CHAT, "op4_secret_scan": SECRETS, "op13_hard_negatives": NEGATIVES}
