@@ -9,7 +9,7 @@ from walkmoments.llm import registry
 def test_query_equals_sql(spark, name, sf):
     path = f"/root/testdata/{sf}"
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{path}/{t}.parquet'")
     df = registry.queries()[name](spark, path)
     columns = sorted(df.columns)
