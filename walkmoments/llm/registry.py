@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html, lexical, mixing, negatives, ngram_join, quality, secrets, shards, sql, urls
+from . import ann, bpe, chat, html, lexical, mixing, negatives, ngram_join, pii, quality, secrets, shards, sql, urls
 from .common import materialize
 
 
@@ -68,6 +68,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(stats, rules).select("doc_id", *[F.col("__q_stats")[c].alias(c) for c in shown], "base_failed", "rule", "kept")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_shards": op8_token_shards,
         "op9_quality_rules": op9_quality_rules,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op11_personal_data": op11_personal_data,
         "op12_wand_search": op12_wand_search,
         "op13_hard_negatives": op13_hard_negatives,
     }
