@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import stats
+from . import solvers, stats
 from .graph import Graph, arcs
-from .lineage import cut
+from .lineage import cut, written
 from .moments import average_neighbour_inverse_degree, powers, product, symmetric, weighted_clustering
 
 
@@ -58,46 +58,54 @@ def _weights(edges: DataFrame) -> DataFrame:
     return edges if "w" in edges.columns else edges.withColumn("w", F.lit(1.0))
 
 
-def resistances(edges: DataFrame, comps: DataFrame, normalized: bool = False, approximate: bool = False, epsilon: float = 0.3, seed: int = 0, gaussian: bool = False) -> DataFrame:
-    """u, v, w, resistance, leverage: per component by dense algebra in one task each.
+#: Components of up to so many nodes are solved densely, each a bounded matrix in one task; larger ones by conjugate gradients.
+DENSE = 256
 
-    Exact: the pseudo-inverse. Approximate: ceil(24 ln n / eps^2) projections of the edges, random signs or
-    (``gaussian``) normal numbers; without an inverse, by solves of the Laplacian with one node grounded,
-    or, normalized, by its pseudo-inverse.
+
+def resistances(
+    edges: DataFrame, comps: DataFrame, normalized: bool = False, approximate: bool = False, epsilon: float = 0.3, seed: int = 0, gaussian: bool = False, dense_up_to: int = DENSE
+) -> DataFrame:
+    """u, v, w, resistance, leverage of every edge; ``comps`` are the nodes' components, id and component.
+
+    Exact: the pseudo-inverse of small components, and solves of large ones (solvers.exact_resistances), which
+    agree to about 1e-9. Approximate: ceil(24 ln n / eps^2) projections of the edges, random signs or
+    (``gaussian``) normal numbers, each solved (solvers.projected_resistances), whatever the component's size.
+
+    ``normalized`` asks for a^T N^+ a with N = D^-1/2 L D^-1/2 and a = D^-1/2 b of an edge's vector b. With
+    L x = b, D^1/2 x solves N y = a, so a^T N^+ a = b^T x = b^T L^+ b: the same number, and the same code.
+
+    Repeated pairs are one edge each; nodes without edges have no rows; an empty table gives an empty one.
     """
-    rows = _weights(edges).select("u", "v", F.col("w").cast("double").alias("w")).join(comps.select(F.col("id").alias("u"), "component"), "u")
+    rows = written(_weights(edges).select("u", "v", F.col("w").cast("double").alias("w")), "resistance-edges")
+    size = comps.agg(F.count("*").alias("n"), F.max("id").alias("last")).first()
+    kind = "u long, v long, w double, resistance double, leverage double"
+    if rows.isEmpty():
+        return edges.sparkSession.createDataFrame([], kind)
+    if approximate:
+        columns = math.ceil(24 * math.log(max(size["n"], 2)) / epsilon**2)
+        found = solvers.projected_resistances(rows, size["last"] + 1, columns, seed, gaussian)
+        return found.select("u", "v", "w", "resistance", (F.col("w") * F.col("resistance")).alias("leverage"))
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["u", "v"])
         ids = np.unique(part[["u", "v"]].to_numpy())
         u, v, w = np.searchsorted(ids, part.u), np.searchsorted(ids, part.v), part.w.to_numpy()
-        n = len(ids)
-        lap = np.zeros((n, n))
+        lap = np.zeros((len(ids), len(ids)))
         np.add.at(lap, (u, v), -w)
         np.add.at(lap, (v, u), -w)
-        lap[np.arange(n), np.arange(n)] = -lap.sum(1)
-        if normalized:
-            scale = 1 / np.sqrt(np.diag(lap))
-            lap = lap * scale[:, None] * scale[None, :]
-        if approximate:
-            k = math.ceil(24 * math.log(max(n, 2)) / epsilon**2)
-            rng = np.random.default_rng([seed, int(ids[0])])
-            drawn = (rng.normal(size=(k, len(w))) if gaussian else rng.choice([-1.0, 1.0], (k, len(w)))) / math.sqrt(k)
-            b = np.zeros((len(w), n))
-            b[np.arange(len(w)), u], b[np.arange(len(w)), v] = np.sqrt(w), -np.sqrt(w)
-            if normalized:
-                z = np.linalg.pinv(lap) @ (drawn @ b).T
-            else:
-                z = np.zeros((n, k))
-                z[1:] = np.linalg.solve(lap[1:, 1:], (drawn @ b).T[1:])
-            r = ((z[u] - z[v]) ** 2).sum(1)
-        else:
-            inverse = np.linalg.pinv(lap)
-            r = inverse[u, u] + inverse[v, v] - 2 * inverse[u, v]
-        r = np.maximum(r, 0)
+        lap[np.arange(len(ids)), np.arange(len(ids))] = -lap.sum(1)
+        inverse = np.linalg.pinv(lap, hermitian=True)
+        r = np.maximum(inverse[u, u] + inverse[v, v] - 2 * inverse[u, v], 0)
         return pd.DataFrame({"u": part.u, "v": part.v, "w": w, "resistance": r, "leverage": r * w})
 
-    return rows.groupBy("component").applyInPandas(lambda p: solve(p), "u long, v long, w double, resistance double, leverage double")
+    sizes = comps.groupBy("component").agg((F.count("*") > dense_up_to).alias("large"))
+    labelled = written(rows.join(comps.select(F.col("id").alias("u"), "component"), "u").join(sizes, "component").select("u", "v", "w", "component", "large"), "resistance-parts")
+    found = labelled.filter(~F.col("large")).groupBy("component").applyInPandas(lambda p: solve(p), kind)
+    large = labelled.filter("large").select("u", "v", "w")
+    if large.isEmpty():
+        return found
+    exact = solvers.exact_resistances(large, comps, size["last"] + 1)
+    return found.unionByName(exact.select("u", "v", "w", "resistance", (F.col("w") * F.col("resistance")).alias("leverage")))
 
 
 def probabilities(rows: DataFrame) -> DataFrame:
@@ -127,10 +135,10 @@ def spectrum(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     return sizes.join(edges, "graph_id", "left").groupBy("graph_id").applyInPandas(solve, "graph_id long, eigenvalues array<double>, m2 double, m3 double, m4 double")
 
 
-def spectrum_ends(edges: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """graph_id, smallest, largest: the ``k`` least and greatest eigenvalues of each graph (all, if fewer), ascending."""
-    rows = spectrum(edges, sizes)
-    return rows.select("graph_id", F.slice("eigenvalues", 1, k).alias("smallest"), F.reverse(F.slice(F.reverse("eigenvalues"), 1, k)).alias("largest"))
+def spectrum_ends(graph: Graph, k: int) -> DataFrame:
+    """smallest, largest, residual: the ``k`` least and greatest eigenvalues of a graph (all, if fewer), ascending, by block Lanczos."""
+    small, large, residual = solvers.spectrum_ends(graph, k)
+    return graph.spark.createDataFrame([(small, large, residual)], "smallest array<double>, largest array<double>, residual double")
 
 
 def spectrum_rmse(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -288,19 +296,28 @@ def heat_kernel(graph: Graph, t: float = 5.0, self_loop: bool = True) -> DataFra
 def ppr_matrix(graph: Graph, alpha: float = 0.2) -> DataFrame:
     """i, j, w: every entry of alpha (I - (1 - alpha) T)^-1 within components, T with self-loops.
 
-    Per component by a dense inverse in one task each; entries between components are 0 and left out.
+    Solved by columns (solvers.inverse_rows) to a relative residual of 1e-12: quadratic in the nodes of a
+    component, as the matrix is, but no component meets in a task. Entries between components are 0 and left
+    out, and so may be those below 1e-13.
     """
-    rows = looped_normalized(graph).join(components(graph).select(F.col("id").alias("i"), "component"), "i")
+    rows = written(looped_normalized(graph), "ppr-walk")
+    diagonal = rows.filter("i = j").select(F.col("i").alias("id"), (1.0 - (1 - alpha) * F.col("w")).alias("d"))
+    arcs = rows.filter("i <> j").select(F.col("i").alias("src"), F.col("j").alias("dst"), ((1 - alpha) * F.col("w")).alias("w"))
+    return solvers.inverse_rows(solvers.System(diagonal, arcs), graph.n, alpha)
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(part.i)
-        n = len(ids)
-        walk = np.zeros((n, n))
-        walk[np.searchsorted(ids, part.i), np.searchsorted(ids, part.j)] = part.w
-        w = alpha * np.linalg.inv(np.eye(n) - (1 - alpha) * walk)
-        return pd.DataFrame({"i": np.repeat(ids, n), "j": np.tile(ids, n), "w": w.ravel()})
-
-    return rows.groupBy("component").applyInPandas(lambda p: solve(p), "i long, j long, w double")
+
+def ppr_push(graph: Graph, alpha: float = 0.2, epsilon: float = 1e-6, sources: DataFrame | None = None) -> DataFrame:
+    """i, j, w: the same entries by forward push, as lower bounds; the least are left out.
+
+    With D of the degrees plus one, T^t = D^1/2 P^t D^-1/2 for the walk P, so an entry is sqrt(d_i / d_j) times
+    the pushed number, and misses at most ``epsilon`` * sqrt(d_i d_j). ``sources``: ids of rows i, by default all.
+    """
+    loops = graph.nodes().select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    near = graph.arcs().select("src", "dst", F.lit(1.0).alias("w")).unionByName(loops)
+    pushed, _ = solvers.push_pagerank(near, graph.nodes() if sources is None else sources.select("id").distinct(), alpha, epsilon)
+    deg = stats.all_degrees(graph).select("id", (F.col("d") + 1.0).alias("d"))
+    ends = pushed.join(deg.select(F.col("id").alias("i"), F.col("d").alias("x")), "i").join(deg.select(F.col("id").alias("j"), F.col("d").alias("y")), "j")
+    return ends.select("i", "j", (F.col("w") * F.sqrt(F.col("x") / F.col("y"))).alias("w"))
 
 
 def ppr_diffusion(graph: Graph, alpha: float = 0.2, least: float = 1e-4) -> DataFrame:

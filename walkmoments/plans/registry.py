@@ -712,11 +712,34 @@ def er_trace_identity(spark, sf):
     return spectral.resistances(g.edges, spectral.components(g)).agg(tidy(F.sum("leverage"), 6).alias("leverage"))
 
 
-@query()
+def _er_sql(digits: int, prob: bool = True) -> str:
+    """Resistances of a connected graph: a^T Z a, Z the sum of M^t for t < 64 by doubling, M the normalized adjacency less its eigenvalue 1."""
+    ctes = [ST1, S.WALK, "top as (select id, sqrt(d / (select sum(d) from deg)) x from deg)"]
+    ctes.append("m0 as materialized (select a.id i, b.id j, coalesce(s.w, 0.0) - a.x * b.x w from top a join top b on true left join s1 s on s.i = a.id and s.j = b.id)")
+    ctes.append("z0 as (select id i, id j, 1.0::double w from deg)")
+    for k in range(6):
+        ctes.append(f"z{k + 1} as materialized (select i, j, sum(w) w from (select i, j, w from z{k} union all select x.i, y.j, x.w * y.w from z{k} x join m{k} y on x.j = y.i) group by 1, 2)")
+        ctes.append(f"m{k + 1} as materialized (select x.i, y.j, sum(x.w * y.w) w from m{k} x join m{k} y on x.j = y.i group by 1, 2)")
+    ctes.append(
+        "er as (select u, v, a.w / p.d + b.w / q.d - 2 * c.w / sqrt(p.d * q.d) r from g join deg p on p.id = u join deg q on q.id = v "
+        "join z6 a on a.i = u and a.j = u join z6 b on b.i = v and b.j = v join z6 c on c.i = u and c.j = v)"
+    )
+    share = f", {R('r / sum(r) over ()', 'prob', digits)}" if prob else ""
+    return f"with {', '.join(ctes)} select u, v, 1.0::double w, {R('r', 'resistance', digits)}, {R('r', 'leverage', digits)}{share} from er"
+
+
+@query(_er_sql(9))
 def effective_resistances(spark, sf):
     return rounded(_leverage(spark, sf), 9)
 
 
+@query(_er_sql(7, False))
+def solver_resistances(spark, sf):
+    """The same by conjugate gradients on the edge table, as for components of any size."""
+    g = graphs.handover(spark, sf).cached()
+    return rounded(spectral.resistances(g.edges, spectral.components(g), dense_up_to=0), 7)
+
+
 @query(f"with {S.G4} select u, v, 1.0::double w, 1.0::double resistance, 1.0::double leverage from g")
 def star_resistances(spark, sf):
     """In a forest every edge is the only way between its ends."""
@@ -724,10 +747,10 @@ def star_resistances(spark, sf):
     return rounded(spectral.resistances(g.edges, spectral.components(g)), 6)
 
 
-@query()
+@query(_er_sql(9))
 def normalized_resistances(spark, sf):
     g = graphs.handover(spark, sf).cached()
-    return spectral.probabilities(spectral.resistances(g.edges, spectral.components(g), normalized=True))
+    return rounded(spectral.probabilities(spectral.resistances(g.edges, spectral.components(g), normalized=True)), 9)
 
 
 @query()
@@ -747,13 +770,20 @@ def spectrum_moments(spark, sf):
     return rounded(_spectrum(spark, sf).select("graph_id", "m2", "m3", "m4"))
 
 
-@query("select cast(0 as bigint) graph_id, cast(range as int) pos, case range when 0 then -1.0 else 0.0 end::double low, case range when 2 then 1.0 else 0.0 end::double high from range(3)")
+@query(
+    f"with {S.G4}, c as (select count(distinct u) n from g) "
+    "select cast(range as int) pos, case when range < n then -1.0 else 0.0 end::double low, case when 3 - range <= n then 1.0 else 0.0 end::double high from range(3), c"
+)
 def spectrum_ends(spark, sf):
-    """The star of eight nodes: -1, six times 0, and 1."""
-    g = graphs.synthetic(spark, "star", 8)
-    rows = spectral.spectrum_ends(g.edges.select(F.lit(0).cast("long").alias("graph_id"), "u", "v"), spark.createDataFrame([(0, g.n)], "graph_id long, n long"), 3)
-    ends = rows.select("graph_id", F.posexplode(F.arrays_zip("smallest", "largest")).alias("pos", "e"))
-    return rounded(ends.select("graph_id", "pos", F.col("e.smallest").alias("low"), F.col("e.largest").alias("high")))
+    """Each star of nations and customers has the eigenvalues -1 and 1; all others are 0."""
+    rows = spectral.spectrum_ends(graphs.stars(spark, sf).cached(), 3)
+    ends = rows.select(F.posexplode(F.arrays_zip("smallest", "largest")).alias("pos", "e"))
+    return rounded(ends.select("pos", F.col("e.smallest").alias("low"), F.col("e.largest").alias("high")), 7)
+
+
+@query()
+def spectrum_ends_handover(spark, sf):
+    return spectral.spectrum_ends(graphs.handover(spark, sf).cached(), 6)
 
 
 @query()
@@ -994,6 +1024,18 @@ def sparsified_diffusion(spark, sf):
     return rounded(spectral.sparsify_to_degree(spectral.ppr_matrix(g), g.n, 20.0), 8)
 
 
+@query(
+    f"with recursive {ST1}, nb as (select src, dst from arcs union all select id, id from ids), dd as (select id, d + 1.0 d from ns), "
+    "st(t, i, j, r) as (select 0, id, id, 1.0::double from ids union all select t, i, j, sum(r) from ("
+    "select t + 1 t, i, j, r from st join dd on id = j where r <= 1e-5 * d and exists (select 1 from st s join dd e on e.id = s.j where s.r > 1e-5 * e.d) "
+    "union all select t + 1, i, dst, 0.8 * r / d from st join dd on id = j join nb on src = j where r > 1e-5 * d) group by t, i, j) "
+    f"select i, j, {R('sum(0.2 * r) * sqrt(any_value(p.d) / any_value(q.d))', 'w', 9)} from st join dd q on q.id = j join dd p on p.id = i where r > 1e-5 * q.d group by i, j"
+)
+def ppr_push(spark, sf):
+    """Forward push from every node until no residual is above 1e-5 times its degree."""
+    return rounded(spectral.ppr_push(graphs.handover(spark, sf).cached(), epsilon=1e-5), 9)
+
+
 @query("select cast(l_suppkey as bigint) src, cast(l_partkey as bigint) dst, round(sum(l_quantity), 6) + 0.0 as w from lineitem group by 1, 2")
 def coalesced_arcs(spark, sf):
     rows = graphs.table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst"), F.col("l_quantity").cast("double").alias("w"))
