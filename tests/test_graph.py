@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from walkmoments.operators import deltas, graph, moments, search, spectral, stats
+from walkmoments.operators import deltas, graph, moments, sampling, search, spectral, stats
 from walkmoments.operators.graph import Graph
 from walkmoments.sources import graphs
 
@@ -210,3 +210,35 @@ def test_lazy_takes_the_greedy_path_with_all_candidates(spark):
     assert some.edits.count() == 3 and some.edits.select("u", "v").distinct().count() == 3
     with pytest.raises(ValueError):
         search.sample_by_moments(edges, 7, budget=1, strategy="lazy", operation="mixed")
+
+
+def test_propagation_stays_near_the_candidates(spark):
+    n = 60
+    path = Graph(table(spark, [(i, i + 1) for i in range(n - 1)]), n)
+    some = table(spark, [(10, 11), (50, 51)])
+    reached = deltas.frontiers(path, some.select(F.explode(F.array("u", "v")).alias("i")), 3)
+    assert {t: rows.count() for t, rows in reached.items()} == {1: 8, 2: 12, 3: 16}
+    got = {(r.u, r.v): r for r in deltas.walk_deltas(path, some, (2, 4, 6)).collect()}
+    base = dense([(i, i + 1) for i in range(n - 1)], n, (2, 4, 6))
+    for u, v in got:
+        want = dense([(i, i + 1) for i in range(n - 1) if (i, i + 1) != (u, v)], n, (2, 4, 6))
+        assert all(got[u, v][f"delta_m{k}"] == pytest.approx(want[k] - base[k], abs=1e-12) for k in base)
+    assert len(got) == 2
+
+
+def test_non_edges_by_rank(spark):
+    n = 40
+    sparse = Graph(table(spark, random_graph(np.random.default_rng(1), n, 0.2)), n)
+    edges = {(r.u, r.v) for r in sparse.edges.collect()}
+    free = n * (n - 1) // 2 - len(edges)
+    few = [tuple(r) for r in sampling.ranked_non_edges(sparse, 100, 3).collect()]
+    assert len(set(few)) == 100 and not edges & set(few) and all(0 <= u < v < n for u, v in few)
+    assert set(few) <= {tuple(r) for r in sampling.ranked_non_edges(sparse, 200, 3).collect()}
+    assert sampling.ranked_non_edges(sparse, free - 5, 3).distinct().count() == free - 5
+    assert sampling.ranked_non_edges(sparse, -1, 3).count() == sampling.ranked_non_edges(sparse, 10**6, 3).count() == free
+    full = Graph(table(spark, random_graph(np.random.default_rng(2), n, 0.9)), n)
+    assert sampling.ranked_non_edges(full, 10, 3).join(full.edges, ["u", "v"], "left_semi").count() == 0
+    ranks = spark.range(780).select(F.col("id").alias("k"))
+    assert [(r.u, r.v) for r in sampling.unranked(ranks, "k").orderBy("k").collect()] == [(u, v) for v in range(40) for u in range(v)]
+    far = spark.createDataFrame([(10**9 * (10**9 - 1) // 2 + d,) for d in (-1, 0, 1)], "k long")
+    assert [(r.u, r.v) for r in sampling.unranked(far, "k").orderBy("k").collect()] == [(10**9 - 2, 10**9 - 1), (0, 10**9), (1, 10**9)]

@@ -19,7 +19,7 @@ from .. import functions as fn
 from . import stats
 from .graph import Graph, canonical, complement, pair, require_members
 from .lineage import cut
-from .moments import compute_moments, orders_of, powers
+from .moments import compute_moments, orders_of, product, symmetric
 
 
 @dataclass
@@ -72,12 +72,23 @@ def add_deltas(graph: Graph, candidates: DataFrame | None = None) -> DataFrame:
     )
 
 
+def frontiers(graph: Graph, sources: DataFrame, top: int) -> dict[int, DataFrame]:
+    """i, j, w: the rows i of S^1..S^top that start in ``sources`` (i), each step from the nodes reached before."""
+    step = symmetric(graph)
+    step = cut(step) if top > 1 else step
+    out = {1: cut(step.join(sources, "i", "left_semi"))}
+    for t in range(2, top + 1):
+        out[t] = cut(product(out[t - 1], step))
+    return out
+
+
 def walk_values(graph: Graph, pairs: DataFrame, top: int) -> DataFrame:
     """Pairs with du, dv and s<t>_uu, s<t>_vv, s<t>_uv, s<t>_vu for t = 0..top.
 
-    Powers of S are made up to ceil(top / 2) only. Entries of higher powers meet in the middle: the
-    diagonal is a sum over two tables of the same entries, and a pair's entry a sum over the lower
-    power's row of one end, looked up in the higher power's column of the other.
+    Only rows of S^t that start at an end of a pair are made, up to t = ceil(top / 2): they hold what lies
+    within so many steps of the pairs. Entries of higher powers meet in the middle: the diagonal is a sum
+    over two rows of the same end, and a pair's entry, as powers of S are symmetric, a sum over the lower
+    power's row of one end and the higher power's row of the other.
     """
     deg = stats.all_degrees(graph)
     asked = cut(pairs.select("u", "v"))
@@ -85,7 +96,7 @@ def walk_values(graph: Graph, pairs: DataFrame, top: int) -> DataFrame:
     for e in "uv":
         rows = rows.join(deg.select(F.col("id").alias(e), F.col("d").cast("double").alias(f"d{e}")), e)
     half = max(1, -(-top // 2))
-    walk = powers(graph, half)
+    walk = frontiers(graph, asked.select(F.explode(F.array("u", "v")).alias("i")).distinct(), half)
     one, zero = F.lit(1.0), F.lit(0.0)
     each = range(1, top + 1)
     at = across = None
@@ -98,7 +109,7 @@ def walk_values(graph: Graph, pairs: DataFrame, top: int) -> DataFrame:
             both = low.select("i", "j", F.col("w").alias("x")).join(high.select("i", "j", F.col("w").alias("y")), ["i", "j"])
             own = both.groupBy("i").agg(F.sum(F.col("x") * F.col("y")).alias("w")).select("i", F.lit(t).alias("t"), "w")
             step = asked.join(low.select(F.col("i").alias("u"), F.col("j").alias("k"), F.col("w").alias("x")), "u")
-            step = step.join(high.select(F.col("i").alias("k"), F.col("j").alias("v"), F.col("w").alias("y")), ["k", "v"])
+            step = step.join(high.select(F.col("i").alias("v"), F.col("j").alias("k"), F.col("w").alias("y")), ["v", "k"])
             pair_of = step.groupBy("u", "v").agg(F.sum(F.col("x") * F.col("y")).alias("w")).select("u", "v", F.lit(t).alias("t"), "w")
         at = own if at is None else at.unionByName(own)
         across = pair_of if across is None else across.unionByName(pair_of)

@@ -26,6 +26,45 @@ def non_edges(graph: Graph, size: int, seed: int) -> DataFrame:
     return pairs if size < 0 else subsample(pairs, size, seed)
 
 
+def rank_of_draw(draw: Column, seed: int, total: int) -> Column:
+    """A number in 0..total - 1 from 60 bits of an MD5 sum, the same on every engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), draw.cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(total).cast("long"))
+
+
+def unranked(rows: DataFrame, rank: str) -> DataFrame:
+    """Adds u < v of the pair with the given rank: rank = v (v - 1) / 2 + u, settled exactly after the root in doubles."""
+    k = F.col(rank)
+    near = F.floor((1.0 + F.sqrt(1.0 + 8.0 * k.cast("double"))) / 2.0)
+    rows = rows.withColumn("v", near)
+    below = F.expr("v * (v - 1) div 2")
+    rows = rows.withColumn("v", F.when(below > k, F.col("v") - 1).when(F.expr("v * (v + 1) div 2") <= k, F.col("v") + 1).otherwise(F.col("v")))
+    return rows.withColumn("u", k - F.expr("v * (v - 1) div 2"))
+
+
+def ranked_non_edges(graph: Graph, size: int, seed: int) -> DataFrame:
+    """``size`` distinct non-edges, uniformly, without making the complement; all, if there are fewer or ``size`` is negative.
+
+    Numbered draws are ranks of pairs, unranked in closed form; repeated draws and edges drop out, and the first
+    ``size`` that stay are taken, so that more draws never change a result. Draws double until there are enough:
+    the cost follows the sample, not n^2. Where more than half of all pairs are edges, or more than half of the
+    non-edges are asked for, the complement is no larger than what is read or returned, and is hashed instead.
+    """
+    total, edges = graph.n * (graph.n - 1) // 2, graph.edges.count()
+    free = total - edges
+    if size < 0 or size >= free:
+        return complement(graph).select("u", "v")
+    if 2 * edges > total or 2 * size > free:
+        return subsample(complement(graph), size, seed).select("u", "v")
+    draws = 64 + int(1.25 * size * total / free)
+    while True:
+        rows = graph.spark.range(draws).select(rank_of_draw(F.col("id"), seed, total).alias("rank"), F.col("id").alias("draw"))
+        found = cut(unranked(rows.groupBy("rank").agg(F.min("draw").alias("draw")), "rank").select("u", "v", "draw").join(graph.edges, ["u", "v"], "left_anti"))
+        if found.count() >= size:
+            return found.orderBy("draw").limit(size).select("u", "v")
+        draws *= 2
+
+
 def random_deletions(graph: Graph, budget: int, seed: int) -> DataFrame:
     """step, u, v: edges in an order hashed from the seed, the first ``budget`` of them."""
     rows = subsample(graph.edges, budget, seed)

@@ -635,6 +635,16 @@ def non_edge_sample(spark, sf):
     return sampling.non_edges(graphs.handover(spark, sf), 300, 5)
 
 
+@query(
+    f"with {S.G2}, t as (select cast(n * (n - 1) / 2 as bigint) pairs from nn), dr as (select cast('0x' || substr(md5('5:' || range), 1, 15) as bigint) % pairs k, range draw from range(20000), t), "
+    "f as (select k, min(draw) draw from dr group by k), v0 as (select k, draw, cast(floor((1 + sqrt(1 + 8.0 * k)) / 2) as bigint) v from f), "
+    "v1 as (select k, draw, case when v * (v - 1) // 2 > k then v - 1 when v * (v + 1) // 2 <= k then v + 1 else v end v from v0), "
+    "p as (select k - v * (v - 1) // 2 u, v, draw from v1) select p.u, p.v from p anti join g on g.u = p.u and g.v = p.v order by draw limit 3000"
+)
+def ranked_non_edges(spark, sf):
+    return sampling.ranked_non_edges(graphs.copurchase(spark, sf).cached(), 3000, 5)
+
+
 @query(f"with {S.G2} select cast(row_number() over (order by {HASH.format(9)}, u, v) as int) step, u, v from g qualify step <= 100")
 def random_edge_deletions(spark, sf):
     return sampling.random_deletions(graphs.copurchase(spark, sf), 100, 9)
