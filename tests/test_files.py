@@ -1,5 +1,6 @@
 import gzip
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from walkmoments import cli
 from walkmoments.operators import fingerprint, moments, reporting, sampling, search
 from walkmoments.operators.graph import Graph
-from walkmoments.sources import files
+from walkmoments.sources import files, store
 from walkmoments.streaming import edits
 
 PAW = [(0, 1), (1, 2), (0, 2), (2, 3)]
@@ -93,3 +94,49 @@ def test_stream_of_edits(spark, tmp_path):
     got = {(r.batch, r.k): r.m for r in spark.read.parquet(f"{tmp_path}/out/moments").collect()}
     path = Graph(spark.createDataFrame([(1, 2), (0, 2)], "u long, v long"), 3)
     assert got[1, 2] == pytest.approx(moments.compute_moments(path)[2])
+
+
+def test_files_by_uri_are_replaced_whole(spark, tmp_path):
+    home = f"file://{tmp_path}/deep"
+    deltas = spark.range(500).select((F.col("id") % 7).alias("u"), (F.col("id") + 10).alias("v"), (F.col("id") / 4).alias("delta_m2")).repartition(5)
+    for count in (500, 3):  # the second takes the first one's place
+        assert files.write_deltas(deltas.limit(count) if count < 500 else deltas, f"{home}/d.csv") == count
+    lines = open(f"{tmp_path}/deep/d.csv").read().split()
+    assert lines[0] == "u,v,delta_m2" and len(lines) == 4
+    assert files.write_deltas(deltas, f"{home}/d.csv") == 500
+    back = [tuple(map(int, x.split(",")[:2])) for x in open(f"{tmp_path}/deep/d.csv").read().split()[1:]]
+    assert back == sorted(back) and len(back) == 500
+    files.write_json({"b": 1, "a": tmp_path}, f"{home}/x.json")
+    files.write_json({"b": [1, "é"]}, f"{home}/x.json")
+    assert store.read_text(f"{home}/x.json") == '{\n  "b": [\n    1,\n    "\\u00e9"\n  ]\n}'
+    files.write_rows([{"a": "x,y", "b": 'q"'}], f"{home}/r.csv")
+    files.write_rows([{"a": 1}], f"{home}/r.csv", ["a", "b"])
+    assert [tuple(r) for r in files.read_rows(spark, f"{home}/r.csv").collect()] == [("1", None)]
+    assert sorted(x for x in os.listdir(f"{tmp_path}/deep") if not x.endswith(".crc")) == ["d.csv", "r.csv", "x.json"]
+
+
+def test_two_appending_writers_lose_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/log.csv"
+
+    def write(k):
+        for i in range(8):
+            files.write_rows([{"who": k, "i": i}], path, append=True)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    rows = [tuple(map(int, r)) for r in files.read_rows(spark, path).collect()]
+    assert sorted(rows) == [(k, i) for k in range(3) for i in range(8)]
+    with store.locked(path), pytest.raises(TimeoutError), store.locked(path, wait=0.2):
+        pass
+    files.write_rows([{"who": 9, "i": 9}], path, append=True)
+    assert files.read_rows(spark, path).count() == 25
+
+
+def test_a_failed_write_leaves_the_old_file(spark, tmp_path):
+    path = f"file://{tmp_path}/d.csv"
+    rows = spark.range(5).select(F.col("id").alias("u"), F.col("id").alias("v"))
+    files.write_deltas(rows, path)
+    with pytest.raises(Exception):
+        files.write_deltas(rows.withColumn("delta_m2", F.raise_error(F.lit("lost")).cast("double")), path)
+    assert open(f"{tmp_path}/d.csv").read().split() == ["u,v", *[f"{i},{i}" for i in range(5)]]
+    assert [x for x in os.listdir(tmp_path) if not x.endswith(".crc")] == ["d.csv"]

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
-import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph, pair, simple_edges
+from . import store
 
 
 def _rows(spark: SparkSession, path: str, comma: bool) -> DataFrame:
@@ -57,48 +57,57 @@ def read_relabelled(spark: SparkSession, path: str) -> Graph:
 
 
 def write_deltas(deltas: DataFrame, path: str) -> int:
-    """One CSV file u,v,delta_m<k>... in edge order; returns the number of rows. Streams by partition."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    count, folder = 0, os.path.dirname(os.path.abspath(path))
-    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, newline="") as f:
-        out = csv.writer(f)
-        out.writerow(deltas.columns)
-        for row in deltas.orderBy("u", "v").toLocalIterator():
-            out.writerow(row)
-            count += 1
-    os.replace(f.name, path)
-    return count
+    """One CSV file u,v,delta_m<k>... in edge order, at any URI; returns the number of rows.
+
+    Rows are sorted in ranges by all tasks; one task, as one file needs, streams the ranges in order into a
+    staged file that takes the target's place by a rename. Nothing comes to the driver.
+    """
+    seen, staged = Observation(), store.staging(path)
+    # counted behind the sort, whose sampling reads the rows before it twice
+    rows = deltas.orderBy("u", "v").coalesce(1).observe(seen, F.count(F.lit(1)).alias("n"))
+    try:
+        rows.write.csv(staged, header=True)
+        store.commit(store.only_part(staged, ".csv"), path)
+    finally:
+        store.remove(staged)
+    return seen.get["n"]
 
 
 def write_rows(rows: list[dict], path: str, columns: list[str] | None = None, append: bool = False) -> None:
-    """CSV of dict rows: given columns, or all in order of first sight; nothing for no rows. The file is replaced whole."""
+    """CSV of a few dict rows at any URI: given columns, or all in order of first sight; nothing for no rows.
+
+    The file is replaced whole. ``append`` keeps what is there, under a lock; a header is written only to a new file.
+    """
     if not rows and columns is None:
         return
     names = columns or list(dict.fromkeys(k for r in rows for k in r))
-    fresh = not append or not os.path.exists(path)
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    target = path if append else f"{path}.tmp"
-    with open(target, "a" if append else "w", newline="", encoding="utf-8") as f:
-        out = csv.DictWriter(f, names)
-        if fresh:
-            out.writeheader()
-        out.writerows(rows)
+
+    def text(header: bool) -> str:
+        out = io.StringIO(newline="")
+        table = csv.DictWriter(out, names)
+        if header:
+            table.writeheader()
+        table.writerows(rows)
+        return out.getvalue()
+
     if not append:
-        os.replace(target, path)
+        store.write_text(text(True), path)
+        return
+    with store.locked(path):
+        before = store.read_text(path) if store.exists(path) else None
+        store.write_text(text(True) if before is None else before + text(False), path)
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings."""
-    if not os.path.exists(path):
+    if not store.exists(path):
         raise FileNotFoundError(path)
     return spark.read.csv(path, header=True)
 
 
 def write_json(value, path: str) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, sort_keys=True)
-    os.replace(f"{path}.tmp", path)
+    """Replaces the file at any URI; what JSON lacks is written as text."""
+    store.write_text(json.dumps(value, indent=2, sort_keys=True, default=str), path)
 
 
 def write_snapshots(snapshots: DataFrame, moments: DataFrame, path: str) -> None:
