@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .deltas import add_deltas, apply_edits, delete_deltas, deletion_deltas, walk_deltas
 from .graph import Graph, canonical, complement
+from .incremental import MaintainedGraph
 from .lineage import cut
 from .moments import compute_moments, orders_of
 from .sampling import subsample
@@ -415,7 +416,8 @@ def run_relational(graph: Graph, plan: Plan) -> list[tuple]:
 
     Candidate limits choose by hash of the seed and the step. The lazy strategy scores every edge
     once, into a written table; each step then refreshes the ``top_k`` best by the scores held, which
-    are the table's, or for edges refreshed before, at most ``top_k`` a step, the driver's.
+    are the table's, or for edges refreshed before, at most ``top_k`` a step, the driver's. Deletions of
+    orders 2 and 3 keep their statistics (incremental.MaintainedGraph): a step renews those near its edit.
     """
     if plan.strategy == "random":
         raise ValueError("steps as jobs are greedy or lazy")
@@ -426,6 +428,7 @@ def run_relational(graph: Graph, plan: Plan) -> list[tuple]:
     held: dict[tuple[int, int], float] = {}
     score = F.round(F.sqrt("score"), DIGITS).alias("score")
     base = None
+    kept = MaintainedGraph.of(graph) if plan.operation == "delete" and set(plan.orders) <= {2, 3} else None
     if plan.strategy == "lazy":
         base = cut(scored(edit_candidates(graph, "delete", plan.orders), now, target, scale).select("u", "v", score))
     for step in range(1, plan.budget + 1):
@@ -438,17 +441,23 @@ def run_relational(graph: Graph, plan: Plan) -> list[tuple]:
             fresh = base.join(F.broadcast(known), ["u", "v"], "left_anti").orderBy("score", "u", "v").limit(plan.top_k).collect()
             ranked = sorted([(r["score"], r["u"], r["v"]) for r in fresh] + [(x, u, v) for (u, v), x in held.items()])[: plan.top_k]
             pool = spark.createDataFrame([(u, v) for _, u, v in ranked], pair_type)
-            rows = delete_deltas(current, pool) if set(plan.orders) <= {2, 3} else walk_deltas(current, pool, plan.orders)
+            rows = kept.deletion_deltas().join(F.broadcast(pool), ["u", "v"]) if kept else walk_deltas(current, pool, plan.orders)
             rows = scored(rows.withColumn("op", F.lit("delete")), now, target, scale).select("*", score.alias("ranked")).collect()
             held |= {(r["u"], r["v"]): r["ranked"] for r in rows}
             row = min(rows, key=lambda r: (r["ranked"], r["u"], r["v"]))
             held.pop((row["u"], row["v"]))
         else:
             skip = edited if made and plan.operation != "delete" else None
-            rows = edit_candidates(current, plan.operation, plan.orders, skip, plan.candidate_limit, plan.seed + step)
+            if kept:
+                rows = kept.deletion_deltas().select(F.lit("delete").alias("op"), F.lit(1).alias("op_rank"), "u", "v", "delta_m2", "delta_m3")
+                rows = rows if plan.candidate_limit is None else subsample(rows, plan.candidate_limit, plan.seed + step)
+            else:
+                rows = edit_candidates(current, plan.operation, plan.orders, skip, plan.candidate_limit, plan.seed + step)
             row = best(scored(rows, now, target, scale), 1, "op_rank").first()
         now = {k: now[k] + row[f"delta_m{k}"] for k in now}
         made.append((step, row["op"], row["u"], row["v"]))
+        if kept and step < plan.budget:
+            kept = kept.apply(None, spark.createDataFrame([(row["u"], row["v"])], pair_type), checked=True)
         gone = spark.createDataFrame([(u, v) for _, op, u, v in made if op == "delete"], pair_type)
         come = spark.createDataFrame([(u, v) for _, op, u, v in made if op == "add"], pair_type)
         # always from the first graph: the plan doesn't grow with the steps

@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import direction_class, integer_hash, relative, tidy
-from ..operators import deltas, fingerprint, graph, moments, reporting, sampling, search, spectral, stats
+from ..operators import deltas, fingerprint, graph, incremental, moments, reporting, sampling, search, spectral, stats
 from ..operators.graph import Graph
 from ..operators.lineage import shared_folder
 from ..sources import files, graphs
 from . import sql as S
 
-_found: dict[str, tuple[Callable, str | None]] = {}
+_found: dict[str, tuple[Callable, str | Callable[[], str] | None]] = {}
 
 
-def query(oracle: str | None = None):
+def query(oracle: str | Callable[[], str] | None = None):
     def keep(f: Callable) -> Callable:
         _found[f.__name__] = (f, oracle)
         return f
@@ -35,7 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in _found.items() if text is not None}
+    return {name: text() if callable(text) else text for name, (_, text) in _found.items() if text is not None}
 
 
 def rounded(df: DataFrame, digits: int = 12) -> DataFrame:
@@ -334,6 +334,29 @@ def delete_delta_m2_m3(spark, sf):
     return rounded(deltas.delete_deltas(graphs.copurchase(spark, sf)))
 
 
+def _edited_sql() -> str:
+    """The statistics of the hand-over graph after the edits of EDITS, as ``g``."""
+    first = S.G1.replace("g as (", "first as (", 1)
+    edits = EDITS.replace("from g ", "from first ").replace("anti join g on g.u = a.id and g.v = b.id", "anti join first f on f.u = a.id and f.v = b.id")
+    rest = ST1[len(S.G1) :]
+    return f"{first}, {S.IDS}, {edits}, g as (select u, v from first anti join del using (u, v) union all select u, v from come){rest.replace(S.IDS + ',', '', 1)}"
+
+
+@query(lambda: f"with {_edited_sql()}, {S.DELETE} select u, v, {R('d2', 'delta_m2')}, {R('d3', 'delta_m3')} from dels")
+def maintained_deletion_deltas(spark, sf):
+    """Changes of all deletions after a batch of edits, from statistics that only the edits' surroundings renew."""
+    g = graphs.handover(spark, sf).cached()
+    return rounded(incremental.MaintainedGraph.of(g).apply(*_edits(g)).deletion_deltas())
+
+
+@query(f"with {ST1}, {S.DELETE} select u, v, {R('d2', 'delta_m2')}, {R('d3', 'delta_m3')} from dels")
+def delta_file(spark, sf):
+    """The changes as one CSV file, read back."""
+    path = _file(spark, f"deltas-{uuid.uuid4().hex}.csv")
+    files.write_deltas(rounded(deltas.delete_deltas(graphs.handover(spark, sf))), path)
+    return spark.read.csv(path, header=True, schema="u long, v long, delta_m2 double, delta_m3 double")
+
+
 @query(f"with {ST4}, {S.DELETE} select u, v, {R('d2', 'delta_m2')}, {R('d3', 'delta_m3')} from dels")
 def delete_delta_leaf(spark, sf):
     return rounded(deltas.delete_deltas(graphs.stars(spark, sf)))
@@ -530,8 +553,11 @@ def target_grid(spark, sf):
 # -- trajectories ----------------------------------------------------------------------------------
 
 
-def _greedy_sql(steps: int, kept: tuple[int, ...] | None = None) -> str:
-    """Greedy deletion unrolled: each step repeats the statistics on what is left. ``kept``: the edges after these steps."""
+def _greedy_sql(steps: int, kept: tuple[int, ...] | None = None, top: int | None = None) -> str:
+    """Greedy deletion unrolled: each step repeats the statistics on what is left. ``kept``: the edges after these steps.
+
+    ``top``: the lazy rule, by which a step scores anew only so many edges, the best by the scores held so far.
+    """
     ctes, edges = [S.G1, S.IDS, "g0 as (select u, v from g)", _after("g0")], "g0"
     for t in range(1, steps + 1):
         e = f"g{t - 1}"
@@ -544,7 +570,11 @@ def _greedy_sql(steps: int, kept: tuple[int, ...] | None = None) -> str:
             f"join w{t} a on a.id = e.u join w{t} b on b.id = e.v left join h{t} h on h.id = e.u left join h{t} k on k.id = e.v left join m{t} m on m.u = e.u and m.v = e.v), "
             f"k{t} as (select f.u, f.v, now.m2 + (2.0 / n) * ((wu - 1.0 / dv) / {S.GAP.format('du')} + (wv - 1.0 / du) / {S.GAP.format('dv')} - 1.0 / (du * dv)) n2, "
             f"now.m3 + (6.0 / n) * ((hu - m / dv) / {S.GAP.format('du')} + (hv - m / du) / {S.GAP.format('dv')} - m / (du * dv)) n3 from f{t} f, nn, m_{e} now), "
-            f"b{t} as (select k.u, k.v from k{t} k, m_g0 z order by round(sqrt(power((n2 - z.m2) / z.m2, 2) + power((n3 - z.m3) / z.m3, 2)), 12), k.u, k.v limit 1), "
+            f"sc{t} as (select k.u, k.v, round(sqrt(power((n2 - z.m2) / z.m2, 2) + power((n3 - z.m3) / z.m3, 2)), 12) s from k{t} k, m_g0 z), "
+            + (f"hd{t} as materialized (select u, v, s from sc1), " if top and t == 1 else "")
+            + (f"po{t} as materialized (select u, v, sc{t}.s from (select u, v from hd{t} order by s, u, v limit {top}) join sc{t} using (u, v)), " if top else "")
+            + f"b{t} as (select u, v from {f'po{t}' if top else f'sc{t}'} order by s, u, v limit 1), "
+            + (f"hd{t + 1} as materialized (select h.u, h.v, coalesce(p.s, h.s) s from (select * from hd{t} anti join b{t} using (u, v)) h left join po{t} p on p.u = h.u and p.v = h.v), " if top else "") +
             f"g{t} as materialized (select u, v from {e} anti join b{t} using (u, v)), {_after(f'g{t}')}"
         )
         edges = f"g{t}"
@@ -584,6 +614,20 @@ def lazy_delete_relational(spark, sf):
     return search.sample_by_moments(g.edges, g.n, budget=2, strategy="lazy", top_k=g.edges.count(), relational=True).edits.select("step", "u", "v")
 
 
+@query(_greedy_sql(4, top=5))
+def lazy_few_refreshed(spark, sf):
+    """Only five edges a step are scored anew, the best by the scores held."""
+    g = graphs.handover(spark, sf)
+    return search.sample_by_moments(g.edges, g.n, budget=4, strategy="lazy", top_k=5).edits.select("step", "u", "v")
+
+
+@query(_greedy_sql(4, top=5))
+def lazy_few_refreshed_relational(spark, sf):
+    """The same as jobs over statistics that each step renews around its edit."""
+    g = graphs.handover(spark, sf).cached()
+    return search.sample_by_moments(g.edges, g.n, budget=4, strategy="lazy", top_k=5, relational=True).edits.select("step", "u", "v")
+
+
 @query()
 def mixed_trajectory(spark, sf):
     g = graphs.handover(spark, sf)
