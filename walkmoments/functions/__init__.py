@@ -92,3 +92,9 @@ def with_determinant_deltas(rows: DataFrame, top: int, n: float) -> DataFrame:
 def integer_hash(u: Column, v: Column, seed: int = 0) -> Column:
     """The same in [0, 1000003) on every engine: for sampling that SQL must reproduce."""
     return F.pmod(u.cast("long") * 73856093 + v.cast("long") * 19349663 + F.lit(seed).cast("long") * 83492791, F.lit(1000003).cast("long"))
+
+
+def drawn(seed: int, *cols: Column) -> Column:
+    """60 bits of an MD5 sum of the seed and the values, as a long: random choices that every engine can repeat."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import drawn
 from . import stats
 from .graph import Graph
 from .lineage import cut
@@ -117,11 +118,11 @@ def monte_carlo(graph: Graph, walks: int, steps: int, seed: int) -> DataFrame:
 
     place = graph.arcs().withColumn("at", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
     deg = stats.degrees(graph)
-    uniform = F.pmod(F.xxhash64(F.lit(seed), F.col("walk"), F.lit(0)), F.lit(graph.n))
+    uniform = F.pmod(drawn(seed, F.col("walk"), F.lit(0)), F.lit(graph.n)).cast("long")
     state = graph.spark.range(walks).withColumnRenamed("id", "walk").select("walk", uniform.alias("start"), uniform.alias("now"))
     out = None
     for k in range(1, steps + 1):
-        pick = F.pmod(F.xxhash64(F.lit(seed), F.col("walk"), F.lit(k)), F.col("d")).cast("int")
+        pick = F.pmod(drawn(seed, F.col("walk"), F.lit(k)), F.col("d")).cast("int")
         chosen = state.join(deg.withColumnRenamed("id", "now"), "now").withColumn("at", pick)
         state = cut(chosen.join(place.withColumnRenamed("src", "now"), ["now", "at"]).select("walk", "start", F.col("dst").alias("now")))
         row = state.agg((F.count_if(F.col("start") == F.col("now")) / float(walks)).alias("m")).select(F.lit(k).alias("k"), "m")

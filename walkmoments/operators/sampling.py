@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import integer_hash
+from ..functions import drawn, integer_hash
 from .graph import Graph, complement, simple_edges
 from .lineage import cut
 
 
 def uniform(seed: int, *cols: str) -> Column:
     """A number in (0, 1) from the seed and the row."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), 11).cast("double") + 0.5) / float(1 << 53)
+    return (drawn(seed, *[F.col(c) for c in cols]).cast("double") + 0.5) / float(1 << 60)
 
 
 def subsample(rows: DataFrame, size: int, seed: int) -> DataFrame:
@@ -28,8 +28,7 @@ def non_edges(graph: Graph, size: int, seed: int) -> DataFrame:
 
 def rank_of_draw(draw: Column, seed: int, total: int) -> Column:
     """A number in 0..total - 1 from 60 bits of an MD5 sum, the same on every engine."""
-    text = F.concat_ws(":", F.lit(str(seed)), draw.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(total).cast("long"))
+    return F.pmod(drawn(seed, draw), F.lit(total).cast("long"))
 
 
 def unranked(rows: DataFrame, rank: str) -> DataFrame:
@@ -119,7 +118,7 @@ def weighted_with_replacement(rows: DataFrame, draws: int, seed: int) -> DataFra
     over 1024 hash blocks first, so no task orders all rows.
     """
     blocks = 1024
-    keyed = rows.withColumn("__b", F.pmod(F.xxhash64("u", "v"), F.lit(blocks)))
+    keyed = rows.withColumn("__b", F.pmod(integer_hash(F.col("u"), F.col("v")), F.lit(blocks)))
     total = keyed.groupBy("__b").agg(F.sum("prob").alias("__p"))
     edge = Window.orderBy("__b")  # 1024 rows
     total = total.withColumn("__hi", F.sum("__p").over(edge)).withColumn("__lo", F.col("__hi") - F.col("__p"))
@@ -139,10 +138,10 @@ def walk_subgraph(graph: Graph, starts: int, length: int, seed: int) -> DataFram
     """Edges among the nodes that seeded random walks visit."""
     place = graph.arcs().withColumn("at", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1)
     deg = place.groupBy(F.col("src").alias("now")).agg(F.count("*").alias("d"))
-    state = graph.spark.range(starts).select("id", F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(graph.n)).alias("now"))
+    state = graph.spark.range(starts).select("id", F.pmod(drawn(seed, F.col("id")), F.lit(graph.n)).cast("long").alias("now"))
     seen = state.select("now")
     for k in range(length):
-        pick = F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(k + 1)), F.col("d")).cast("int")
+        pick = F.pmod(drawn(seed, F.col("id"), F.lit(k + 1)), F.col("d")).cast("int")
         state = cut(state.join(deg, "now").withColumn("at", pick).join(place.withColumnRenamed("src", "now"), ["now", "at"]).select("id", F.col("dst").alias("now")))
         seen = seen.unionByName(state.select("now"))
     ids = seen.select(F.col("now").alias("id")).distinct()
@@ -153,7 +152,7 @@ def perturbed(graph: Graph, add_ratio: float, drop_rate: float, seed: int, size:
     """Edges after a Bernoulli drop and ``add_ratio * size`` random pairs, repeats collapsed."""
     kept = graph.edges.filter(uniform(seed, "u", "v") >= drop_rate)
     fresh = graph.spark.range(int(add_ratio * size)).select(
-        F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(1)), F.lit(graph.n)).alias("u"), F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(2)), F.lit(graph.n)).alias("v")
+        *[F.pmod(drawn(seed, F.col("id"), F.lit(k)), F.lit(graph.n)).alias(end) for k, end in ((1, "u"), (2, "v"))]
     )
     return simple_edges(kept.unionByName(fresh))
 
@@ -193,4 +192,4 @@ def drop_features(features: DataFrame, rate: float, seed: int) -> DataFrame:
 
 
 def random_nodes(graph: Graph, size: int, seed: int) -> DataFrame:
-    return graph.nodes().orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size)
+    return graph.nodes().orderBy(drawn(seed, F.col("id")), "id").limit(size)

@@ -289,7 +289,7 @@ def state_moments(spark, sf):
     return rounded(rows.agg((F.sum(F.col("W") / F.col("d")) / n).alias("m2"), (2 * F.sum(F.col("H") / F.col("d")) / n).alias("m3")))
 
 
-@query()
+@query(f"with {ST1}, {S.walkers(20000, 4, 11, S.drawn(11, 'id', '0'))} " + " union all ".join(f"select {k} k, (select count(*) filter (where start = now) from st{k}) / 20000.0::double m" for k in range(1, 5)))
 def monte_carlo_moments(spark, sf):
     return moments.monte_carlo(graphs.handover(spark, sf), 20_000, 4, 11)
 
@@ -715,22 +715,33 @@ def _leverage(spark, sf) -> DataFrame:
     return spectral.probabilities(spectral.resistances(g.edges, spectral.components(g)))
 
 
-@query()
+@query(
+    lambda: f"{_er_sql(0)}, pb as (select u, v, r / sum(r) over () prob, (u * 73856093 + v * 19349663) % 1000003 % 1024 b from er), "
+    "ac as (select *, sum(prob) over (order by b, u, v rows unbounded preceding) hi from pb), sp as (select *, hi - prob lo from ac), "
+    f"dr as (select {S.uniform(6, 'range')} * (select max(hi) from sp) x from range(500)) "
+    f"select u, v, {R('count(*) / (500 * any_value(prob))', 'weight', 7)}, count(*) as count from dr join sp on x > lo and x <= hi group by u, v"
+)
 def sparsifier_with_replacement(spark, sf):
-    return sampling.weighted_with_replacement(_leverage(spark, sf), 500, 6)
+    return rounded(sampling.weighted_with_replacement(_leverage(spark, sf), 500, 6), 7)
 
 
-@query()
+@query(lambda: f"{_er_sql(0)}, pb as (select u, v, r / sum(r) over () prob from er) select u, v, {R('prob', 'prob', 9)} from pb order by -ln({S.uniform(6, 'u', 'v')}) / (prob + 1e-15), u, v limit 400")
 def sparsifier_without_replacement(spark, sf):
-    return sampling.weighted_without_replacement(_leverage(spark, sf), 400, 6).select("u", "v", "prob")
+    return rounded(sampling.weighted_without_replacement(_leverage(spark, sf), 400, 6).select("u", "v", "prob"), 9)
 
 
-@query()
+@query(
+    f"with {ST2}, {S.walkers(20, 6, 3, S.drawn(3, 'id'))}, seen as ({' union '.join(f'select now id from st{k}' for k in range(7))}) "
+    "select g.u, g.v from g where u in (select id from seen) and v in (select id from seen)"
+)
 def walk_subgraph(spark, sf):
     return sampling.walk_subgraph(graphs.copurchase(spark, sf), 20, 6, 3)
 
 
-@query()
+@query(
+    f"with {S.G2}, e as (select count(*) c from g), f as (select {S.drawn(8, 'i', '1')} % cast(n as bigint) a, {S.drawn(8, 'i', '2')} % cast(n as bigint) b from (select unnest(range(cast(floor(0.1::double * c) as bigint))) i from e), nn) "
+    f"select u, v from g where {S.uniform(8, 'u', 'v')} >= 0.2 union select least(a, b), greatest(a, b) from f where a <> b"
+)
 def perturbed_edges(spark, sf):
     g = graphs.copurchase(spark, sf).cached()
     return sampling.perturbed(g, 0.1, 0.2, 8, g.edges.count())
@@ -778,6 +789,8 @@ def _er_sql(digits: int, prob: bool = True) -> str:
         "er as (select u, v, a.w / p.d + b.w / q.d - 2 * c.w / sqrt(p.d * q.d) r from g join deg p on p.id = u join deg q on q.id = v "
         "join z6 a on a.i = u and a.j = u join z6 b on b.i = v and b.j = v join z6 c on c.i = u and c.j = v)"
     )
+    if digits == 0:
+        return f"with {', '.join(ctes)}"
     share = f", {R('r / sum(r) over ()', 'prob', digits)}" if prob else ""
     return f"with {', '.join(ctes)} select u, v, 1.0::double w, {R('r', 'resistance', digits)}, {R('r', 'leverage', digits)}{share} from er"
 
@@ -1113,15 +1126,18 @@ def property_distances(spark, sf):
     return rounded(spectral.property_distances(g, deltas.apply_edits(g, *_edits(g)), ("m2", "m3")))
 
 
-@query()
+@query(f"with {S.G2}, {S.IDS}, k as (select id from ids where {S.uniform(5, 'id')} >= 0.2) select u, v from g where u in (select id from k) and v in (select id from k)")
 def dropped_nodes(spark, sf):
     return sampling.drop_nodes(graphs.copurchase(spark, sf), 0.2, 5)
 
 
-@query()
+@query(
+    f"with {ST2}, l as (select src, dst, ln(d) s from arcs join deg on id = dst), w as (select src, dst, coalesce((max(s) over () - s) / nullif(max(s) over () - avg(s) over (), 0), 0.0) w from l) "
+    f"select src, dst, {R('w', 'w', 9)} from w where {S.uniform(5, 'src', 'dst')} >= least(0.7, w / (select avg(w) from w) * 0.3)"
+)
 def dropped_arcs(spark, sf):
     g = graphs.copurchase(spark, sf).cached()
-    return sampling.drop_arcs_by_weight(spectral.arc_weights(g, stats.degrees(g), "d"), 0.3, 5)
+    return rounded(sampling.drop_arcs_by_weight(spectral.arc_weights(g, stats.degrees(g), "d"), 0.3, 5), 9)
 
 
 @query()
@@ -1139,7 +1155,7 @@ def linear_probe(spark, sf):
     return experiments.linear_probe(rows)
 
 
-@query()
+@query(f"with {S.G2}, {S.IDS}, k as (select id from ids order by {S.drawn(3, 'id')}, id limit 500) select u, v from g where u in (select id from k) and v in (select id from k)")
 def random_node_subgraph(spark, sf):
     g = graphs.copurchase(spark, sf)
     return graph.induced(g.edges, sampling.random_nodes(g, 500, 3))

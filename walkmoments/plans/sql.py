@@ -125,3 +125,20 @@ def walk_deltas(source: str, top: int, adding: bool) -> str:
         last = f"q{k}"
     out.append(f"wd as (select {last}.*, n from {last}, nn)")
     return ",\n".join(out)
+
+
+def drawn(seed: int, *cols: str) -> str:
+    """The same number as functions.drawn."""
+    return f"cast('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(cols)})), 1, 15) as bigint)"
+
+
+def uniform(seed: int, *cols: str) -> str:
+    return f"((cast({drawn(seed, *cols)} as double) + 0.5) / 1152921504606846976::double)"
+
+
+def walkers(count: int, steps: int, seed: int, first: str) -> str:
+    """Table st0..: id, start, now of seeded walks; ``first`` is the start drawn for an id. Needs arcs, deg and nn."""
+    out = ["place as (select src, dst, row_number() over (partition by src order by dst) - 1 spot from arcs)", f"st0 as (select id, {first} % cast(n as bigint) start, {first} % cast(n as bigint) now from (select range id from range({count})), nn)"]
+    for k in range(1, steps + 1):
+        out.append(f"st{k} as materialized (select s.id, start, p.dst now from st{k - 1} s join deg on deg.id = s.now join place p on p.src = s.now and p.spot = {drawn(seed, 's.id', str(k))} % cast(d as bigint))")
+    return ", ".join(out)
