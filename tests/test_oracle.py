@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = """canonical_edges complement_edges protected_pools degree_stats node_triangle_mass moments_m1_m4 clustering_weighted
 connected_components delete_delta_leaf add_delta_m2_m3 joint_edit_delta best_mixed_edit direction_class_stats target_grid
 greedy_delete nested_budget_pools laplacian_coo summary_by_config paired_vs_random iqr_band pagerank_weights graph_collection
-heat_kernel ppr_diffusion estrada_index synthetic_edges relabelled_edge_list star_resistances lazy_delete_all_refreshed delete_delta_m4_m5""".split()
+heat_kernel ppr_diffusion estrada_index synthetic_edges relabelled_edge_list star_resistances effective_resistances maintained_deletion_deltas ranked_non_edges walk_subgraph lazy_few_refreshed lazy_delete_all_refreshed delete_delta_m4_m5""".split()
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith(("op", "pipeline"))) if os.environ.get("ALL_QUERIES") else SOME
 
 
