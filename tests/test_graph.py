@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import numpy as np
@@ -242,3 +243,41 @@ def test_non_edges_by_rank(spark):
     assert [(r.u, r.v) for r in sampling.unranked(ranks, "k").orderBy("k").collect()] == [(u, v) for v in range(40) for u in range(v)]
     far = spark.createDataFrame([(10**9 * (10**9 - 1) // 2 + d,) for d in (-1, 0, 1)], "k long")
     assert [(r.u, r.v) for r in sampling.unranked(far, "k").orderBy("k").collect()] == [(10**9 - 2, 10**9 - 1), (0, 10**9), (1, 10**9)]
+
+
+def test_walks_that_delete_against_the_rule(spark):
+    def drawn(seed, *values):
+        return int(hashlib.md5(":".join(map(str, (seed, *values))).encode()).hexdigest()[:15], 16)
+
+    def model(pairs, budget, seed, walkers):
+        left, now, out, turn = set(pairs), [None] * walkers, [], 0
+        while len(out) < budget and left:
+            turn += 1
+            arcs = sorted({(u, v) for u, v in left} | {(v, u) for u, v in left})
+            picks, stuck = {}, []
+            for w in range(walkers):
+                ends = [d for s, d in arcs if s == now[w]]
+                if ends:
+                    picks[w] = (now[w], min(ends, key=lambda d: (drawn(seed, turn, w, d), now[w], d)))
+                else:
+                    stuck.append(w)
+            anew = sorted(arcs, key=lambda a: (drawn(seed, turn, *a), a))
+            picks |= dict(zip(stuck, anew))
+            taken = set()
+            for w in sorted(picks):
+                s, d = picks[w]
+                e = (min(s, d), max(s, d))
+                if e not in taken and len(out) < budget:
+                    taken.add(e)
+                    out.append((len(out) + 1, *e))
+                    now[w] = d
+            left -= taken
+        return out
+
+    pairs = random_graph(np.random.default_rng(3), 9, 0.4)
+    g = Graph(table(spark, pairs), 10)
+    for budget, walkers in ((4, 1), (9, 4), (99, 20)):
+        got = [tuple(r) for r in sampling.random_walk_deletions(g, budget, 5, walkers).orderBy("step").collect()]
+        assert got == model(pairs, budget, 5, walkers) and len({x[1:] for x in got}) == min(budget, len(pairs))
+    empty = Graph(spark.createDataFrame([], "u long, v long"), 3)
+    assert sampling.random_walk_deletions(empty, 3, 1).count() == 0

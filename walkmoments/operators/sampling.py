@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import drawn, integer_hash
 from .graph import Graph, complement, simple_edges
-from .lineage import cut
+from .lineage import cut, written
 
 
 def uniform(seed: int, *cols: str) -> Column:
@@ -71,25 +71,52 @@ def random_deletions(graph: Graph, budget: int, seed: int) -> DataFrame:
     return rows.withColumn("__h", integer_hash(F.col("u"), F.col("v"), seed)).withColumn("step", F.row_number().over(order)).select("step", "u", "v")
 
 
-def random_walk_deletions(graph: Graph, budget: int, seed: int) -> list[tuple[int, int, int]]:
-    """(step, u, v): a walker deletes the edges it passes and starts anew, at any node with edges, when stuck.
+def random_walk_deletions(graph: Graph, budget: int, seed: int, walkers: int = 1) -> DataFrame:
+    """step, u, v: walkers delete the edges that they pass and start anew, at any node with edges, when stuck.
 
-    Sequential by nature; each step asks one small job for the walker's neighbours.
+    In a round every walker picks one of its node's remaining edges, the one with the least hash of (seed, round,
+    walker, end); a walker whose node has none takes a remaining arc, the stuck ones in turn those with the least
+    hashes of (seed, round, arc). Of walkers that pick one edge the first passes it, the others stay. Steps count
+    by round, then walker; the last round is cut at ``budget``, and all ends when no edge is left. With one walker
+    this is the sequential walk. A round is three jobs whatever the graph and the number of walkers; deletion marks
+    are tables by round, joined by key.
     """
-    gone: list[tuple[int, int]] = []
-    spark, out, now = graph.spark, [], None
-    for step in range(1, budget + 1):
-        removed = spark.createDataFrame(gone, "u long, v long") if gone else spark.createDataFrame([], "u long, v long")
-        left = Graph(graph.edges.join(F.broadcast(removed), ["u", "v"], "left_anti"), graph.n).arcs()
-        pick = F.xxhash64(F.lit(seed), F.lit(step), F.col("src"), F.col("dst"))
-        row = left.filter(F.col("src") == now).orderBy(pick, "dst").first() if now is not None else None
-        row = row or left.orderBy(pick, "src", "dst").first()
-        if row is None:
+    spark = graph.spark
+    arcs = written(graph.arcs(), "walk-arcs")
+    state = spark.range(walkers).select(F.col("id").alias("walker"), F.lit(None).cast("long").alias("now"))
+    marks: list[DataFrame] = []
+    made = turn = 0
+
+    def marked() -> DataFrame:
+        return spark.read.schema(marks[0].schema).parquet(*[m._written_at for m in marks])
+
+    while made < budget:
+        turn += 1
+        left = arcs
+        if marks:
+            gone = marked()
+            gone = gone.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(gone.select(F.col("v").alias("src"), F.col("u").alias("dst")))
+            left = arcs.join(gone, ["src", "dst"], "left_anti")
+        key = drawn(seed, F.lit(turn), F.col("walker"), F.col("dst"))
+        near = state.filter("now is not null").join(left, F.col("now") == F.col("src")).groupBy("walker").agg(F.min(F.struct(key.alias("k"), "src", "dst")).alias("p"))
+        picked = written(state.select("walker", "now").join(near, "walker", "left").select("walker", "now", "p.src", "p.dst"), "walk-picks")
+        stuck = picked.filter("src is null").select("walker", F.row_number().over(Window.orderBy("walker")).alias("r"))  # at most ``walkers`` rows
+        anew = left.withColumn("k", drawn(seed, F.lit(turn), F.col("src"), F.col("dst"))).orderBy("k", "src", "dst").limit(walkers)
+        anew = anew.select("src", "dst", F.row_number().over(Window.orderBy("k", "src", "dst")).alias("r"))
+        every = picked.filter("src is not null").select("walker", "src", "dst").unionByName(stuck.join(anew, "r").select("walker", "src", "dst"))
+        first = every.withColumn("u", F.least("src", "dst")).withColumn("v", F.greatest("src", "dst"))
+        first = first.withColumn("f", F.row_number().over(Window.partitionBy("u", "v").orderBy("walker"))).filter("f = 1")
+        first = first.withColumn("step", F.row_number().over(Window.orderBy("walker")) + made).filter(F.col("step") <= budget)
+        passed = written(first.select("step", "u", "v", "walker", F.col("dst").alias("to")), "walk-marks")
+        count = passed.count()
+        if not count:
             break
-        now = row["dst"]
-        gone.append((min(row["src"], now), max(row["src"], now)))
-        out.append((step, *gone[-1]))
-    return out
+        marks.append(passed)
+        made += count
+        state = written(picked.select("walker", "now").join(passed.select("walker", "to"), "walker", "left").select("walker", F.coalesce("to", "now").alias("now")), "walk-state")
+    if not marks:
+        return spark.createDataFrame([], "step int, u long, v long")
+    return marked().select("step", "u", "v")
 
 
 def nested_pools(pools: DataFrame, ratios: list[float], repeats: int, seed: int) -> DataFrame:

@@ -696,7 +696,7 @@ def random_edge_deletions(spark, sf):
 
 @query()
 def random_walk_deletions(spark, sf):
-    return spark.createDataFrame(sampling.random_walk_deletions(graphs.handover(spark, sf).cached(), 5, 2), "step int, u long, v long")
+    return sampling.random_walk_deletions(graphs.handover(spark, sf).cached(), 40, 2, walkers=10)
 
 
 @query(
