@@ -281,3 +281,15 @@ def test_walks_that_delete_against_the_rule(spark):
         assert got == model(pairs, budget, 5, walkers) and len({x[1:] for x in got}) == min(budget, len(pairs))
     empty = Graph(spark.createDataFrame([], "u long, v long"), 3)
     assert sampling.random_walk_deletions(empty, 3, 1).count() == 0
+
+
+def test_target_points(spark):
+    points = search.target_grid(spark, 0.2, 0.02, 3, 2, 0.5)
+    made = search.prepare_points(points, 45, [4, 0, 4], most=0.1).orderBy("target_id").collect()
+    assert [(r.point_id, r.target_id, r.add_budget, r.delete_budget, r.total_budget) for r in made] == [("target_000", 0, 4, 4, 4), ("target_004", 4, 4, 4, 4)]
+    assert search.select_points(points).count() == points.count() == 7
+    assert search.budgets(45, add=0.1, delete=0.5) == (4, 22, 26) and search.budgets(1, 0.1) == (1, 1, 1)
+    odd = spark.createDataFrame([(-1, 0.1, 0.1), (2, 0.1, 0.1)], "target_id long, m2 double, m3 double")
+    for wrong in (lambda: search.select_points(points, [0, 99]), lambda: search.select_points(odd), lambda: search.select_points(points, []), lambda: search.select_points(points.limit(0)), lambda: search.budgets(9)):
+        with pytest.raises(ValueError):
+            wrong()

@@ -116,6 +116,45 @@ def target_grid(spark, m2: float, m3: float, steps2: int, steps3: int, spread: f
     return rows
 
 
+def budgets(edges: int, most: float | None = None, add: float | None = None, delete: float | None = None) -> tuple[int, int, int]:
+    """Additions, deletions and edits in all that a run may make: parts of the edges each, or one part (at least one edit) for both."""
+    if add is not None and delete is not None:
+        return round(edges * add), round(edges * delete), round(edges * add) + round(edges * delete)
+    if most is None:
+        raise ValueError("give a part for all edits, or one for additions and one for deletions")
+    both = max(1, round(edges * most))
+    return both, both, both
+
+
+def select_points(points: DataFrame, wanted: list[int] | None = None) -> DataFrame:
+    """The rows of ``points`` (target_id, ...) whose ids are ``wanted``, all by default.
+
+    Raises where an id is missing or negative in the table, where a wanted id isn't in it, and where nothing is
+    left; a wanted id that repeats counts once, rows that repeat an id are all kept.
+    """
+    if points.filter("target_id is null or target_id < 0").limit(1).count():
+        raise ValueError("target ids must be non-negative")
+    if wanted is not None:
+        ids = points.sparkSession.createDataFrame([(int(i),) for i in dict.fromkeys(wanted)], "target_id long")
+        unknown = sorted(r["target_id"] for r in ids.join(points, "target_id", "left_anti").collect())  # of the given list
+        if unknown:
+            raise ValueError(f"no such target: {unknown}")
+        points = points.join(F.broadcast(ids), "target_id", "left_semi")
+    if points.isEmpty():
+        raise ValueError("no target is left")
+    return points
+
+
+def prepare_points(points: DataFrame, edges: int, wanted: list[int] | None = None, **parts: float) -> DataFrame:
+    """point_id, target_id, target_m2, target_m3 and the three budgets of selected targets (target_id, m2, m3)."""
+    add, delete, total = budgets(edges, **parts)
+    rows = select_points(points, wanted)
+    name = F.concat(F.lit("target_"), F.lpad(F.col("target_id").cast("string"), 3, "0"))
+    name = F.when(F.col("target_id") < 1000, name).otherwise(F.concat(F.lit("target_"), F.col("target_id").cast("string")))
+    counts = [F.lit(x).cast("long").alias(f"{n}_budget") for n, x in (("add", add), ("delete", delete), ("total", total))]
+    return rows.select(name.alias("point_id"), "target_id", F.col("m2").alias("target_m2"), F.col("m3").alias("target_m3"), *counts)
+
+
 class SmallGraph:
     """One graph's statistics as arrays, with exact updates by recomputing what an edit touches.
 

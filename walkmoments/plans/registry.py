@@ -550,6 +550,18 @@ def target_grid(spark, sf):
     return rounded(search.target_grid(spark, m[2], m[3], 5, 4, 0.5))
 
 
+@query(
+    f"with {ST1}, {MM}, p as (select i * 4 + j target_id, least(greatest(m2 * 0.5 + i * m2 / 4, 0), 1) m2, least(greatest(m3 * 0.5 + j * m3 / 3, 0), 0.25) m3 "
+    "from mm, (select range i from range(5)) a, (select range j from range(4)) b), e as (select count(*) c from g) "
+    f"select 'target_' || lpad(cast(target_id as varchar), 3, '0') point_id, target_id, {R('m2', 'target_m2')}, {R('m3', 'target_m3')}, cast(round_even(c * 0.1::double, 0) as bigint) add_budget, "
+    "cast(round_even(c * 0.2::double, 0) as bigint) delete_budget, cast(round_even(c * 0.1::double, 0) + round_even(c * 0.2::double, 0) as bigint) total_budget from p, e where m3 <= m2 and target_id in (0, 5, 10, 15)"
+)
+def target_points(spark, sf):
+    g = graphs.handover(spark, sf).cached()
+    m = moments.compute_moments(g, (2, 3))
+    return rounded(search.prepare_points(search.target_grid(spark, m[2], m[3], 5, 4, 0.5), g.edges.count(), [0, 5, 10, 15], add=0.1, delete=0.2))
+
+
 # -- trajectories ----------------------------------------------------------------------------------
 
 
