@@ -12,6 +12,7 @@ import time
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -85,6 +86,20 @@ def remove(path: str) -> None:
     fs.delete(at, True)
 
 
+def _create_alone(at, fs) -> bool:
+    """Makes a file that is not there, in one act; False where it is. Hadoop's local file systems look first and create then."""
+    if fs.getUri().getScheme() != "file":
+        return fs.createNewFile(at)
+    jvm = SparkSession.active()._jvm
+    try:
+        jvm.java.nio.file.Files.createFile(jvm.java.io.File(at.toUri().getPath()).toPath(), SparkSession.active().sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
+
+
 @contextlib.contextmanager
 def locked(path: str, wait: float = 60.0) -> Iterator[None]:
     """One writer at a time; raises after ``wait`` seconds, naming the lock that a killed writer may have left."""
@@ -92,7 +107,7 @@ def locked(path: str, wait: float = 60.0) -> Iterator[None]:
     fs.mkdirs(at.getParent())
     lock = SparkSession.active()._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.lock")
     until = time.monotonic() + wait
-    while not fs.createNewFile(lock):
+    while not _create_alone(lock, fs):
         if time.monotonic() > until:
             raise TimeoutError(f"{lock.toString()} is held")
         time.sleep(0.05)
