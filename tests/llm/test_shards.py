@@ -1,5 +1,6 @@
 import hashlib
 import os
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -60,3 +61,10 @@ def test_long_runs_and_second_actions(spark, tmp_path):
     stream = np.concatenate([read[r[0]] for r in sorted(first, key=lambda r: r[3])])
     cuts = np.flatnonzero(stream == end)
     assert sorted(enc.decode(x[x != end].tolist()) for x in np.split(stream, cuts + 1)[: len(cuts)]) == sorted(texts)
+
+
+def test_runs_just_below_the_limit_take_linear_time():
+    text = ("x" * 4000 + " ") * 2500  # 10 MB
+    start = time.perf_counter()
+    assert list(shards.pieces(text)) == [text]
+    assert time.perf_counter() - start < 5
