@@ -70,3 +70,20 @@ def test_rare_suffixes_keep_their_rates(spark):
     other = urls.split_url(spark.createDataFrame([(1, "http://q.h3.net3/y/1"), (2, "http://q.h353.net3/y/1"), (3, "http://q.never/y")], "page_id long, url string"))
     seen = {r[0]: r[1] for r in model.with_features(other, F.col("url")).select("page_id", "__u_features.last_labels").collect()}
     assert seen[1] > 0.8 and seen[2] < 0.2 and seen[3] == 0.5
+
+
+def test_a_hot_suffix_without_labels_is_not_joined_by_key(spark):
+    known = [(i, f"http://a.h{i % 700}.net{i % 7}/x/{i}", int(i % 700 < 350)) for i in range(7000)]
+    model = urls.fit(urls.split_url(spark.createDataFrame(known, "page_id long, url string, __u_label int")))
+    assert model.rare is not None
+    hot = [(i, f"http://w{i}.hot.never/z/{i}") for i in range(9000)] + [(9000 + i, f"http://a.h{i}.net{i % 7}/x/q") for i in range(700)]
+    hot += [(20000 + i, f"http://b{i}.h3.net3/x/{i}") for i in range(300)] + [(None, None), (30000, "http://" + "l" * 300_000 + ".long/" + "p/" * 100_000)]
+    df = urls.split_url(spark.createDataFrame(hot, "page_id long, url string"))
+    found = model.hot_rates(df)
+    assert found["last_label"]["never"] is None and found["last_labels"]["hot.never"] is None
+    assert abs(found["last_labels"]["h3.net3"] - 12 / 14) < 1e-12  # rare among labels, hot here
+    assert all(len(v) <= urls.SUFFIXES for v in found.values())
+    got = {r.page_id: r[1] for r in model.with_features(df, F.col("url")).select("page_id", "__u_features.last_labels").collect()}
+    assert len(got) == len(hot) and got[5] == 0.5 and got[30000] == 0.5 and got[None] == 0.5
+    assert all(abs(got[9000 + i] - (12 / 14 if i < 350 else 2 / 14)) < 1e-12 for i in range(700))
+    assert all(abs(got[20000 + i] - 12 / 14) < 1e-12 for i in range(300))

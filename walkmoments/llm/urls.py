@@ -5,9 +5,9 @@ path starts with the rule's path, and the longest wins. What no rule decides is
 trees on length, depth, digit ratio, entropy, parameter counts and suffix statistics, trained from
 labelled URLs. The trees are fitted on the driver from at most SAMPLE labelled rows, those with
 the least hash; suffix statistics are counted over all labelled rows, for every suffix seen, and
-smoothed by the prior. Suffixes with at least 1 / SUFFIXES of the labelled rows, hence at most
-SUFFIXES of each kind, are broadcast; the rest are a table that is joined by suffix. The fitted
-trees become one Spark expression, so scoring needs no Python.
+smoothed by the prior. Suffixes with at least 1 / SUFFIXES of the labelled rows, or of the rows to
+judge, hence at most twice SUFFIXES of each kind, are broadcast; the rest are a table that is joined
+by suffix, none of them hot. The fitted trees become one Spark expression, so scoring needs no Python.
 
 The registered query has no labels but the rules' own verdicts: its trees carry the rules' decisions on
 to urls that look like those they decide, and their held-out accuracy says how well they do that (the
@@ -15,7 +15,8 @@ feature of host label and folder comes near the rules themselves), not how well
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule; the
 trees judge it like any other; without labelled rows of both kinds the verdict is that of the
-only kind seen, else allow; repeated rows are judged each; an empty table gives an empty table.
+only kind seen, else allow; repeated rows are judged each; very long urls are read whole, in one
+row; an empty table gives an empty table.
 Other columns are not read.
 """
 
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 SAMPLE, SUFFIXES = 20_000, 500
 FEATURES = ("length", "host_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "hyphens", "last_label", "last_labels", "label_and_folder")
@@ -125,24 +126,46 @@ class UrlModel:
     prior: float = 0.5
     rare: DataFrame | None = None  # kind, suffix, rate of the suffixes that are not in ``rates``
 
+    def hot_rates(self, rows: DataFrame) -> dict[str, dict[str, float | None]]:
+        """By kind, the rate (None if it has none) of every suffix that 1 / SUFFIXES of ``rows`` have: at most SUFFIXES of a kind.
+
+        Suffixes are counted map-side first, so a hot one is a row a task here, and none is joined by key later.
+        """
+        kinds = suffixes()
+        pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("suffix")) for k, v in kinds.items()]))
+        counts = materialize(rows.select(pairs.alias("s")).groupBy("s.kind", "s.suffix").agg(F.count("*").alias("n")), "url-seen")
+        total = counts.filter(F.col("kind") == next(iter(kinds))).agg(F.sum("n")).first()[0] or 0
+        hot = counts.filter(F.col("n") * SUFFIXES >= total).select("kind", "suffix")
+        out: dict[str, dict[str, float | None]] = {k: {} for k in kinds}
+        for r in hot.join(self.rare, ["kind", "suffix"], "left").collect():
+            out[r["kind"]][r["suffix"]] = r["rate"]
+        drop_table(counts)
+        return out
+
     def with_features(self, rows: DataFrame, url: Column) -> DataFrame:
-        """Adds __u_features. ``rates`` holds at most SUFFIXES rows for each kind of suffix and is broadcast."""
+        """Adds __u_features.
+
+        Suffixes that are common among the labelled rows or among ``rows``, at most SUFFIXES each for
+        a kind, are broadcast; a suffix that is joined by key has less than 1 / SUFFIXES of ``rows``.
+        """
         spark, out = rows.sparkSession, rows
+        hot = {} if self.rare is None else self.hot_rates(rows)
         for kind, value in suffixes().items():
-            known = {s: r for f, s, r in self.rates if f == kind}
+            known = hot.get(kind, {}) | {s: r for f, s, r in self.rates if f == kind}
             keyed, key, rate = out.withColumn(f"__u_s_{kind}", value), f"__u_s_{kind}", f"__u_r_{kind}"
             if known:
-                pairs = [F.struct(F.lit(s).alias(key), F.lit(float(r)).alias(rate)) for s, r in sorted(known.items())]
+                pairs = [F.struct(F.lit(s).alias(key), F.lit(r).cast("double").alias(rate), F.lit(True).alias("__u_c")) for s, r in sorted(known.items())]
                 small = spark.range(1).select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
                 out = keyed.join(F.broadcast(small), key, "left")
             else:
-                out = keyed.withColumn(rate, F.lit(None).cast("double"))
+                out = keyed.withColumn(rate, F.lit(None).cast("double")).withColumn("__u_c", F.lit(None).cast("boolean"))
             if self.rare is not None:
-                # rows that have their rate are dealt by a hash of the url, so no common suffix meets in a task
-                away = F.when(F.col(rate).isNotNull(), F.xxhash64(url)).otherwise(F.lit(0))
+                # rows of broadcast suffixes are dealt by a hash of the url, so none of these meets in a task
+                away = F.when(F.col("__u_c"), F.xxhash64(url)).otherwise(F.lit(0))
                 more = self.rare.filter(F.col("kind") == kind).select(F.col("suffix").alias("__u_k"), F.lit(0).cast("long").alias("__u_a"), F.col("rate").alias("__u_m"))
-                out = out.withColumn("__u_a", away.cast("long")).withColumn("__u_k", F.when(F.col(rate).isNull(), F.col(key)).otherwise(F.lit("")))
+                out = out.withColumn("__u_a", away.cast("long")).withColumn("__u_k", F.when(F.col("__u_c"), F.lit("")).otherwise(F.col(key)))
                 out = out.join(more, ["__u_k", "__u_a"], "left").withColumn(rate, F.coalesce(rate, "__u_m")).drop("__u_k", "__u_a", "__u_m")
+            out = out.drop("__u_c")
         columns = lexical(url) | {k: F.coalesce(F.col(f"__u_r_{k}"), F.lit(float(self.prior))) for k in suffixes()}
         out = out.withColumn("__u_features", F.struct(*[columns[f].alias(f) for f in FEATURES]))
         return out.drop(*[f"__u_{x}_{k}" for x in "sr" for k in suffixes()])
