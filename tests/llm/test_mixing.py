@@ -63,3 +63,17 @@ def test_edge_rows(spark):
     assert mixing.repeat_to_targets(clash).filter("certain = 'z' and copies = 9").count() > 0
     blank = mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).collect()
     assert all(r.taken == 0 and r.target == 0 for r in blank)
+
+
+def test_many_sources_and_a_very_long_text(spark):
+    sizes = {f"h{k:05d}": 1 + k * 7919 % 50 for k in range(3000)} | {"long": 400_000, "empty": 0}
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string").repartition(5)
+    names = sorted(sizes, key=str.encode)
+    weights = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    want = fill(1.5 * sum(sizes.values()), {s: 2.0 * sizes[s] for s in names}, weights)
+    rows = mixing.sized(docs)
+    plan = mixing.allocate(rows)
+    got = {r["__m_key"][1:]: r.target for r in plan.collect()}
+    assert set(got) == set(names) and all(abs(got[s] - want[s]) < 1e-6 * max(1.0, want[s]) for s in names)
+    taken = {r.doc_id: (r.size, r.taken) for r in mixing.mix(docs).collect()}
+    assert all(t in (0, n, 2 * n) for n, t in taken.values()) and len(taken) == 3002

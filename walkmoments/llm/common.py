@@ -117,3 +117,24 @@ def block_prefix(df: DataFrame, keys: list[str], block: Column, order: list[Colu
     in_block = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = with_block.withColumn("__w", F.coalesce(F.sum(value).over(in_block), zero))
     return within.join(before, [*keys, "__b"]).withColumn(out, F.col("__before") + F.col("__w")).drop("__b", "__before", "__w")
+
+
+def range_prefix(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """``df`` with, for each out: value of ``sums``, the sum of value over all rows before a row in ``order``.
+
+    ``order`` must be unique and not null. Rows are dealt by ranges and written once with the number
+    of their range; ranges are summed and prefixed (one row a range), and a task sorts one range.
+    """
+    dealt = materialize(df.repartitionByRange(order).withColumn("__b", F.spark_partition_id()), "ranges")
+    over_ranges = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    in_range = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("__b").agg(*[F.sum(v).alias(f"__s_{k}") for k, v in sums.items()])
+    before = parts.select("__b", *[F.sum(f"__s_{k}").over(over_ranges).alias(f"__s_{k}") for k in sums])
+    out = dealt
+    for k, v in sums.items():
+        out = out.withColumn(k, F.sum(v).over(in_range))
+    out = out.join(F.broadcast(before), "__b")  # one row a range
+    for k, v in sums.items():
+        zero = F.lit(0).cast(df.schema[v].dataType)
+        out = out.withColumn(k, F.coalesce(F.col(f"__s_{k}"), zero) + F.coalesce(F.col(k), zero))
+    return out.drop("__b", *[f"__s_{k}" for k in sums])

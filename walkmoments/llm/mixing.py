@@ -10,7 +10,8 @@ prefix sums over blocks of the rank, are shuffled beside one narrow row per docu
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own,
 last in order; sources without words have target 0; rows that repeat wholly tie, and as many of
-them are taken as fit; an empty table gives an empty table. Other columns are not read.
+them are taken as fit; very long texts count whole, and one larger than its source's target may be left
+out or overshoot it by at most half its size; an empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, block_prefix, materialize, text_or_empty, unit_hash
+from .common import WORD, block_prefix, materialize, range_prefix, text_or_empty, unit_hash
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -48,6 +49,21 @@ def water_fill(parts: DataFrame, group: list[str], cap: str, weight: str, total:
     return rows.withColumn(out, F.greatest(share, F.lit(0.0))).drop("__ratio", "__level", "__first")
 
 
+def fill_level(sources: DataFrame, cap: str, weight: str, share: float) -> float | None:
+    """The level of :func:`water_fill` for one group that is the whole table and shares ``share`` of source_size; None if all are capped.
+
+    Rows of one ratio are summed first; the level is that of the least ratio above its own level.
+    """
+    whole = sources.agg(F.sum("source_size"), F.sum(weight)).first()
+    if not whole[1]:
+        return None
+    total, weights = F.lit(float(whole[0]) * float(share)), F.lit(float(whole[1]))
+    levels = sources.filter(F.col(weight) > 0).groupBy((F.col(cap) / F.col(weight)).alias("__ratio")).agg(F.sum(cap).alias("__c"), F.sum(weight).alias("__v"))
+    levels = range_prefix(levels, "__ratio", {"__cs": "__c", "__vs": "__v"})
+    level = (total - F.col("__cs")) / (weights - F.col("__vs"))
+    return levels.filter(level < F.col("__ratio")).agg(F.min_by(level, "__ratio")).first()[0]
+
+
 def size_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
@@ -76,22 +92,23 @@ def class_weight(c: Column) -> Column:
 def allocate(rows: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
     """One row per source and class: __m_key, __m_class, source_size, target, copies (expected per document).
 
-    ``rows`` has __m_key, __m_class and __m_size. There is one row per source in the first window.
+    ``rows`` has __m_key, __m_class and __m_size. Sources may be many: their places in order and the
+    level come from prefix sums over ranges, so no task holds them all.
     """
     classes = rows.groupBy("__m_key", "__m_class").agg(F.sum("__m_size").alias("__m_words"))
-    sources = classes.groupBy("__m_key").agg(F.sum("__m_words").alias("source_size"))
-    by_name = Window.orderBy("__m_key")
-    turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
+    sources = classes.groupBy("__m_key").agg(F.sum("__m_words").alias("source_size"), F.lit(1).cast("long").alias("__n"))
+    sources = range_prefix(sources, "__m_key", {"__place": "__n"})
+    turn = F.pmod(F.col("__place"), F.lit(len(weights)))
     weight = F.lit(float(weights[0]))
     for k, w in enumerate(weights[1:], 1):
         weight = F.when(turn == k, F.lit(float(w))).otherwise(weight)
-    sources = (
-        sources.withColumn("__w", weight)
-        .withColumn("__cap", F.col("source_size") * F.lit(float(most)))
-        .withColumn("__all", F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share)))
-        .withColumn("__one", F.lit(0))
+    sources = materialize(
+        sources.select("__m_key", "source_size", weight.alias("__w"), (F.col("source_size") * F.lit(float(most))).alias("__cap")), "mix-sources"
     )
-    sources = water_fill(sources, ["__one"], "__cap", "__w", "__all", "target").select("__m_key", "source_size", "target")
+    level = fill_level(sources, "__cap", "__w", share)
+    filled = F.col("__cap") if level is None else F.least(F.col("__cap"), F.lit(level) * F.col("__w"))
+    target = F.greatest(F.when(F.col("__w") > 0, filled).otherwise(F.lit(0.0)), F.lit(0.0))
+    sources = sources.select("__m_key", "source_size", target.alias("target"))
     parts = (
         classes.join(sources, "__m_key")
         .withColumn("__cap", F.col("__m_words") * F.lit(float(most)))
