@@ -55,3 +55,21 @@ def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = quality.judge(quality.with_stats(docs), quality.DecisionList())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_covering_goes_on_past_a_rule_that_misses_its_precision():
+    blank = dict.fromkeys(quality.FEATURES, 0)
+    edges = {f: [0.1, 0.2, 0.3] for f in quality.FEATURES}
+    groups = [  # bins, bad, good
+        ({}, 0, 2000),
+        ({"dup_line_ratio": 3}, 300, 0),
+        ({"symbol_ratio": 3}, 400, 100),  # no threshold parts these: precision 0.8
+        ({"exclaim_ratio": 3, "upper_ratio": 3}, 100, 0),
+        ({"exclaim_ratio": 3}, 0, 60),
+        ({"upper_ratio": 3}, 0, 60),
+    ]
+    cells = [blank | bins | {"fold": fold, "quality": q, "count": n} for bins, bad, good in groups for fold in range(3) for q, n in ((0, bad), (1, good)) if n]
+    found = {frozenset(c.feature for c in rule) for rule in quality.learn(edges, cells).rules}
+    assert frozenset({"dup_line_ratio"}) in found and frozenset({"exclaim_ratio", "upper_ratio"}) in found
+    assert not any("symbol_ratio" in rule for rule in found)
+    assert quality.learn(edges, [c for c in cells if c["quality"]]).rules == () == quality.learn(edges, []).rules

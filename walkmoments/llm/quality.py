@@ -30,6 +30,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = ("mean_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "exclaim_ratio", "upper_ratio")
 QUANTILES = (0.02, 0.25, 0.5, 0.75, 0.85, 0.92, 0.97)
 BINS = len(QUANTILES) + 1
+#: Sizes of the list, parameters of the method: rules, and conditions in one.
+MOST_RULES, MOST_CONDITIONS = 24, 5
 #: Index bits in a packed (hash, position) number; longer word lists take the unpacked way.
 INDEX_BITS = 20
 
@@ -165,8 +167,13 @@ def cell_counts(labelled: DataFrame) -> tuple[dict[str, list[float]], list]:
     return halfway, counts.collect()  # at most 2 * 3 * BINS ** len(FEATURES) rows
 
 
-def learn(edges: dict[str, list[float]], cells: list, precision: float = 0.9, support: float = 0.002, most_rules: int = 24) -> DecisionList:
-    """Sequential covering over counted cells: grow on folds 1 and 2, prune on fold 0."""
+def learn(edges: dict[str, list[float]], cells: list, precision: float = 0.9, support: float = 0.002, most_rules: int = MOST_RULES) -> DecisionList:
+    """Sequential covering over counted cells: grow on folds 1 and 2, prune on fold 0.
+
+    A rule has at most MOST_CONDITIONS conditions, the list at most ``most_rules`` rules. A rule that
+    misses the precision or the support is not taken: the bad rows it was grown for are set aside, so
+    that the next rule grows for others, until fewer are left than a rule must cover.
+    """
     rows = [({f: r[f] for f in FEATURES}, r["fold"], r["quality"], r["count"]) for r in cells]
     total = sum(r[3] for r in rows)
 
@@ -181,8 +188,12 @@ def learn(edges: dict[str, list[float]], cells: list, precision: float = 0.9, su
         return bad, good
 
     rules: list[tuple[Condition, ...]] = []
+    least, aside = max(3, support * total), set()  # aside: places in rows
     while len(rules) < most_rules:
-        grow, prune = [r for r in rows if r[1]], [r for r in rows if not r[1]]
+        grow = [r for k, r in enumerate(rows) if r[1] and k not in aside]
+        prune = [r for r in rows if not r[1]]
+        if sum(r[3] for k, r in enumerate(rows) if r[2] == 0 and k not in aside) < least:
+            break
         rule: list = []
         part = grow
         bad, good = tally(part, [])
@@ -200,7 +211,7 @@ def learn(edges: dict[str, list[float]], cells: list, precision: float = 0.9, su
                     for above, b, g in ((True, bad - low_bad, good - low_good), (False, low_bad, low_good)):
                         if b and (gain := b * (math.log2(b / (b + g)) - before)) > best_gain + 1e-9:
                             best, best_gain = (f, above, k), gain
-            if best is None or len(rule) >= 5:
+            if best is None or len(rule) >= MOST_CONDITIONS:
                 break
             rule.append(best)
             part = [r for r in part if holds(r[0], [best])]
@@ -214,10 +225,15 @@ def learn(edges: dict[str, list[float]], cells: list, precision: float = 0.9, su
             rule.pop()
         b, g = tally(rows, rule)
         pb, pg = tally(prune, rule)
-        if not rule or b < max(3, support * total) or b < precision * (b + g) or pb < precision * (pb + pg):
-            break
+        if b < least or b < precision * (b + g) or pb < precision * (pb + pg) or not rule:
+            seed = {k for k, r in enumerate(rows) if k not in aside and r[2] == 0 and holds(r[0], rule)}
+            if not seed:
+                break
+            aside |= seed
+            continue
         rules.append(tuple(Condition(f, above, edges[f][k]) for f, above, k in rule))
-        rows = [r for r in rows if not holds(r[0], rule)]
+        left = [k for k, r in enumerate(rows) if not holds(r[0], rule)]
+        rows, aside = [rows[k] for k in left], {n for n, k in enumerate(left) if k in aside}
     return DecisionList(tuple(rules))
 
 
