@@ -274,6 +274,8 @@ class Plan:
     seed: int = 0
     checkpoints: tuple[int, ...] = ()
     refresh_interval: int | None = None  # lazy strategy: all scores are renewed after so many steps
+    most_adds: int | None = None  # in the task kernel: mixed trajectories make at most so many additions, and deletions
+    most_deletes: int | None = None
 
 
 def _distance(moments: dict[int, float], deltas: dict[int, np.ndarray], target: dict[int, float], scale: dict[int, float]) -> np.ndarray:
@@ -314,6 +316,9 @@ def run_small(edges: np.ndarray, n: int, plan: Plan) -> tuple[list[tuple], dict[
             choices = []
             kinds = {"delete": (False,), "add": (True,), "mixed": (True, False)}[plan.operation]
             for adding in kinds:
+                most = plan.most_adds if adding else plan.most_deletes
+                if most is not None and sum(e[1] == ("add" if adding else "delete") for e in edits) >= most:
+                    continue
                 rows = g.pairs(not adding)
                 if done and plan.operation != "delete":
                     rows = rows[[(a, b) not in done for a, b in rows.tolist()]]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import direction_class, integer_hash, relative, tidy
-from ..operators import deltas, fingerprint, graph, incremental, moments, reporting, sampling, search, spectral, stats
+from ..operators import bank, deltas, fingerprint, graph, incremental, moments, reporting, sampling, search, spectral, stats
 from ..operators.graph import Graph
 from ..operators.lineage import shared_folder
 from ..sources import files, graphs
@@ -662,6 +662,18 @@ def graph_bank(spark, sf):
     return search.run_grouped(runs.join(g.edges), g.n, plans)  # every run has a copy of the small graph
 
 
+@query(f"select cast(0 as bigint) target_id, cast(b.range as integer) bank_id, x.* from ({_greedy_sql(3)}) x, range(3) b")
+def resumed_bank(spark, sf):
+    """A bank at the graph's own moments, grown to one run and then, as a second job, to three."""
+    g = graphs.handover(spark, sf).cached()
+    m = moments.compute_moments(g, (2, 3))
+    points = spark.createDataFrame([(0, m[2], m[3], 0, 3, 3)], "target_id long, target_m2 double, target_m3 double, add_budget long, delete_budget long, total_budget long")
+    folder = f"{shared_folder(spark)}/bank-{uuid.uuid4().hex}"
+    bank.grow_bank(g, points, folder, 1, operation="delete")
+    runs = bank.grow_bank(g, points, folder, 3, operation="delete")
+    return runs.select("target_id", "bank_id", F.explode("edits").alias("e")).select("target_id", "bank_id", "e.step", "e.u", "e.v")
+
+
 @query()
 def progressive_targets(spark, sf):
     g = graphs.handover(spark, sf)
