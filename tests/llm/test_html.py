@@ -29,6 +29,16 @@ CASES = {
     "headings": (f"<main><h1 class='banner'>Head</h1><p id='search'>{LONG}</p><p class='ad'>Buy</p></main>", f"Head\n{LONG}"),
     "notice": (f"<div><p>We use cookies to improve your experience. Accept all cookies?</p></div><div><a href=1>One</a></div><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
     "cookies": ("<article><p>We use cookies, she said, and agree on the experience.</p></article>", "We use cookies, she said, and agree on the experience."),
+    "article named as a widget": (f"<article class='story widget'><p>{LONG}</p><p>Er.</p></article>", f"{LONG}\nEr."),
+    "topic of a section": (f"<article><p>{LONG}</p><section class='search-engines'><h2>On search</h2><p>{LONG}</p></section></article>", f"{LONG}\nOn search\n{LONG}"),
+    "topic of a division": (f"<main><div id='social-history'><p>{LONG}</p></div></main>", LONG),
+    "content at the top": (f"<div class='post top'><p>{LONG * 2}</p><p>{LONG * 2}</p></div>", f"{LONG * 2}\n{LONG * 2}"),
+    "doubt decided by sums": (f"<div class='social-history'><p>Follow us</p></div><div><a href=1>One</a></div><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+    "dense doubt": (f"<div class='social-history'><p>{LONG * 3}</p><p>{LONG * 3}</p></div>", f"{LONG * 3}\n{LONG * 3}"),
+    "comment as an article": (f"<article><p>{LONG}</p></article><article class='comment odd'><p>{LONG}</p></article>", LONG),
+    "privacy": (f"<div><p>We value your privacy. Our partners store information on your device and read it to show what you like.</p></div><article><h1>Head</h1><p>{LONG * 3}</p></article>", f"Head\n{LONG * 3}"),
+    "long text outside": (f"<article><p>{LONG * 9}</p></article><div><p>{LONG * 5}</p></div>", f"{LONG * 9}\n{LONG * 5}"),
+    "layout": (f"<div class='search-box'><p>{LONG * 3}</p></div><div class='widget-area-2'><p>{LONG * 3}</p></div><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
     "empty": ("", ""),
     "none": (None, ""),
     "boiler": ("<nav>x</nav><footer>y</footer>", ""),
@@ -69,10 +79,16 @@ def by_windows(page, window=3, threshold=86):
     """The distribution over the lines, from its definition: a line is kept if it belongs to a slope whose sums reach the threshold."""
     lines = lines_of(page)
     weight = []
-    for text, bad, inside, linked in lines:
+    plain = [(len(text) - min(linked, len(text)), inside) for text, bad, inside, linked, _ in lines if not bad]
+    ruled = sum(x for x, inside in plain if inside) > sum(x for x, inside in plain if not inside)
+    for text, bad, inside, linked, doubt in lines:
         own = max(0, len(text) - linked)
         notice = len(text) <= 300 and NOTICE.search(text)
-        weight.append(0 if bad else threshold + len(text) if inside else 0 if notice or linked > own else own)
+        less = threshold * (2 * (ruled and not inside) + doubt)
+        if bad or (not inside and (notice or linked > own)):
+            weight.append(0)
+        else:
+            weight.append(max(0, (threshold + (own if doubt else len(text)) if inside else own) - less))
     sums = [sum(weight[k : k + window]) for k in range(len(weight))]
     level = min(threshold, max(sums, default=0))
     kept = set()
@@ -89,7 +105,7 @@ def by_windows(page, window=3, threshold=86):
 
 def test_distribution_by_its_definition():
     rng = random.Random(5)
-    bits = ["<p>", "</p>", "<div>", "</div>", "<div class=menu>", "<article>", "</article>", "<a href=1>", "</a>", "short", LONG, "a middling line of text", "<nav>", "</nav>", "<br>", "<h2>"]
+    bits = ["<p>", "</p>", "<div>", "</div>", "<div class=menu>", "<div class=social-history>", "<article>", "</article>", "<a href=1>", "</a>", "short", LONG, "a middling line of text", "<nav>", "</nav>", "<br>", "<h2>"]
     for _ in range(3000):
         page = "".join(rng.choices(bits, k=rng.randint(1, 40)))
         assert main_text(page) == by_windows(page), page

@@ -4,12 +4,17 @@ Markup is stripped into lines, one per block element. A line weighs as many code
 text has outside links; boilerplate (menus, page headers, footers, sidebars, notices, adverts,
 forms, comments, known by element, role, or a name in class or id) weighs nothing and stays in the line
 list as a valley. Names that only say what a page has or lacks (``with-sidebar``, ``no-comments``) mean
-nothing, nor do names of headings and paragraphs inside an article unless they are adverts or notices.
-Outside an article a short line that says what a cookie notice says weighs nothing. Weights are summed over sliding windows of WINDOW lines. A surge point is where the sum
-first rises over the threshold, a dive point where it falls to nothing; the lines between are the
-main text. A line of an article that the page names (``article`` or ``main``) weighs its whole text
-and THRESHOLD more, so that short paragraphs of the article rise, too; lines outside are weighed as
-on any other page, and text outside that rises by itself or adjoins the article stays.
+nothing, nor do names of headings, paragraphs and articles inside or around an article unless they are adverts,
+notices or comments. Outside an article a short line that says what a cookie notice says weighs nothing.
+A name is a doubt only, and does not remove, where its words go on with other words than those of layout
+(``search-engines``, ``social-history``) or where the element is named as content, too (``post top``): such a
+line weighs THRESHOLD less, and the window sums decide. Weights are summed over sliding windows of WINDOW
+lines. A surge point is where the sum first rises over the threshold, a dive point where it falls to
+nothing; the lines between are the main text. A line of an article that the page names (``article`` or
+``main``) weighs its whole text and THRESHOLD more, so that short paragraphs of the article rise, too.
+Where named articles hold most of the page's text, a line outside weighs OUTSIDE thresholds less: a notice
+in a plain element before the article falls, a long text outside still rises; on other pages lines outside
+are weighed as if there were no article, and text outside that rises by itself or adjoins the article stays.
 
 Each page is handled alone by one Arrow map: no shuffle, any page stays in one batch row. Time grows in
 proportion to the page, whatever its markup: end tags without a start are passed over by a count of
@@ -32,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, THRESHOLD = 3, 86
+#: What a line outside a ruling article loses, in thresholds.
+OUTSIDE = 2
 
 # What HTML calls these.
 BLOCKS = frozenset(
@@ -54,6 +61,11 @@ TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote figure figcaption tabl
 STRONG_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription share sharing comment comments reply replies related".split()
 )
+LAYOUT_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content desktop field fixed form global group holder icon icons inner input item items js "
+    "left line link links list main mobile module outer page panel primary region right row secondary section site slot sticky tag tags text title top unit wrap wrapper zone".split()
+)
+CONTENT_WORDS = frozenset("article story post entry content body text".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -66,34 +78,41 @@ NOTICE_LENGTH = 300
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
-def boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+def boilerplate(name: str, attributes: str, in_article: bool) -> int:
+    """2 for boilerplate, 1 for a doubt, 0 for neither."""
     if name in BOILER_TAGS or (name == "header" and not in_article):
-        return True
-    if not attributes or name in ("html", "body", "main"):
-        return False
+        return 2
+    if not attributes or name in ("html", "body"):
+        return 0
+    strong = name in ("article", "main") or (in_article and name in TEXT_TAGS)
+    known = STRONG_WORDS if strong else BOILER_WORDS if in_article else BOILER_WORDS | PAGE_WORDS
+    found, content = 0, False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
+            return 2
         if key == "role" and value in BOILER_ROLES:
-            return True
-        if key in ("class", "id"):
-            known = STRONG_WORDS if in_article and name in TEXT_TAGS else BOILER_WORDS if in_article else BOILER_WORDS | PAGE_WORDS
+            return 2
+        if key in ("class", "id") and name != "main":
             for said in value.split():
                 words = WORDS.findall(said)
+                content = content or (bool(words) and CONTENT_WORDS.issuperset(words))
                 if words and words[0] not in MODIFIERS and not known.isdisjoint(words):
-                    return True
-    return False
+                    if not STRONG_WORDS.isdisjoint(words):
+                        return 2
+                    plain = all(w in known or w in LAYOUT_WORDS or len(w) == 1 or w.isdigit() for w in words)
+                    found = max(found, 2 if plain else 1)
+    return max(0, found - content)
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, is boilerplate, is in the named article, code points in links) of each line."""
-    lines: list[tuple[str, bool, bool, int]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool, int, bool]]:
+    """(text, is boilerplate, is in the named article, code points in links, is doubted) of each line."""
+    lines: list[tuple[str, bool, bool, int, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, is boilerplate, is an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, is boilerplate, is an article, is a doubt
     opened: Counter[str] = Counter()  # how often each tag lies on the stack
     endless: set[str] = set()  # raw elements that have no end tag from here on
-    boiler = article = links = linked = 0
+    boiler = article = doubts = links = linked = 0
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -101,7 +120,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                lines.append((text, boiler > 0, article > 0, linked))
+                lines.append((text, boiler > 0, article > 0, linked, doubts > 0))
             parts, linked = [], 0
 
     def say(raw: str) -> None:
@@ -112,12 +131,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             linked += len(text.strip())
 
     def close(k: int) -> None:
-        nonlocal boiler, article
+        nonlocal boiler, article, doubts
         while len(stack) > k:
-            tag, b, a = stack.pop()
+            tag, b, a, doubt = stack.pop()
             opened[tag] -= 1
             boiler -= b
             article -= a
+            doubts -= doubt
 
     while at < end:
         lt = page.find("<", at)
@@ -180,14 +200,16 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             while stack and stack[-1][1] and stack[-1][0] in ("nav", "header", "form", "head", "menu", "button", "select", "ul", "ol", "li"):
                 flush()
                 close(len(stack) - 1)
-        bad = boilerplate(name, attributes, article > 0)
-        if bad or name in TRACKED:
+        level = boilerplate(name, attributes, article > 0)
+        bad, doubt = level == 2, level == 1
+        if level or name in TRACKED:
             flush()
             named = name in ("article", "main") and not bad and not boiler
-            stack.append((name, bad, named))
+            stack.append((name, bad, named, doubt))
             opened[name] += 1
             boiler += bad
             article += named
+            doubts += doubt
     flush()
     return lines
 
@@ -195,17 +217,22 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     """Lines between surge and dive points, joined by line feeds."""
     lines = lines_of(page or "")
+    held = [0, 0]  # text outside and inside named articles
+    for text, bad, inside, linked, _ in lines:
+        if not bad:
+            held[inside] += max(0, len(text) - linked)
+    outside = OUTSIDE * threshold if held[1] > held[0] else 0
     weight = []
-    for text, bad, inside, linked in lines:
+    for text, bad, inside, linked, doubt in lines:
         own = max(0, len(text) - linked)
         if bad:
             weight.append(0)
         elif inside:
-            weight.append(threshold + len(text))
-        elif len(text) <= NOTICE_LENGTH and NOTICE.search(text):
+            weight.append(own if doubt else threshold + len(text))
+        elif linked > own or (len(text) <= NOTICE_LENGTH and NOTICE.search(text)):
             weight.append(0)
         else:
-            weight.append(0 if linked > own else own)
+            weight.append(max(0, own - outside - (threshold if doubt else 0)))
     n = len(weight)
     if not any(weight):
         return ""
