@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from .additions import best_addition
 from .deltas import add_deltas, apply_edits, delete_deltas, deletion_deltas, walk_deltas
 from .graph import Graph, canonical, complement
 from .incremental import MaintainedGraph
@@ -461,7 +462,8 @@ def run_relational(graph: Graph, plan: Plan) -> list[tuple]:
     Candidate limits choose by hash of the seed and the step. The lazy strategy scores every edge
     once, into a written table; each step then refreshes the ``top_k`` best by the scores held, which
     are the table's, or for edges refreshed before, at most ``top_k`` a step, the driver's. Deletions of
-    orders 2 and 3 keep their statistics (incremental.MaintainedGraph): a step renews those near its edit.
+    orders 2 and 3 keep their statistics (incremental.MaintainedGraph): a step renews those near its edit. Additions
+    of these orders without a limit are searched for without the complement (additions.best_addition).
     """
     if plan.strategy == "random":
         raise ValueError("steps as jobs are greedy or lazy")
@@ -495,6 +497,10 @@ def run_relational(graph: Graph, plan: Plan) -> list[tuple]:
             if kept:
                 rows = kept.deletion_deltas().select(F.lit("delete").alias("op"), F.lit(1).alias("op_rank"), "u", "v", "delta_m2", "delta_m3")
                 rows = rows if plan.candidate_limit is None else subsample(rows, plan.candidate_limit, plan.seed + step)
+            elif plan.candidate_limit is None and set(plan.orders) <= {2, 3}:
+                rows = best_addition(current, now, target, scale, skip).select(F.lit("add").alias("op"), F.lit(0).alias("op_rank"), "u", "v", *[f"delta_m{k}" for k in plan.orders])
+                if plan.operation == "mixed":
+                    rows = rows.unionByName(edit_candidates(current, "delete", plan.orders, skip))
             else:
                 rows = edit_candidates(current, plan.operation, plan.orders, skip, plan.candidate_limit, plan.seed + step)
             row = best(scored(rows, now, target, scale), 1, "op_rank").first()

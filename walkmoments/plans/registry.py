@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import direction_class, integer_hash, relative, tidy
-from ..operators import bank, deltas, fingerprint, graph, incremental, moments, reporting, sampling, search, spectral, stats
+from ..operators import additions, bank, deltas, fingerprint, graph, incremental, moments, reporting, sampling, search, spectral, stats
 from ..operators.graph import Graph
 from ..operators.lineage import shared_folder
 from ..sources import files, graphs
@@ -514,6 +514,26 @@ def best_mixed_edit(spark, sf):
     return rounded(rows.select("op", "u", "v", "delta_m2", "delta_m3"))
 
 
+def _best_addition(g: Graph, **how) -> DataFrame:
+    m = moments.compute_moments(g, (2, 3))
+    return rounded(additions.best_addition(g, m, {2: 0.98 * m[2], 3: 1.05 * m[3]}, search.relative_scale(m), **how))
+
+
+NEARER = "round(sqrt(power((d2 + 0.02 * m2) / m2, 2) + power((d3 - 0.05 * m3) / (case when m3 > 1e-12 then m3 else 1.0 end), 2)), 12)"
+NEAREST = f"select u, v, {R('d2', 'delta_m2')}, {R('d3', 'delta_m3')} from adds, mm order by {NEARER}, u, v limit 1"
+
+
+@query(f"with {ST1}, {S.ADD}, {MM} {NEAREST}")
+def best_addition(spark, sf):
+    return _best_addition(graphs.handover(spark, sf).cached())
+
+
+@query(f"with {S.stats('supply')}, {S.ADD}, {MM} {NEAREST}")
+def best_addition_by_grids(spark, sf):
+    """Through every grid, whatever the number of classes; two sides, so that few pairs have common neighbours."""
+    return _best_addition(graphs.supply(spark, sf).cached(), direct=0)
+
+
 @query(f"with {ST1}, {S.DELETE}, {S.ADD}, {MM}, {BOTH} select op, u, v from edits, mm order by round(-d2 / m2 + 0.5 * d3 / m3, 12) desc, o, u, v limit 1")
 def directional_edit(spark, sf):
     g = graphs.handover(spark, sf).cached()
