@@ -90,3 +90,54 @@ def test_two_sides_make_no_wedges(spark):
     g = Graph(spark.createDataFrame(sides, "u long, v long"), 205)
     tri = stats.triangles(g)
     assert rows_of(tri) == [] and "LeftSemi" in plan_of(tri)
+
+
+def test_neighbour_lists_take_the_path_of_the_matrix(spark, monkeypatch):
+    import numpy as np
+
+    _, held = drawn(spark, 40, 120, 8)
+    pairs = np.array(sorted(held))
+    seen = set()
+    for target in ({2: 0.1, 3: 0.02}, {2: 0.4, 3: 0.02}):
+        plan = search.Plan(6, (2, 3), target, operation="mixed", candidate_limit=30, seed=9)
+        monkeypatch.setattr(search, "DENSE", 1000)
+        want = search.run_small(pairs, 42, plan)
+        monkeypatch.setattr(search, "DENSE", 10)
+        found = search.run_small(pairs, 42, plan)
+        assert found[0] == want[0] and all(abs(found[2][k] - want[2][k]) < 1e-12 for k in (2, 3))
+        seen |= {e[1] for e in found[0]}
+    assert seen == {"add", "delete"}
+    sparse, dense = search.SparseGraph(pairs, 42), search.SmallGraph(pairs, 42)
+    assert (sparse.pairs(False) == dense.pairs(False)).all() and (sparse.pairs(True) == dense.pairs(True)).all()
+
+
+def test_lazy_search_with_all_refreshed_holds_nothing_on_the_driver(spark, monkeypatch):
+    g, _ = drawn(spark, 14, 30, 9)
+    want = rows_of(search.sample_by_moments(g.edges, 14, budget=2).edits.orderBy("step"))
+    monkeypatch.setattr(search, "DENSE", 10)
+
+    def refuse(*_):
+        raise AssertionError("one task took the graph")
+
+    monkeypatch.setattr(search, "run_grouped", refuse)
+    monkeypatch.setattr(search, "cut", refuse)  # the table of held scores
+    assert rows_of(search.sample_by_moments(g.edges, 14, budget=2, strategy="lazy", top_k=30).edits.orderBy("step")) == want
+
+
+def test_traces_equal_the_spectrum(spark):
+    from walkmoments.operators import spectral
+
+    g, _ = drawn(spark, 25, 70, 10)
+    sizes = spark.createDataFrame([(0, 25)], "graph_id long, n long")
+    want = spectral.spectrum(g.edges.select(F.lit(0).cast("long").alias("graph_id"), "u", "v"), sizes).select("m2", "m3", "m4").first()
+    found = spectral.spectrum_traces(g).select("m2", "m3", "m4").first()
+    assert max(abs(a - b) for a, b in zip(found, want)) < 1e-12
+
+
+def test_direct_changes_near_an_edge(spark):
+    g, _ = drawn(spark, 20, 45, 11)
+    g = Graph(g.edges.unionByName(spark.createDataFrame([(20, 21), (0, 22)], "u long, v long")).cache(), 24)
+    found, want = sorted(rows_of(deltas.direct_deltas_all(g, (2, 3)))), sorted(rows_of(deltas.delete_deltas(g)))
+    assert [r[:2] for r in found] == [r[:2] for r in want] and len(want) == 47
+    assert max(abs(a - b) for x, y in zip(found, want) for a, b in zip(x[2:], y[2:])) < 1e-14
+    assert "MapInPandas" not in plan_of(deltas.direct_deltas_all(g, (2, 3)))
