@@ -141,3 +141,13 @@ def test_direct_changes_near_an_edge(spark):
     assert [r[:2] for r in found] == [r[:2] for r in want] and len(want) == 47
     assert max(abs(a - b) for x, y in zip(found, want) for a, b in zip(x[2:], y[2:])) < 1e-14
     assert "MapInPandas" not in plan_of(deltas.direct_deltas_all(g, (2, 3)))
+
+
+def test_pairs_of_parts_are_dealt_by_the_number_of_parts(spark, monkeypatch):
+    from walkmoments.sources import graphs
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(rows_of(graphs.copurchase(spark, sf).edges))
+    monkeypatch.setattr(graphs, "PARTS_OF_TASK", 9)
+    g = graphs.copurchase(spark, sf)
+    assert g.edges.rdd.getNumPartitions() == g.n // 9 + 1 and sorted(rows_of(g.edges)) == want
