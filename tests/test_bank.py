@@ -81,3 +81,18 @@ def test_runs_give_their_graphs_and_bad_points_raise(spark, graph, tmp_path):
         with pytest.raises(ValueError):
             bank.grow_bank(graph, twice.limit(1), f"file://{tmp_path}/bad", size)
     assert not store.exists(f"file://{tmp_path}/bad/manifest.json")
+
+
+def test_a_large_graph_has_the_same_runs_by_jobs(spark, graph, tmp_path, monkeypatch):
+    points = spark.createDataFrame([(0, 0.25, 0.03, 0, 2, 2)], POINTS)
+    want = rows(bank.grow_bank(graph, points, f"file://{tmp_path}/dense", 2))
+    monkeypatch.setattr(bank, "MOST_NODES", 10)
+    monkeypatch.setattr(bank, "run_small", None)
+    assert rows(bank.grow_bank(graph, points, f"file://{tmp_path}/jobs", 2)) == want and all(r[5] == 2 for r in want)
+
+
+def test_caps_leave_the_other_operation():
+    plan = search.Plan(3, (2, 3), operation="mixed", most_adds=1, most_deletes=2)
+    assert search._kinds(plan, []) == "mixed" and search._kinds(plan, [(1, "add", 0, 1)]) == "delete"
+    with pytest.raises(ValueError):
+        search._kinds(plan, [(1, "add", 0, 1), (2, "delete", 0, 2), (3, "delete", 0, 3)])

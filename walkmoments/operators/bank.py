@@ -8,8 +8,11 @@ A bank is made for one graph, operation, candidate limit and seed, and each targ
 call that differs in any of these raises, as does a smaller size than the bank has. More targets or a greater size
 add runs and leave the others as they are. Of two callers at once, the later to commit raises.
 
-Defined results: targets that repeat an id, null ids, budgets or moments that are null or not finite, an empty graph
-and one of more than MOST_NODES nodes (dense in a task) raise before any run; a budget of 0 gives a run without edits.
+Graphs of more than MOST_NODES nodes have no dense matrix: with a candidate limit a run is neighbour lists in a task, and
+without one its steps are jobs; as nothing is drawn then, runs of one target are alike, and a wave makes them once.
+
+Defined results: targets that repeat an id, null ids, budgets or moments that are null or not finite, and an empty graph
+raise before any run; a budget of 0 gives a run without edits.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import functions as F
 
 from ..sources import store
 from .graph import Graph
-from .search import Plan, run_small
+from .lineage import written
+from .moments import compute_moments
+from .search import Plan, edited, run_relational, run_small
 
-#: A run's dense matrix has so many rows at most.
+#: A run's dense matrix has so many rows at most (search.DENSE is the kernel's own bound).
 MOST_NODES = 4096
 STRIDE = 1_000_003  # fixed value: bank numbers of one target have seeds that follow each other, targets lie so far apart
 POINT = ("target_m2", "target_m3", "add_budget", "delete_budget", "total_budget")
@@ -76,8 +81,8 @@ def grow_bank(
     if operation not in ("mixed", "delete", "add") or (candidate_limit is not None and candidate_limit < 1):
         raise ValueError("operation must be mixed, delete or add, and candidate_limit positive")
     settings = _settings(graph, operation, candidate_limit, seed)
-    if not settings["edges"] or graph.n > MOST_NODES:
-        raise ValueError(f"a bank needs a graph with edges and at most {MOST_NODES} nodes")
+    if not settings["edges"]:
+        raise ValueError("a bank needs a graph with edges")
     points, manifest = _checked(points), f"{folder}/manifest.json"
     if store.exists(manifest):
         held = json.loads(store.read_text(manifest))["settings"]
@@ -128,8 +133,11 @@ def _runs(graph: Graph, wave: list, operation: str, candidate_limit: int | None,
         out = (int(key[0]), last[2], last[3], float(np.hypot(*off)), [e[1] for e in edits], [e[2] for e in edits], [e[3] for e in edits])
         return pd.DataFrame([out], columns=[c.split()[0] for c in KERNEL.split(", ")])
 
-    copies = graph.edges.select(F.explode(F.array(*[F.lit(k) for k in plans])).alias("run_id"), "u", "v")
-    made = copies.groupBy("run_id").applyInPandas(kernel, KERNEL)
+    if n > MOST_NODES and candidate_limit is None:
+        made = graph.spark.createDataFrame(_by_jobs(graph, plans), KERNEL)
+    else:
+        copies = graph.edges.select(F.explode(F.array(*[F.lit(k) for k in plans])).alias("run_id"), "u", "v")
+        made = copies.groupBy("run_id").applyInPandas(kernel, KERNEL)
     named = graph.spark.createDataFrame([(k, r["target_id"], r["bank_id"], plans[k].seed, r["point"]) for k, r in enumerate(wave)], "run_id int, target_id long, bank_id int, seed long, point string")
     edits = F.transform(F.col("ops"), lambda op, k: F.struct((k + 1).cast("int").alias("step"), op.alias("op"), F.get("us", k).alias("u"), F.get("vs", k).alias("v")))
 
@@ -139,6 +147,22 @@ def _runs(graph: Graph, wave: list, operation: str, candidate_limit: int | None,
     return made.join(F.broadcast(named), "run_id").select("target_id", "bank_id", "seed", "point", "m2", "m3", "target_distance", count("add"), count("delete"), edits.alias("edits"))
 
 
+def _by_jobs(graph: Graph, plans: dict[int, Plan]) -> list[tuple]:
+    """The rows of the kernel (KERNEL), a row a run of the wave, by trajectories whose steps are jobs."""
+    graph = Graph(written(graph.edges, "bank-edges"), graph.n)
+    first = compute_moments(graph, (2, 3))
+    known, out = {}, []
+    for k, plan in plans.items():
+        key = (plan.budget, tuple(plan.target.items()), plan.most_adds, plan.most_deletes)
+        if key not in known:
+            edits = run_relational(graph, plan)
+            last = compute_moments(edited(graph, edits), (2, 3))
+            off = [(last[o] - plan.target[o]) / (abs(first[o]) or 1.0) for o in (2, 3)]
+            known[key] = (last[2], last[3], float(np.hypot(*off)), [e[1] for e in edits], [e[2] for e in edits], [e[3] for e in edits])
+        out.append((k, *known[key]))
+    return out
+
+
 def bank_graph(graph: Graph, bank: DataFrame, target_id: int, bank_id: int) -> Graph:
     """The graph of one run. No pair is edited twice, so the edits apply in any order."""
     made = bank.filter((F.col("target_id") == target_id) & (F.col("bank_id") == bank_id)).select(F.explode("edits").alias("e")).select("e.*")
