@@ -8,8 +8,9 @@ A bank is made for one graph, operation, candidate limit and seed, and each targ
 call that differs in any of these raises, as does a smaller size than the bank has. More targets or a greater size
 add runs and leave the others as they are. Of two callers at once, the later to commit raises.
 
-Graphs of more than MOST_NODES nodes have no dense matrix: with a candidate limit a run is neighbour lists in a task, and
-without one its steps are jobs; as nothing is drawn then, runs of one target are alike, and a wave makes them once.
+Graphs of more than MOST_NODES nodes have no dense matrix: with a candidate limit a run is neighbour lists in a task,
+deletions without one are an edge table there (of search.TASK_ARCS arcs at most), and all other runs have jobs as steps;
+as nothing is drawn without a limit, runs of one target are alike, and a wave of jobs makes them once.
 
 Defined results: targets that repeat an id, null ids, budgets or moments that are null or not finite, and an empty graph
 raise before any run; a budget of 0 gives a run without edits.
