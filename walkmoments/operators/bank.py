@@ -30,7 +30,7 @@ from ..sources import store
 from .graph import Graph
 from .lineage import written
 from .moments import compute_moments
-from .search import Plan, edited, run_relational, run_small
+from .search import TASK_ARCS, Plan, edited, run_relational, run_small
 
 #: A run's dense matrix has so many rows at most (search.DENSE is the kernel's own bound).
 MOST_NODES = 4096
@@ -134,7 +134,7 @@ def _runs(graph: Graph, wave: list, operation: str, candidate_limit: int | None,
         out = (int(key[0]), last[2], last[3], float(np.hypot(*off)), [e[1] for e in edits], [e[2] for e in edits], [e[3] for e in edits])
         return pd.DataFrame([out], columns=[c.split()[0] for c in KERNEL.split(", ")])
 
-    if n > MOST_NODES and candidate_limit is None:
+    if n > MOST_NODES and candidate_limit is None and (operation != "delete" or 2 * graph.edges.count() > TASK_ARCS):
         made = graph.spark.createDataFrame(_by_jobs(graph, plans), KERNEL)
     else:
         copies = graph.edges.select(F.explode(F.array(*[F.lit(k) for k in plans])).alias("run_id"), "u", "v")
