@@ -111,3 +111,18 @@ def test_edges_to_leaves_are_not_solved(spark, monkeypatch):
     found = sorted(rows_of(spectral.resistances(edges, comps, dense_up_to=0)))
     assert sorted(seen) == [(22, 23), (22, 25), (23, 24), (24, 25)]
     assert [r[:3] for r in found] == [r[:3] for r in want] and np.allclose([r[3:] for r in found], [r[3:] for r in want], atol=1e-9)
+
+
+@pytest.mark.parametrize("x, y", [(-1.0, 0.5), (0.3, 1.0)])
+def test_directional_edit_lists_no_pairs(spark, many, monkeypatch, x, y):
+    from walkmoments.operators import search
+    from walkmoments.operators.moments import compute_moments
+
+    g, _ = drawn(spark, 40, 90, 26)
+    g = Graph(g.edges, 43).cached()
+    m = compute_moments(g, (2, 3))
+    want = [rows_of(search.directional(search.edit_candidates(g, kind), m, x, y).select("op", "u", "v", "gain")) for kind in ("add", "mixed")]
+    monkeypatch.setattr(stats, "non_edge_mass", unused)
+    assert rows_of(search.best_directional(g, m, x, y).select("op", "u", "v")) == [r[:3] for r in want[1]]
+    monkeypatch.setattr(search, "edit_candidates", lambda graph, kind: search.delete_deltas(graph).limit(0).selectExpr("'delete' op", "1 op_rank", "*"))
+    assert rows_of(search.best_directional(g, m, x, y).select("op", "u", "v")) == [r[:3] for r in want[0]]
